@@ -156,3 +156,12 @@ def log_source(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def sealed_log(spark: SparkSession, sf_dir: str, segment_rows: int = 64) -> integrity.Sealed:
     return integrity.seal(log_source(spark, sf_dir), ["order_id"], segment_rows=segment_rows, key_id="test-key")
+
+
+def batches(spark: SparkSession, sf_dir: str, size: int = 50) -> DataFrame:
+    """Checkpoint headers of the evidence: one per ``size`` neighbouring records."""
+    ev = evidence(spark, sf_dir)
+    return ev.groupBy(F.expr(f"(evidence_id - 1) div {size} + 1").alias("checkpoint_id")).agg(
+        F.max("occurred_at").alias("created_at"), F.lit("evidence_batch").alias("checkpoint_type"),
+        F.count(F.lit(1)).alias("batch_size"), F.min("evidence_id").alias("first_evidence_id"), F.max("evidence_id").alias("last_evidence_id"),
+    )
