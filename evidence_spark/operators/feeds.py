@@ -130,7 +130,7 @@ FEED_COLUMNS = [
 ]
 
 
-def _log_activity(log: DataFrame) -> DataFrame:
+def log_activity(log: DataFrame) -> DataFrame:
     meta = F.col("metadata_json")
     security = F.col("source_type") == "SECURITY_EVENT"
     name = F.coalesce(filled(F.get_json_object(meta, "$.event_name")), F.lit("security_event"))
@@ -151,7 +151,7 @@ def _log_activity(log: DataFrame) -> DataFrame:
     )
 
 
-def _evidence_activity(evidence: DataFrame) -> DataFrame:
+def evidence_activity(evidence: DataFrame) -> DataFrame:
     hit = F.coalesce(F.col("predicted_anomaly"), F.lit(0)) == 1
     severity = F.coalesce(filled(F.col("severity")), F.lit("normal"))
     klass = F.when(hit | F.upper(severity).isin("CRITICAL", "HIGH"), "Critical").otherwise("Normal")
@@ -170,7 +170,7 @@ def _evidence_activity(evidence: DataFrame) -> DataFrame:
     )
 
 
-def _checkpoint_activity(checkpoints: DataFrame) -> DataFrame:
+def checkpoint_activity(checkpoints: DataFrame) -> DataFrame:
     text = lambda c: F.col(c).cast("string")
     return checkpoints.select(
         F.lit("ai_checkpoint").alias("kind"),
@@ -192,7 +192,7 @@ def attempt_address() -> Column:
     return F.coalesce(field("$.attacker_ip"), field("$.actor_ip"), F.lit(policy.DEFAULT_ATTACKER_ADDRESS))
 
 
-def _attempt_activity(attempts: DataFrame) -> DataFrame:
+def attempt_activity(attempts: DataFrame) -> DataFrame:
     field = lambda p: filled(F.get_json_object("details_json", p))
     name = F.coalesce(field("$.table"), filled(F.col("sqlite_action")), F.lit("protected table"))
     operation = F.coalesce(filled(F.col("operation")), F.lit("mutation"))
@@ -215,10 +215,10 @@ def activity_feed(log: DataFrame, evidence: DataFrame, checkpoints: DataFrame, a
     """The newest ``n`` rows of each of four tables in one shape, newest first."""
     n = clamp(n, 25, 5000)
     parts = [
-        _log_activity(log.orderBy(F.desc("sequence")).limit(n)),
-        _evidence_activity(evidence.orderBy(F.desc("evidence_id")).limit(n)),
-        _checkpoint_activity(checkpoints.orderBy(F.desc("checkpoint_id")).limit(n)),
-        _attempt_activity(attempts.orderBy(F.desc("attempt_id")).limit(n)),
+        log_activity(log.orderBy(F.desc("sequence")).limit(n)),
+        evidence_activity(evidence.orderBy(F.desc("evidence_id")).limit(n)),
+        checkpoint_activity(checkpoints.orderBy(F.desc("checkpoint_id")).limit(n)),
+        attempt_activity(attempts.orderBy(F.desc("attempt_id")).limit(n)),
     ]
     return unify(*parts).select(*FEED_COLUMNS).orderBy(F.desc("recorded_at"), "record_id")
 

@@ -461,13 +461,14 @@ def verify_anchors(anchors: DataFrame, log: DataFrame, public_key=None) -> DataF
 
 
 MIRROR_FIELDS = [
-    "sequence", "created_at", "source_file", "source_type", "source_offset", "metadata_json",
+    "sequence", "segment_id", "created_at", "source_file", "source_type", "source_offset", "metadata_json",
     "payload_sha256", "previous_hash", "entry_hash", "rsa_key_id", "entry_material_json",
 ]
 
 
 def mirror(log: DataFrame, recorded_at: str, previous_head: str = GENESIS, start: int = 1, segment_rows: int = 4096) -> DataFrame:
     """Recovery ledger: a full copy of every log row, linked on its own."""
+    log = log if "segment_id" in log.columns else log.withColumn("segment_id", F.lit(0).cast("bigint"))
     row = F.struct(*MIRROR_FIELDS, crypto.b64(F.col("payload")).alias("payload_b64"))
     numbered = global_sequence(log.select("sequence", row.alias("row")), ["sequence"], "position", start)
     records = numbered.select("position", "row", F.lit(recorded_at).alias("recorded_at"), F.lit(1).alias("version"))
@@ -483,27 +484,32 @@ def reachable_chain(ledger: DataFrame, previous_head: str = GENESIS) -> DataFram
     several records stands for the latest of them.
     """
     flat = ledger.select(
-        "position", F.coalesce(F.col("segment_id"), F.lit(0)).alias("segment_id") if "segment_id" in ledger.columns else F.lit(0).alias("segment_id"),
-        F.col("row.entry_hash").alias("entry_hash"), F.col("row.previous_hash").alias("previous_hash"),
-        F.col("row.sequence").alias("sequence"),
-    )
-    lagged = ordered_lag(flat, [], ["position"], ["entry_hash"])
-    linked = F.coalesce(F.col("previous_hash") == F.col("prev_entry_hash"), F.lit(False))
+        "position", F.col("row.segment_id").alias("segment_id"), F.col("row.entry_hash").alias("entry_hash"),
+        F.col("row.previous_hash").alias("previous_hash"), F.col("row.sequence").alias("sequence"),
+    ).withColumn("_seeded", (F.col("segment_id") > 0) & (F.col("previous_hash") == segment_seed(F.col("segment_id"), previous_head)))
+    lagged = ordered_lag(flat, [], ["position"], ["entry_hash", "segment_id", "sequence"])
+    follows = F.when(
+        F.col("_seeded"), (F.col("prev_segment_id") == F.col("segment_id") - 1) & (F.col("prev_sequence") == F.col("sequence") - 1)
+    ).otherwise(F.col("previous_hash") == F.col("prev_entry_hash"))
+    linked = F.coalesce(follows, F.lit(False))
     runs = scratch_table(
-        running_totals(lagged.withColumn("_break", (~linked).cast("int")), ["position"], {"run": F.col("_break")}), "runs"
+        running_totals(lagged.withColumn("_break", (~linked).cast("int")), ["position"], {"run": F.col("_break")}).drop("_break"), "runs"
     )
-    latest = runs.groupBy("entry_hash").agg(F.max(F.struct("position", "run")).alias("_at"))
-    starts = runs.filter(F.col("_break") == 1).select(F.col("run").alias("child"), "previous_hash")
+    here = F.max(F.struct("position", "run")).alias("_at")
+    latest = runs.groupBy("entry_hash").agg(here)
+    closing = runs.groupBy("segment_id").agg(F.max_by(F.struct("position", "run"), F.struct("sequence", "position")).alias("_at"))
+    starts = runs.groupBy("run").agg(F.min_by(F.struct("previous_hash", "segment_id", "_seeded"), "position").alias("_f")).select(
+        F.col("run").alias("child"), "_f.*"
+    )
+    by_hash = starts.filter(~F.col("_seeded")).join(latest, starts.previous_hash == latest.entry_hash).select("child", "_at")
+    by_segment = starts.filter("_seeded").withColumn("segment_id", F.col("segment_id") - 1).join(closing, "segment_id").select("child", "_at")
     jumps = scratch_table(
-        starts.join(latest, starts.previous_hash == latest.entry_hash, "left").select(
-            "child", "previous_hash", F.col("_at.run").alias("parent"), F.col("_at.position").alias("upto"),
-        ),
-        "jumps",
+        by_hash.unionByName(by_segment).select("child", F.col("_at.run").alias("parent"), F.col("_at.position").alias("upto")), "jumps"
     )
-    tail = runs.agg(F.max_by("run", "position"), F.max("position"), F.count_if(F.col("_break") == 1)).first()
+    tail = runs.agg(F.max_by("run", "position"), F.max("position"), F.max("run") + 1).first()
     spark = ledger.sparkSession
     reached = spark.createDataFrame([(tail[0], tail[1])], "run bigint, upto bigint")
-    hop = jumps.filter(F.col("parent").isNotNull() & (F.col("parent") < F.col("child"))).select("child", "parent", "upto")
+    hop = jumps.filter(F.col("parent") < F.col("child")).select("child", "parent", "upto")
     rounds = max(1, (tail[2] or 1).bit_length())
     for _ in range(rounds):
         further = reached.join(hop, reached.run == hop.child).select(hop.parent.alias("run"), hop.upto)
@@ -520,7 +526,7 @@ def restore(ledger: DataFrame, public_key=None) -> DataFrame:
         raise ValueError("the mirror does not verify; nothing restored")
     chain = reachable_chain(ledger).select("position")
     rows = ledger.join(chain, "position", "left_semi").select(
-        "segment_id", *(F.col(f"row.{name}").alias(name) for name in MIRROR_FIELDS), F.unbase64("row.payload_b64").alias("payload")
+        *(F.col(f"row.{name}").alias(name) for name in MIRROR_FIELDS), F.unbase64("row.payload_b64").alias("payload")
     )
     return rows
 

@@ -434,7 +434,7 @@ def provenance_events(spark, sf):
         CASE WHEN details_operation IS NOT NULL OR severity = 'HIGH' THEN 'HIGH' ELSE 'MEDIUM' END, CASE WHEN details_operation IS NOT NULL THEN 1 ELSE 0 END, 1 FROM sec)
     GROUP BY lane, record_id"""))
 def audit_entries(spark, sf):
-    attempts = feeds._attempt_activity(proxy.attempts(spark, sf))
+    attempts = feeds.attempt_activity(proxy.attempts(spark, sf))
     return feeds.audit_entries(attempts, proxy.security_events(spark, sf))
 
 
