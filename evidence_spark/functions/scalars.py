@@ -90,8 +90,8 @@ def ipv4_number(column: Column) -> Column:
     return F.when(column.rlike(STRICT_IPV4) & in_range, number)
 
 
-def ip_domain(column: Column, networks: dict[str, str] = policy.DOMAIN_NETWORKS) -> Column:
-    number = ipv4_number(column)
+def network_of(number: Column, networks: dict[str, str] = policy.DOMAIN_NETWORKS) -> Column:
+    """Name of the first network that holds an address given as a number."""
     chain = F.lit(None).cast("string")
     for name, cidr in reversed(list(networks.items())):
         net = ipaddress.ip_network(cidr)
@@ -100,9 +100,12 @@ def ip_domain(column: Column, networks: dict[str, str] = policy.DOMAIN_NETWORKS)
     return chain
 
 
+def ip_domain(column: Column, networks: dict[str, str] = policy.DOMAIN_NETWORKS) -> Column:
+    return network_of(ipv4_number(column), networks)
+
+
 def cross_domain_flag(src: Column, dst: Column, networks: dict[str, str] = policy.DOMAIN_NETWORKS) -> Column:
-    a, b = ip_domain(src, networks), ip_domain(dst, networks)
-    return F.coalesce((a != b).cast("int"), F.lit(0))
+    return F.coalesce((ip_domain(src, networks) != ip_domain(dst, networks)).cast("int"), F.lit(0))
 
 
 def port_expected(domain: Column, port: Column, ports=policy.EXPECTED_PORTS, ranges=policy.EXPECTED_PORT_RANGES) -> Column:
@@ -135,13 +138,18 @@ def protocol_flag(domain: Column, protocol: Column, expected=policy.EXPECTED_PRO
 def security_flags(df: DataFrame) -> DataFrame:
     """Add the three policy flags: computed for packet rows, zero for all others."""
     packet = F.col("data_format") == policy.PACKET_FORMAT
-    return df.withColumns(
+    # addresses are parsed once per row; the zone tests then compare numbers
+    parsed = df.withColumns(
+        {"_src": F.when(packet, ipv4_number(F.col("src"))), "_dst": F.when(packet, ipv4_number(F.col("dst")))}
+    )
+    crossed = F.coalesce((network_of(F.col("_src")) != network_of(F.col("_dst"))).cast("bigint"), F.lit(0))
+    return parsed.withColumns(
         {
-            "cross_domain_flag": F.when(packet, cross_domain_flag(F.col("src"), F.col("dst"))).otherwise(0).cast("bigint"),
+            "cross_domain_flag": crossed.cast("bigint"),
             "port_anomaly_flag": F.when(packet, port_flag(F.col("domain"), F.col("port"))).otherwise(0).cast("bigint"),
             "protocol_anomaly_flag": F.when(packet, protocol_flag(F.col("domain"), F.col("protocol"))).otherwise(0).cast("bigint"),
         }
-    )
+    ).drop("_src", "_dst")
 
 
 # --- severity and risk ----------------------------------------------------------------------

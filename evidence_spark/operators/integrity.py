@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from evidence_spark import policy
 from evidence_spark.functions import crypto
 from evidence_spark.operators.ordered import global_sequence, ordered_lag, running_totals
-from evidence_spark.session import scratch_table
+from evidence_spark.session import scratch_table, shuffle_partitions
 
 GENESIS = policy.GENESIS_HASH
 MERKLE_LEVELS = 10  # tree levels taken per shuffle: blocks of 1024 leaves
@@ -58,7 +58,8 @@ def fold_chain(
         rows[previous_name], rows[hash_name] = befores, hashes
         return rows[columns]
 
-    return segmented.groupBy("segment_id").applyInPandas(fold, out.schema)
+    spread_out = segmented.repartition(shuffle_partitions(df.sparkSession), "segment_id")
+    return spread_out.groupBy("segment_id").applyInPandas(fold, out.schema)
 
 
 def segment_heads(rows: DataFrame, sequence: str = "sequence", entry_hash: str = "entry_hash") -> DataFrame:

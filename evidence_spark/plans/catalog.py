@@ -1,6 +1,6 @@
 """All registered queries in one place."""
 
-from evidence_spark.plans import queries_integrity, queries_rows, queries_sets  # noqa: F401
+from evidence_spark.plans import queries_integrity, queries_models, queries_rows, queries_sets, queries_text  # noqa: F401
 from evidence_spark.plans.registry import ORACLES, QUERIES
 
 __all__ = ["QUERIES", "ORACLES"]

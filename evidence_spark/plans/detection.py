@@ -31,3 +31,31 @@ def conform(df: DataFrame) -> DataFrame:
     base = df.select(*BASE_EVENT_COLUMNS).dropna(how="any")
     typed = base.select(*(F.col(f.name).cast(f.dataType).alias(f.name) for f in UNIFIED.fields[:10]))
     return scalars.security_flags(typed).select(*UNIFIED.names)
+
+
+def detect(packets: DataFrame, words: DataFrame, row_id: str, n_trees: int = 200, sample_size: int = 256, seed: int = 42):
+    """Train, score and explain packet rows per domain and bus words as one more group.
+
+    Returns the scored rows and the explained flagged rows of both kinds.
+    """
+    from evidence_spark.operators import aggregates, filters, forest
+    from evidence_spark.session import scratch_table
+
+    stats = scratch_table(aggregates.domain_baseline(packets), "stats")
+    p = scratch_table(forest.packet_features(packets, stats), "packets")
+    p_model = forest.fit_forest(p, "domain", row_id, policy.PACKET_FEATURES, n_trees=n_trees, sample_size=sample_size, seed=seed)
+    p_scored = scratch_table(forest.score_forest(p, p_model, "domain", F.lit(policy.PACKET_FORMAT)), "scored")
+    p_flagged = forest.attribute(filters.flagged(p_scored), p_model, "domain")
+
+    bits = words.withColumn("data_bits_int", scalars.bits_to_int(F.col("data_bits")))
+    w_stats = scratch_table(aggregates.label_baseline(bits, key="label_octal"), "stats")
+    w = scratch_table(forest.word_features(words, w_stats, "label_octal"), "words")
+    w_model = forest.fit_forest(w, "domain", row_id, policy.WORD_FEATURES, n_trees=n_trees, sample_size=sample_size, seed=seed)
+    w_scored = scratch_table(forest.score_forest(w, w_model, "domain", F.lit(policy.WORD_FORMAT)), "scored")
+    w_flagged = forest.attribute(filters.flagged(w_scored), w_model, "domain")
+
+    shared = [row_id, "domain", "is_anomaly", "anomaly_score", "predicted_anomaly", "severity", "model_used"]
+    scored = p_scored.select(*shared).unionByName(w_scored.select(*shared))
+    why = [*shared, "shap_values", "top_features", "explanation_text"]
+    explained = forest.explain_packets(p_flagged, stats).select(*why).unionByName(forest.explain_words(w_flagged, "label_octal").select(*why))
+    return scored, explained
