@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from evidence_spark import policy
 
-STRICT_IPV4 = r"^(?:(?:0|[1-9][0-9]{0,2})\.){3}(?:0|[1-9][0-9]{0,2})$"
+OCTET = "(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
+STRICT_IPV4 = rf"^(?:{OCTET}\.){{3}}{OCTET}$"
 
 
 # --- small building blocks -----------------------------------------------------------
@@ -83,11 +84,8 @@ def parity_valid(column: Column) -> Column:
 
 def ipv4_number(column: Column) -> Column:
     """Dotted text as a number; null for anything that is not a plain IPv4 address."""
-    parts = F.split(column, r"\.")
-    octets = [F.get(parts, F.lit(i)).try_cast("bigint") for i in range(4)]
-    number = octets[0] * 16777216 + octets[1] * 65536 + octets[2] * 256 + octets[3]
-    in_range = (octets[0] <= 255) & (octets[1] <= 255) & (octets[2] <= 255) & (octets[3] <= 255)
-    return F.when(column.rlike(STRICT_IPV4) & in_range, number)
+    number = F.aggregate(F.split(column, r"\."), F.lit(0).cast("bigint"), lambda acc, part: acc * 256 + part.cast("bigint"))
+    return F.when(column.rlike(STRICT_IPV4), number)
 
 
 def network_of(number: Column, networks: dict[str, str] = policy.DOMAIN_NETWORKS) -> Column:
@@ -235,7 +233,7 @@ def ip_from_text(column: Column) -> Column:
     """First whitespace-separated token that is an IPv4 address once brackets and
     punctuation at its ends are removed."""
     tokens = F.transform(F.split(text_of(column), r"\s+"), lambda t: F.regexp_replace(t, r"^[\[\](),;:]+|[\[\](),;:]+$", ""))
-    good = F.filter(tokens, lambda t: t.rlike(r"^(?:(?:0*(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9]))\.){3}0*(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])$"))
+    good = F.filter(tokens, lambda t: t.rlike(rf"^(?:0*{OCTET}\.){{3}}0*{OCTET}$"))
     return F.get(good, F.lit(0))
 
 

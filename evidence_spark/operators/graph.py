@@ -46,7 +46,7 @@ def graph_nodes(events: DataFrame) -> DataFrame:
     A domain node covers a large share of all events, so its members are not collected
     here; ``node_sequences`` lists them as rows.
     """
-    first = F.min_by(F.struct("n.kind", "n.label", "n.domain"), F.struct("event_us", "event_id"))
+    first = F.min(F.struct("event_us", "event_id", "n.label", "n.domain", "n.kind"))
     nodes = _node_rows(events).groupBy(F.col("n.id").alias("id")).agg(
         first.alias("_f"), F.count(F.lit(1)).alias("event_count"), F.max("n.risk").alias("risk")
     )
@@ -81,7 +81,7 @@ def graph_edges(events: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
     edges = rows.filter(F.col("e.source") != F.col("e.target")).groupBy(
         F.col("e.source").alias("source"), F.col("e.target").alias("target"), F.col("e.relation").alias("relation")
     ).agg(
-        F.min_by(F.col("e.label"), F.struct("event_us", "event_id")).alias("label"), F.count(F.lit(1)).alias("_n")
+        F.min(F.struct("event_us", "event_id", "e.label"))["label"].alias("label"), F.count(F.lit(1)).alias("_n")
     )
     if pairs is not None:
         edges = edges.unionByName(pairs.filter(F.col("source") != F.col("target")).withColumn("_n", F.lit(1).cast("bigint")))

@@ -41,7 +41,17 @@ def _by_index(index: Column, values: list) -> Column:
 
 def evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scored evidence events, one row per input event."""
-    e = table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "value", "props")
+    return evidence_of(table(spark, sf_dir, "events"))
+
+
+def event_stream(spark: SparkSession, sf_dir: str, **options) -> DataFrame:
+    """The same table as a file stream."""
+    schema = table(spark, sf_dir, "events").schema
+    return spark.readStream.schema(schema).options(pathGlobFilter="events.parquet", **options).parquet(sf_dir)
+
+
+def evidence_of(raw: DataFrame) -> DataFrame:
+    e = raw.select("event_id", "ts", "user_id", "event_type", "value", "props")
     k = F.get_json_object("props", "$.k").cast("bigint")
     e = e.withColumns(
         {

@@ -71,4 +71,6 @@ def spread(df: DataFrame) -> DataFrame:
     """Use all cores for a costly stage over a small input. Inputs with at least one
     partition per core, which is every large one, pass through without a shuffle."""
     cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.isStreaming:
+        return df
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
