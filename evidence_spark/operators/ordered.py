@@ -125,15 +125,17 @@ def exact_percentile(df: DataFrame, keys: list[str], value: str, fraction: float
     return picked.groupBy(*keys).agg((low + (high - low) * weight).alias(name))
 
 
+def rate_of_gap(gap: Column) -> Column:
+    """Inverse of a gap in seconds, at most 10000; null where there is no gap."""
+    return F.when(gap.isNotNull(), F.least(F.lit(1.0) / F.greatest(gap, F.lit(1e-4)), F.lit(10000.0)))
+
+
 def arrival_rate(df: DataFrame, key: str, time_us: str, tie: str, name: str = "frequency") -> DataFrame:
     """Inverse gap to the row before, per key, at most 10000 per second. The first row
     of a key takes the median of the others; a key with a single row gets null."""
     lagged = ordered_lag(df, [key], [time_us, tie], [time_us])
     gap = (F.col(time_us) - F.col(f"prev_{time_us}")) / F.lit(1e6)
-    rated = scratch_table(
-        lagged.withColumn("_rate", F.least(F.lit(1.0) / F.greatest(gap, F.lit(1e-4)), F.lit(10000.0))).drop(f"prev_{time_us}"),
-        "rate",
-    )
+    rated = scratch_table(lagged.withColumn("_rate", rate_of_gap(gap)).drop(f"prev_{time_us}"), "rate")
     medians = exact_percentile(rated, [key], "_rate", 0.5, "_median")
     filled = rated.join(medians, key, "left").withColumn(name, F.coalesce("_rate", "_median"))
     return filled.drop("_rate", "_median")
@@ -148,10 +150,10 @@ def rolling_count(df: DataFrame, keys: list[str], time_us: str, tie: str, second
     base = df.select(*keys, time_us, tie)
     rows = base.withColumn("_at", F.col(time_us)).withColumn("_probe", F.lit(0))
     probes = base.withColumn("_at", F.col(time_us) - F.lit(seconds * 1_000_000)).withColumn("_probe", F.lit(1))
-    summed = running_totals(rows.unionByName(probes), [*keys, "_at", "_probe", tie], {"_n": 1 - F.col("_probe")})
+    summed = running_totals(rows.unionByName(probes), [*keys, "_at", "_probe", tie], {"_seen_rows": 1 - F.col("_probe")})
     ends = summed.groupBy(*keys, tie).agg(
-        F.max(F.when(F.col("_probe") == 0, F.col("_n"))).alias("_here"),
-        F.max(F.when(F.col("_probe") == 1, F.col("_n"))).alias("_before"),
+        F.max(F.when(F.col("_probe") == 0, F.col("_seen_rows"))).alias("_here"),
+        F.max(F.when(F.col("_probe") == 1, F.col("_seen_rows"))).alias("_before"),
     )
     counts = ends.select(*keys, tie, (F.col("_here") - F.col("_before")).cast("bigint").alias(name))
     return df.drop(name).join(counts, [*keys, tie])

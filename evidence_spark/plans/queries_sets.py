@@ -166,7 +166,8 @@ def readiness_report(spark, sf):
 
 @query("arrival_rate", with_ev("""SELECT sequence, domain, CAST(trunc(coalesce(rate, median(rate) OVER (PARTITION BY domain))) AS BIGINT) AS whole_rate,
       round(coalesce(rate, median(rate) OVER (PARTITION BY domain)), 9) AS frequency
-    FROM (SELECT sequence, domain, least(1 / greatest(CAST(occurred_us - lag(occurred_us) OVER (PARTITION BY domain ORDER BY occurred_us, sequence) AS DOUBLE) / 1000000, 0.0001), 10000) AS rate FROM ev)"""))
+    FROM (SELECT sequence, domain, CASE WHEN before IS NOT NULL THEN least(1 / greatest(CAST(occurred_us - before AS DOUBLE) / 1000000, 0.0001), 10000) END AS rate
+      FROM (SELECT *, lag(occurred_us) OVER (PARTITION BY domain ORDER BY occurred_us, sequence) AS before FROM ev))"""))
 def arrival_rate(spark, sf):
     ev = proxy.evidence(spark, sf).select("sequence", "domain", "occurred_us")
     rate = ordered.arrival_rate(ev, "domain", "occurred_us", "sequence")

@@ -37,7 +37,8 @@ def stream_counts(spark, sf):
 
 
 @query("stream_arrival_rate", with_ev("""SELECT sequence, domain, round(coalesce(rate, median(rate) OVER (PARTITION BY domain)), 9) AS frequency, false AS late
-    FROM (SELECT sequence, domain, least(1 / greatest(CAST(occurred_us - lag(occurred_us) OVER (PARTITION BY domain ORDER BY occurred_us, sequence) AS DOUBLE) / 1000000, 0.0001), 10000) AS rate FROM ev)"""))
+    FROM (SELECT sequence, domain, CASE WHEN before IS NOT NULL THEN least(1 / greatest(CAST(occurred_us - before AS DOUBLE) / 1000000, 0.0001), 10000) END AS rate
+      FROM (SELECT *, lag(occurred_us) OVER (PARTITION BY domain ORDER BY occurred_us, sequence) AS before FROM ev))"""))
 def stream_arrival_rate(spark, sf):
     root = scratch_path(spark, "stream-rates")
     live.stream_arrival_rate(_timed(spark, sf), root, scratch_path(spark, "stream-state"))

@@ -16,7 +16,7 @@ from evidence_spark import policy
 from evidence_spark.functions import scalars
 from evidence_spark.operators import evidence, forest, integrity
 from evidence_spark.operators.filters import flagged
-from evidence_spark.operators.ordered import exact_percentile, ordered_lag
+from evidence_spark.operators.ordered import exact_percentile, ordered_lag, rate_of_gap
 from evidence_spark.session import scratch_table
 from evidence_spark.sources.sinks import write_batch
 
@@ -180,7 +180,7 @@ def rate_batch(batch: DataFrame, batch_id: int, root: str, key: str, time_us: st
     fresh = ordered_lag(known.filter(~F.col("_late")), [key], [time_us, tie], [time_us])
     before = F.coalesce(f"prev_{time_us}", "last_us")
     gap = (F.col(time_us) - before) / F.lit(1e6)
-    rated = scratch_table(fresh.withColumn("_rate", F.least(F.lit(1.0) / F.greatest(gap, F.lit(1e-4)), F.lit(10000.0))), "rated")
+    rated = scratch_table(fresh.withColumn("_rate", rate_of_gap(gap)), "rated")
     medians = exact_percentile(rated, [key], "_rate", 0.5, "_median")
     out = rated.join(medians, key, "left").select(key, time_us, tie, F.coalesce("_rate", "_median").alias("frequency"), F.lit(False).alias("late"))
     late = known.filter("_late").select(key, time_us, tie, F.lit(None).cast("double").alias("frequency"), F.lit(True).alias("late"))
