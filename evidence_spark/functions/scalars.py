@@ -15,9 +15,17 @@ STRICT_IPV4 = rf"^(?:{OCTET}\.){{3}}{OCTET}$"
 
 # --- small building blocks -----------------------------------------------------------
 
+def has(df: DataFrame, name: str) -> bool:
+    """Whether the table has a column. The names are read from the JVM once per table."""
+    names = df.__dict__.get("_known_columns")
+    if names is None:
+        names = df.__dict__["_known_columns"] = frozenset(df.columns)
+    return name in names
+
+
 def pick(df: DataFrame, name: str, kind: str = "string") -> Column:
     """The named column, or a typed null when the table does not have it."""
-    return F.col(name).cast(kind) if name in df.columns else F.lit(None).cast(kind)
+    return F.col(name).cast(kind) if has(df, name) else F.lit(None).cast(kind)
 
 
 def filled(column: Column) -> Column:
@@ -359,7 +367,7 @@ def anomaly_signature(df: DataFrame) -> Column:
     kind = F.lower(F.trim(text_of(pick(df, "anomaly_type"))))
     features = (
         F.array_join(F.filter(F.col("top_features"), lambda f: f.isNotNull() & (f != "")), " / ")
-        if "top_features" in df.columns
+        if has(df, "top_features")
         else F.lit(None).cast("string")
     )
     said = F.lower(F.trim(text_of(pick(df, "explanation"))))

@@ -87,7 +87,7 @@ def attack_pattern(df: DataFrame, kind: Column) -> Column:
     attempt = F.concat(F.lit("DB "), scalars.title_case(operation), F.lit(" Attempt "), F.when(blocked, "Blocked").otherwise("Recorded"))
     features = (
         F.when(F.size("top_features") > 0, F.array_join(F.transform(F.slice("top_features", 1, 2), lambda f: words(f)), " / "))
-        if "top_features" in df.columns else F.lit(None).cast("string")
+        if scalars.has(df, "top_features") else F.lit(None).cast("string")
     )
     return (
         F.when(kind == MUTATION, attempt)
@@ -114,7 +114,7 @@ def normalize_events(df: DataFrame, now: Column | None = None) -> DataFrame:
     at = pick(df, "occurred_us", "bigint")
     parsed = F.unix_micros(scalars.parse_time(timestamp, now))
     port = F.coalesce(*(filled(pick(df, n)) for n in ("port", "dst_port", "destination_port")))
-    features = F.col("top_features") if "top_features" in df.columns else F.lit(None).cast("array<string>")
+    features = F.col("top_features") if scalars.has(df, "top_features") else F.lit(None).cast("array<string>")
     return typed.select(
         F.concat_ws("-", kind, sequence.cast("string")).alias("event_id"),
         sequence.alias("sequence"),

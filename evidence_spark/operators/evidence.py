@@ -16,11 +16,11 @@ from evidence_spark.schemas import EVIDENCE, VERDICT
 
 def verdict(df: DataFrame) -> Column:
     """Verdict JSON of a scored row: score fields plus every context key that holds text."""
-    fields = {name: F.col(name) for name in ("anomaly_score", "predicted_anomaly", "severity", "model_used") if name in df.columns}
+    fields = {name: F.col(name) for name in ("anomaly_score", "predicted_anomaly", "severity", "model_used") if scalars.has(df, name)}
     if "timestamp" in df.columns:
         fields["occurred_at"] = filled(F.col("timestamp").cast("string"))
     for name in policy.VERDICT_CONTEXT_KEYS:
-        if name in df.columns:
+        if scalars.has(df, name):
             fields[name] = filled(F.col(name).cast("string"))
     return F.to_json(F.struct(*(fields[n].alias(n) for n in sorted(fields))))
 
@@ -177,7 +177,7 @@ def trim_evidence(df: DataFrame) -> DataFrame:
     blocked = F.when(name == "tamper_attempt_blocked", F.concat(
         F.lit("A "), F.coalesce(operation, F.lit("mutation")), F.lit(" attempt on sequence "), F.coalesce(about, F.lit("unknown")), F.lit(" was blocked.")))
     said = F.coalesce(filled(text.clean_ws(any_of(df, "explanation", "summary"))), blocked, F.lit(""))
-    features = F.slice(F.coalesce("top_features", F.array().cast("array<string>")), 1, 6) if "top_features" in df.columns else F.array().cast("array<string>")
+    features = F.slice(F.coalesce("top_features", F.array().cast("array<string>")), 1, 6) if scalars.has(df, "top_features") else F.array().cast("array<string>")
     return df.select(
         pick(df, "sequence", "bigint").alias("sequence"), pick(df, "evidence_id", "bigint").alias("evidence_id"),
         any_of(df, "occurred_at", "recorded_at", "timestamp").alias("occurred_at"), pick(df, "source_file").alias("source_file"),

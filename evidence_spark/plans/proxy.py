@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evidence_spark.functions import crypto, scalars
+from evidence_spark.functions import crypto
 from evidence_spark.operators import integrity
 
 DOMAINS = ["cabin", "maintenance", "afdx", "avionics", "integrity"]
@@ -26,15 +26,6 @@ def micros(column: str) -> Column:
     return F.expr(f"cast({seconds} * 1000000 as bigint)")
 
 
-def _address(domain: Column, number: Column) -> Column:
-    host = (number % 254 + 1).cast("string")
-    return (
-        F.when(domain == "cabin", F.concat(F.lit("192.168.1."), host))
-        .when(domain == "maintenance", F.concat(F.lit("192.168.2."), host))
-        .otherwise(F.concat(F.lit("10.0."), (number % 256).cast("string"), F.lit("."), host))
-    )
-
-
 def _by_index(index: Column, values: list) -> Column:
     return F.element_at(F.array(*(F.lit(v) for v in values)), (index + 1).cast("int"))
 
@@ -50,56 +41,70 @@ def event_stream(spark: SparkSession, sf_dir: str, **options) -> DataFrame:
     return spark.readStream.schema(schema).options(pathGlobFilter="events.parquet", **options).parquet(sf_dir)
 
 
+SCORE_BANDS = "CASE WHEN anomaly_score < -0.1D THEN 'HIGH' WHEN anomaly_score < 0 THEN 'MEDIUM' WHEN anomaly_score < 0.05D THEN 'LOW' ELSE 'NONE' END"
+LABELLED = "(cents > 15000 OR k % 25 = 0)"
+
+
+def _names(values: list[str]) -> str:
+    return "array(" + ", ".join(f"'{v}'" for v in values) + ")"
+
+
+def _pick_sql(values: list[str], index: str) -> str:
+    return f"element_at({_names(values)}, cast({index} as int) + 1)"
+
+
+def _address_sql(domain: str, number: str) -> str:
+    host = f"({number} % 254 + 1)"
+    return f"CASE {domain} WHEN 'cabin' THEN concat('192.168.1.', {host}) WHEN 'maintenance' THEN concat('192.168.2.', {host}) ELSE concat('10.0.', {number} % 256, '.', {host}) END"
+
+
+EVIDENCE_COLUMNS = {
+    "event_id": "event_id",
+    "ts": "ts",
+    "user_id": "user_id",
+    "k": "k",
+    "cents": "cents",
+    "sequence": "event_id + 1",
+    "evidence_id": "event_id + 1",
+    "source_file": "concat('events/', event_type, '.csv')",
+    "source_type": "CASE WHEN domain = 'integrity' THEN 'SECURITY_EVENT' ELSE 'CSV' END",
+    "source_offset": "event_id",
+    "occurred_us": "cast(cast(cast(ts - timestamp_ntz'1970-01-01 00:00:00' as interval second) as decimal(20,6)) * 1000000 as bigint)",
+    "occurred_at": "date_format(ts, \"yyyy-MM-dd'T'HH:mm:ss.SSSSSS\")",
+    "domain": "domain",
+    "data_format": "CASE domain WHEN 'avionics' THEN 'ARINC429' WHEN 'integrity' THEN 'LOG' ELSE 'PCAP' END",
+    "src": _address_sql("domain", "user_id"),
+    "dst": _address_sql("dst_domain", "(user_id * 7)"),
+    "port": "cast(element_at(array(80, 443, 8080, 22, 102, 502, 7100, 161), cast(k % 8 as int) + 1) as bigint)",
+    "protocol": "CASE WHEN k % 20 = 0 THEN 'ICMP' WHEN k % 2 = 0 THEN 'TCP' ELSE 'UDP' END",
+    "packet_size": "cents div 10",
+    "frequency": "20 + (k * 13 + user_id * 7) % 480",
+    "anomaly_score": "anomaly_score",
+    "predicted_anomaly": "cast(anomaly_score < 0 as bigint)",
+    "severity": SCORE_BANDS,
+    "is_anomaly": f"cast({LABELLED} as bigint)",
+    "anomaly_type": f"CASE WHEN {LABELLED} THEN {_pick_sql(['port_scan', 'command_injection', 'replay', 'data_exfiltration'], 'k % 4')} ELSE 'none' END",
+    "label_octal": _pick_sql(["203", "206", "360"], "k % 3"),
+    "ssm_bits": "lpad(bin(k % 4), 2, '0')",
+    "data_bits": "lpad(bin((event_id * 31 + k * 977) % 524288), 19, '0')",
+    "raw_hex": "concat('0x', lpad(hex((event_id * 2654435761 + k) % 4294967296), 8, '0'))",
+    "top_features": "CASE k % 3 WHEN 0 THEN cast(array() as array<string>) WHEN 1 THEN array('packet_size_zscore', 'port_anomaly_flag') ELSE array('frequency', 'cross_domain_flag') END",
+    "explanation": "CASE WHEN k % 5 = 0 THEN '' ELSE concat('Unusual traffic on port ', k % 8, '. Review the sender.') END",
+}
+
+
 def evidence_of(raw: DataFrame) -> DataFrame:
-    e = raw.select("event_id", "ts", "user_id", "event_type", "value", "props")
-    k = F.get_json_object("props", "$.k").cast("bigint")
-    e = e.withColumns(
-        {
-            "k": k,
-            "cents": F.floor(F.col("value") * F.lit(100.0) + F.lit(0.5)).cast("bigint"),
-            "_d": (F.array_position(F.array(*(F.lit(t) for t in EVENT_TYPES)), F.col("event_type")) - 1).cast("int"),
-        }
+    """The evidence view over event rows, batch or stream."""
+    base = raw.selectExpr(
+        "event_id", "ts", "user_id", "event_type", "cast(get_json_object(props, '$.k') as bigint) AS k",
+        "cast(floor(value * 100D + 0.5D) as bigint) AS cents", f"cast(array_position({_names(EVENT_TYPES)}, event_type) - 1 as int) AS d",
     )
-    c = F.col
-    domain = _by_index(c("_d"), DOMAINS)
-    dst_domain = F.when(c("k") % 10 == 0, _by_index((c("_d") + 1) % 5, DOMAINS)).otherwise(domain)
-    score = (F.lit(6000) - c("cents")) / F.lit(40000.0)
-    return e.select(
-        "event_id",
-        "ts",
-        "user_id",
-        "k",
-        "cents",
-        (c("event_id") + 1).alias("sequence"),
-        (c("event_id") + 1).alias("evidence_id"),
-        F.concat(F.lit("events/"), c("event_type"), F.lit(".csv")).alias("source_file"),
-        F.when(domain == "integrity", "SECURITY_EVENT").otherwise("CSV").alias("source_type"),
-        c("event_id").alias("source_offset"),
-        micros("ts").alias("occurred_us"),
-        F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("occurred_at"),
-        domain.alias("domain"),
-        F.when(domain == "avionics", "ARINC429").when(domain == "integrity", "LOG").otherwise("PCAP").alias("data_format"),
-        _address(domain, c("user_id")).alias("src"),
-        _address(dst_domain, c("user_id") * 7).alias("dst"),
-        _by_index(c("k") % 8, [80, 443, 8080, 22, 102, 502, 7100, 161]).cast("bigint").alias("port"),
-        F.when(c("k") % 20 == 0, "ICMP").when(c("k") % 2 == 0, "TCP").otherwise("UDP").alias("protocol"),
-        F.expr("cents div 10").alias("packet_size"),
-        (F.lit(20) + (c("k") * 13 + c("user_id") * 7) % 480).alias("frequency"),
-        score.alias("anomaly_score"),
-        (score < 0).cast("bigint").alias("predicted_anomaly"),
-        scalars.severity_band(score).alias("severity"),
-        ((c("cents") > 15000) | (c("k") % 25 == 0)).cast("bigint").alias("is_anomaly"),
-        F.when((c("cents") > 15000) | (c("k") % 25 == 0), _by_index(c("k") % 4, ["port_scan", "command_injection", "replay", "data_exfiltration"]))
-        .otherwise("none").alias("anomaly_type"),
-        _by_index(c("k") % 3, ["203", "206", "360"]).alias("label_octal"),
-        F.lpad(F.bin(c("k") % 4), 2, "0").alias("ssm_bits"),
-        F.lpad(F.bin((c("event_id") * 31 + c("k") * 977) % 524288), 19, "0").alias("data_bits"),
-        F.concat(F.lit("0x"), F.lpad(F.hex((c("event_id") * 2654435761 + c("k")) % 4294967296), 8, "0")).alias("raw_hex"),
-        F.when(c("k") % 3 == 0, F.array())
-        .when(c("k") % 3 == 1, F.array(F.lit("packet_size_zscore"), F.lit("port_anomaly_flag")))
-        .otherwise(F.array(F.lit("frequency"), F.lit("cross_domain_flag"))).cast("array<string>").alias("top_features"),
-        F.when(c("k") % 5 == 0, F.lit("")).otherwise(F.concat(F.lit("Unusual traffic on port "), (c("k") % 8).cast("string"), F.lit(". Review the sender."))).alias("explanation"),
+    placed = base.selectExpr(
+        "event_id", "ts", "user_id", "event_type", "k", "cents", f"{_pick_sql(DOMAINS, 'd')} AS domain",
+        f"{_pick_sql(DOMAINS, 'CASE WHEN k % 10 = 0 THEN (d + 1) % 5 ELSE d END')} AS dst_domain",
+        "cast(6000 - cents as double) / 40000D AS anomaly_score",
     )
+    return placed.selectExpr(*(f"{sql} AS {name}" for name, sql in EVIDENCE_COLUMNS.items()))
 
 
 def payload(df: DataFrame) -> Column:

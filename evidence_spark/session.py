@@ -18,6 +18,7 @@ def build_session(app_name: str = "evidence_spark", master: str | None = None, *
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        "spark.sql.dataFrameQueryContext.enabled": "false",
         "spark.ui.enabled": "false",
     }
     settings.update({key.replace("__", "."): value for key, value in conf.items()})
