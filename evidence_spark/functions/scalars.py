@@ -329,7 +329,7 @@ def volume_label(df: DataFrame) -> Column:
     )
 
 
-def family_label(df: DataFrame, run_folder: str = "logger_demo") -> Column:
+def family_label(df: DataFrame, run_folder: str = r"[^\\/]*demo") -> Column:
     kind = F.trim(text_of(pick(df, "anomaly_type")))
     named = F.when((kind != "") & (F.lower(kind) != "none"), F.replace(kind, F.lit("_"), F.lit(" ")))
     return F.coalesce(named, filled(scenario_label(pick(df, "source_file"), run_folder)), source_label(df))

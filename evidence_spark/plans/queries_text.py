@@ -10,6 +10,7 @@ from evidence_spark.operators import retrieval
 from evidence_spark.plans import proxy
 from evidence_spark.plans.oracle import with_ev
 from evidence_spark.plans.registry import query
+from evidence_spark.session import spread
 
 SPACE = "[ \\t\\n\\r\\f\\x0B]+"
 
@@ -49,6 +50,12 @@ def _snippets(source: str) -> str:
            + CASE WHEN contains(lower(p), 'risk') THEN 1 ELSE 0 END AS score FROM pu)"""
 
 
+def documents(spark, sf):
+    """Whole documents. The text rules cost far more than reading, so a scan with fewer
+    splits than cores is spread out first."""
+    return spread(proxy.table(spark, sf, "documents").select("doc_id", "text"))
+
+
 QUESTION = "What does the report say about the command and the network port for that avionics word"
 
 
@@ -59,7 +66,7 @@ def question_keywords(spark, sf):
 
 @query("indexable_docs", "WITH " + _indexable("documents") + " SELECT doc_id, text_available FROM idx")
 def indexable_docs(spark, sf):
-    return retrieval.indexable(proxy.table(spark, sf, "documents")).select("doc_id", "text_available")
+    return retrieval.indexable(documents(spark, sf)).select("doc_id", "text_available")
 
 
 @query("ranked_snippets", "WITH src AS (SELECT doc_id, text, " + _keywords(f"'{QUESTION}'") + " AS keys FROM documents), " + _snippets("src") + """
@@ -67,7 +74,7 @@ def indexable_docs(spark, sf):
       SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, position) AS rn FROM ps WHERE score > 0) WHERE rn <= 3""")
 def ranked_snippets(spark, sf):
     """Best three paragraphs of every document for one question."""
-    return retrieval.rank_snippets(proxy.table(spark, sf, "documents"), QUESTION)
+    return retrieval.rank_snippets(documents(spark, sf), QUESTION)
 
 
 @query("document_context", "WITH newest AS (SELECT * FROM documents ORDER BY doc_id DESC LIMIT 12), " + _indexable("newest") + """,
