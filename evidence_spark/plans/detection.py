@@ -59,3 +59,24 @@ def detect(packets: DataFrame, words: DataFrame, row_id: str, n_trees: int = 200
     why = [*shared, "shap_values", "top_features", "explanation_text"]
     explained = forest.explain_packets(p_flagged, stats).select(*why).unionByName(forest.explain_words(w_flagged, "label_octal").select(*why))
     return scored, explained
+
+
+def score_table(df: DataFrame, model, stats: DataFrame, kind: str = policy.PACKET_FORMAT, label: str = "label_octal") -> DataFrame:
+    """Score stored rows with a trained model. A group or label without statistics uses
+    mean 0 and deviation 1; missing flags count as 0."""
+    from evidence_spark.operators import forest
+
+    if kind == policy.PACKET_FORMAT:
+        flags = ["cross_domain_flag", "port_anomaly_flag", "protocol_anomaly_flag"]
+        ready = df.withColumns({f: F.coalesce(scalars.pick(df, f, "bigint"), F.lit(0)) for f in flags})
+        features = forest.packet_features(ready, stats, default_stats=True)
+    else:
+        ready = df.withColumns(
+            {
+                "ssm_bits": F.coalesce(scalars.pick(df, "ssm_bits"), F.lit("11")),
+                "data_bits": F.coalesce(scalars.pick(df, "data_bits"), F.lit("0" * 19)),
+                "raw_hex": F.coalesce(scalars.pick(df, "raw_hex"), F.lit("0x0")),
+            }
+        )
+        features = forest.word_features(ready, stats, label, default_stats=True)
+    return forest.score_forest(features, model, "domain", F.lit(kind))

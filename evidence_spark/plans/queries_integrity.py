@@ -266,3 +266,30 @@ def refused_read(spark, sf):
     """After an edit the gate stays closed and the read returns nothing."""
     ready = _readiness(spark, sf, True)
     return ready.withColumn("rows_read", F.lit(integrity.gated(proxy.evidence(spark, sf), ready).count()))
+
+
+@query("integrity_status", with_ev("""SELECT count(*) AS total_entries, min(created_at) AS first_seen, max(created_at) AS last_seen, 'verified' AS status, count(*) AS checked_entries,
+    CAST(NULL AS BIGINT) AS first_failure, 'verified' AS anchor_display, 'verified' AS recovery_display FROM logsrc"""))
+def integrity_status(spark, sf):
+    """Status row of the integrity panel of an intact, anchored log."""
+    return _panel(spark, sf, False)["status"]
+
+
+@query("integrity_status_broken", with_ev("""SELECT count(*) AS total_entries, 'failed' AS status, 17 AS checked_entries, 18 AS first_failure, 'not trusted' AS anchor_display,
+    'restore ready' AS recovery_display FROM logsrc WHERE sequence <> 17"""))
+def integrity_status_broken(spark, sf):
+    """The same after one row was deleted: reading stops at the row behind the gap."""
+    return _panel(spark, sf, True)["status"].drop("first_seen", "last_seen")
+
+
+def _panel(spark, sf, broken):
+    sealed = proxy.sealed_log(spark, sf)
+    rows = sealed.rows.filter(F.col("sequence") != 17) if broken else sealed.rows
+    _, summary = integrity.verify_chain(rows, KEY, sealed.segments)
+    anchored = integrity.anchor(sealed.rows, 1, "2024-02-01T00:00:00", KEY)
+    ledger = integrity.verify_ledger(integrity.mirror(sealed.rows, "2024-02-01T00:00:00", segment_rows=64), integrity.RECOVERY, "position")
+    kept = integrity.ledger_summary(ledger, "position")
+    none = spark.createDataFrame([], "batch_size_matches boolean, leaf_hashes_match boolean, merkle_root_matches boolean, ledger_matches boolean")
+    book = summary.select(F.lit(True).alias("ok"))
+    ready = integrity.readiness(summary, kept, book, none, 0, 0)
+    return integrity.integrity_panel(rows, summary, anchored, kept, ready)
