@@ -21,7 +21,7 @@ from evidence_spark.functions import scalars
 from evidence_spark.operators import joins
 from evidence_spark.operators.ordered import exact_percentile
 from evidence_spark.schemas import TREE_NODE
-from evidence_spark.session import scratch_table, shuffle_partitions, spread
+from evidence_spark.session import scratch_table, shuffle_partitions, sized, spread
 
 EULER_GAMMA = 0.5772156649015329
 MAX_MODEL_ROWS = 4_000_000  # tree nodes per broadcast; more groups are scored in turns
@@ -69,7 +69,7 @@ def sample_rows(df: DataFrame, group: str, row_id: str, n_trees: int, sample_siz
     that all trees share, the second picks the candidates of each tree. Then the
     smallest hashes of each tree are taken.
     """
-    sizes = df.groupBy(group).agg(F.count(F.lit(1)).alias("_n"))
+    sizes = sized(df.groupBy(group).agg(F.count(F.lit(1)).alias("_n")), "sizes")
     pool_target = float(8 * n_trees * sample_size)
     pooled = df.join(sizes, group).withColumn("_q", F.least(F.lit(1.0), F.lit(pool_target) / F.col("_n")))
     pooled = pooled.filter(_uniform(F.col(row_id), F.lit(seed)) < F.col("_q"))
@@ -383,7 +383,7 @@ def explain_packets(df: DataFrame, stats: DataFrame) -> DataFrame:
         F.when(_drives("port_anomaly_flag"), F.concat(F.lit("Port "), F.col("port").cast("string"), F.lit(" is not expected in the "), "domain", F.lit(" domain."))),
         F.when(_drives("protocol_anomaly_flag"), F.concat(F.lit("Protocol "), "protocol", F.lit(" is not expected in the "), "domain", F.lit(" domain."))),
     )
-    return df.join(means, "domain", "left").withColumn(
+    return df.join(sized(means, "means"), "domain", "left").withColumn(
         "explanation_text", F.coalesce(scalars.filled(said), F.lit("Packet traffic deviates from its baseline."))
     ).drop("_size", "_rate")
 

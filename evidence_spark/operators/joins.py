@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from evidence_spark import policy
 from evidence_spark.functions import scalars
-from evidence_spark.session import scratch_table
+from evidence_spark.session import scratch_table, sized
 
 
 def attach_labels(packets: DataFrame, labels: DataFrame, on: list[str] | None = None) -> DataFrame:
@@ -30,7 +30,7 @@ def attach_bit_fields(events: DataFrame, raw: DataFrame, on: list[str] | None =
 def apply_zscores(df: DataFrame, stats: DataFrame, key: str, columns: list[str], upper_tail_only: bool = True, default_stats: bool = False) -> DataFrame:
     """Add ``<column>_zscore`` from per-group mean and deviation. With
     ``default_stats`` an unknown group uses mean 0 and deviation 1."""
-    joined = df.join(stats, key, "left" if default_stats else "inner")
+    joined = df.join(sized(stats, "stats"), key, "left" if default_stats else "inner")
     out = {}
     for name in columns:
         mean, std = F.col(f"{name}_mean"), F.col(f"{name}_std")

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from evidence_spark import policy
-from evidence_spark.session import scratch_table, shuffle_partitions
+from evidence_spark.session import scratch_table, shuffle_partitions, sized
 
 _POS_BITS = 33  # monotonically_increasing_id keeps the row position in the low 33 bits
 
@@ -108,7 +108,7 @@ def exact_percentile(df: DataFrame, keys: list[str], value: str, fraction: float
     summed = running_totals(counted.withColumn("_upto", F.col("_c")), [*keys, value], {"_upto": F.col("_c")})
     spans = summed.groupBy(*keys).agg(F.sum("_c").alias("_total"), F.min(F.col("_upto") - F.col("_c")).alias("_start"))
     if isinstance(fraction, DataFrame):
-        spans = spans.join(fraction, keys)
+        spans = spans.join(sized(fraction, "fractions"), keys)
     else:
         spans = spans.withColumn("fraction", F.lit(float(fraction)))
     spans = (
@@ -120,7 +120,7 @@ def exact_percentile(df: DataFrame, keys: list[str], value: str, fraction: float
     index_to = F.col("_upto") - F.col("_start")
     at = lambda i: (index_from <= F.col(i)) & (F.col(i) < index_to)
     low, high = F.max(F.when(at("_lo"), F.col(value))), F.max(F.when(at("_hi"), F.col(value)))
-    picked = summed.join(spans, keys).filter(at("_lo") | at("_hi"))
+    picked = summed.join(sized(spans, "spans"), keys).filter(at("_lo") | at("_hi"))
     weight = F.max(F.col("_h") - F.col("_lo"))
     return picked.groupBy(*keys).agg((low + (high - low) * weight).alias(name))
 
@@ -137,7 +137,7 @@ def arrival_rate(df: DataFrame, key: str, time_us: str, tie: str, name: str = "f
     gap = (F.col(time_us) - F.col(f"prev_{time_us}")) / F.lit(1e6)
     rated = scratch_table(lagged.withColumn("_rate", rate_of_gap(gap)).drop(f"prev_{time_us}"), "rate")
     medians = exact_percentile(rated, [key], "_rate", 0.5, "_median")
-    filled = rated.join(medians, key, "left").withColumn(name, F.coalesce("_rate", "_median"))
+    filled = rated.join(sized(medians, "medians"), key, "left").withColumn(name, F.coalesce("_rate", "_median"))
     return filled.drop("_rate", "_median")
 
 

@@ -64,6 +64,14 @@ def scratch_table(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def sized(df: DataFrame, label: str) -> DataFrame:
+    """Store the small side of a join, one row per group, so that the optimizer knows its
+    true size: below the broadcast threshold it is broadcast and the large side is not
+    shuffled by a handful of keys; above it the join is an ordinary shuffle join. An
+    aggregate that is joined directly is planned with the size of its input instead."""
+    return scratch_table(df, label)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 

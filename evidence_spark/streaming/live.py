@@ -17,7 +17,7 @@ from evidence_spark.functions import scalars
 from evidence_spark.operators import evidence, forest, integrity
 from evidence_spark.operators.filters import flagged
 from evidence_spark.operators.ordered import exact_percentile, ordered_lag, rate_of_gap
-from evidence_spark.session import scratch_table
+from evidence_spark.session import scratch_table, sized
 from evidence_spark.sources.sinks import write_batch
 
 
@@ -182,7 +182,7 @@ def rate_batch(batch: DataFrame, batch_id: int, root: str, key: str, time_us: st
     gap = (F.col(time_us) - before) / F.lit(1e6)
     rated = scratch_table(fresh.withColumn("_rate", rate_of_gap(gap)), "rated")
     medians = exact_percentile(rated, [key], "_rate", 0.5, "_median")
-    out = rated.join(medians, key, "left").select(key, time_us, tie, F.coalesce("_rate", "_median").alias("frequency"), F.lit(False).alias("late"))
+    out = rated.join(sized(medians, "medians"), key, "left").select(key, time_us, tie, F.coalesce("_rate", "_median").alias("frequency"), F.lit(False).alias("late"))
     late = known.filter("_late").select(key, time_us, tie, F.lit(None).cast("double").alias("frequency"), F.lit(True).alias("late"))
     write_batch(out.unionByName(late), tables.rates, batch_id)
     write_batch(rows.groupBy(key).agg(F.max(time_us).alias("last_us")), tables.state, batch_id)
