@@ -13,7 +13,7 @@ from evidence_spark.operators import feeds, filters, joins
 from evidence_spark.operators.ordered import event_rank, temporal_edges
 from evidence_spark.session import scratch_table
 
-# events are ordered by (event_us, event_id) wherever "first" matters
+# "first" means the smallest event time, then the smallest text
 
 def _ids() -> dict[str, Column]:
     return {
@@ -46,9 +46,13 @@ def graph_nodes(events: DataFrame) -> DataFrame:
     A domain node covers a large share of all events, so its members are not collected
     here; ``node_sequences`` lists them as rows.
     """
-    first = F.min(F.struct("event_us", "event_id", "n.label", "n.domain", "n.kind"))
-    nodes = _node_rows(events).groupBy(F.col("n.id").alias("id")).agg(
-        first.alias("_f"), F.count(F.lit(1)).alias("event_count"), F.max("n.risk").alias("risk")
+    # whole-number state first, so the pass over all rows is a hash aggregation; the
+    # text of the first event is then chosen among the few variants of a node
+    variants = _node_rows(events).groupBy("n.id", "n.kind", "n.label", "n.domain").agg(
+        F.count(F.lit(1)).alias("_n"), F.max("n.risk").alias("_risk"), F.min("event_us").alias("_at")
+    )
+    nodes = variants.groupBy("id").agg(
+        F.min(F.struct("_at", "label", "domain", "kind")).alias("_f"), F.sum("_n").alias("event_count"), F.max("_risk").alias("risk")
     )
     kind = F.col("_f.kind")
     return nodes.select(
@@ -77,11 +81,10 @@ def graph_edges(events: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
         F.struct(ids[a].alias("source"), ids[b].alias("target"), label.alias("label"), F.lit(relation).alias("relation"))
         for a, b, label, relation in rules
     ]
-    rows = events.select("event_us", "event_id", F.explode(F.array(*entries)).alias("e"))
-    edges = rows.filter(F.col("e.source") != F.col("e.target")).groupBy(
-        F.col("e.source").alias("source"), F.col("e.target").alias("target"), F.col("e.relation").alias("relation")
-    ).agg(
-        F.min(F.struct("event_us", "event_id", "e.label"))["label"].alias("label"), F.count(F.lit(1)).alias("_n")
+    rows = events.select("event_us", F.explode(F.array(*entries)).alias("e")).filter(F.col("e.source") != F.col("e.target"))
+    variants = rows.groupBy("e.source", "e.target", "e.relation", "e.label").agg(F.count(F.lit(1)).alias("_c"), F.min("event_us").alias("_at"))
+    edges = variants.groupBy("source", "target", "relation").agg(
+        F.min(F.struct("_at", "label"))["label"].alias("label"), F.sum("_c").alias("_n")
     )
     if pairs is not None:
         edges = edges.unionByName(pairs.filter(F.col("source") != F.col("target")).withColumn("_n", F.lit(1).cast("bigint")))

@@ -21,20 +21,20 @@ def _graph_sql(source: str, prefix: str = "") -> str:
     return f"""
 {prefix}ids AS (SELECT *, {ids}, row_number() OVER (ORDER BY event_us, event_id, label) AS ord FROM {source}),
 {prefix}nr AS (
-  SELECT d AS id, 'domain' AS kind, {o.title('domain')} AS nlabel, domain, {o.dbl(0)} AS risk, ord FROM {prefix}ids
-  UNION ALL SELECT s, 'source', source_component, domain, 0, ord FROM {prefix}ids
-  UNION ALL SELECT t, 'target', target_component, domain, 0, ord FROM {prefix}ids
-  UNION ALL SELECT p, 'pattern', pattern, domain, 0, ord FROM {prefix}ids
-  UNION ALL SELECT event_id, 'event', label, domain, risk, ord FROM {prefix}ids),
-{prefix}nodes AS (SELECT id, arg_min(kind, ord) AS kind, arg_min(nlabel, ord) AS label, arg_min(domain, ord) AS domain, count(*) AS event_count, max(risk) AS risk FROM {prefix}nr GROUP BY id),
+  SELECT d AS id, 'domain' AS kind, {o.title('domain')} AS nlabel, domain, {o.dbl(0)} AS risk, ord, event_us FROM {prefix}ids
+  UNION ALL SELECT s, 'source', source_component, domain, 0, ord, event_us FROM {prefix}ids
+  UNION ALL SELECT t, 'target', target_component, domain, 0, ord, event_us FROM {prefix}ids
+  UNION ALL SELECT p, 'pattern', pattern, domain, 0, ord, event_us FROM {prefix}ids
+  UNION ALL SELECT event_id, 'event', label, domain, risk, ord, event_us FROM {prefix}ids),
+{prefix}nodes AS (SELECT id, arg_min(kind, (event_us, nlabel, domain, kind)) AS kind, arg_min(nlabel, (event_us, nlabel, domain, kind)) AS label, arg_min(domain, (event_us, nlabel, domain, kind)) AS domain, count(*) AS event_count, max(risk) AS risk FROM {prefix}nr GROUP BY id),
 {prefix}er AS (
-  SELECT d AS source, s AS target, 'domain' AS relation, 'contains' AS elabel, ord FROM {prefix}ids
-  UNION ALL SELECT d, p, 'domain_pattern', 'pattern cluster', ord FROM {prefix}ids
-  UNION ALL SELECT s, t, 'flow', flow, ord FROM {prefix}ids
-  UNION ALL SELECT s, event_id, 'observed', observed, ord FROM {prefix}ids
-  UNION ALL SELECT event_id, t, 'target', 'affects', ord FROM {prefix}ids
-  UNION ALL SELECT event_id, p, 'pattern', 'matches', ord FROM {prefix}ids),
-{prefix}edges0 AS (SELECT source, target, relation, arg_min(elabel, ord) AS label, count(*) - 1 + CASE relation WHEN 'domain_pattern' THEN 3 WHEN 'flow' THEN 3 ELSE 2 END AS weight
+  SELECT d AS source, s AS target, 'domain' AS relation, 'contains' AS elabel, event_us FROM {prefix}ids
+  UNION ALL SELECT d, p, 'domain_pattern', 'pattern cluster', event_us FROM {prefix}ids
+  UNION ALL SELECT s, t, 'flow', flow, event_us FROM {prefix}ids
+  UNION ALL SELECT s, event_id, 'observed', observed, event_us FROM {prefix}ids
+  UNION ALL SELECT event_id, t, 'target', 'affects', event_us FROM {prefix}ids
+  UNION ALL SELECT event_id, p, 'pattern', 'matches', event_us FROM {prefix}ids),
+{prefix}edges0 AS (SELECT source, target, relation, arg_min(elabel, (event_us, elabel)) AS label, count(*) - 1 + CASE relation WHEN 'domain_pattern' THEN 3 WHEN 'flow' THEN 3 ELSE 2 END AS weight
   FROM {prefix}er WHERE source <> target GROUP BY source, target, relation)"""
 
 
