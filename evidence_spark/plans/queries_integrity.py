@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from evidence_spark.functions import crypto
 from evidence_spark.operators import integrity
-from evidence_spark.plans import oracle as o
 from evidence_spark.plans import proxy
 from evidence_spark.plans.oracle import with_ev
 from evidence_spark.plans.registry import query
@@ -52,7 +51,7 @@ def seal_log(spark, sf):
     return proxy.sealed_log(spark, sf).rows.select("sequence", "segment_id", "payload_sha256", "previous_hash", "entry_hash")
 
 
-@query("seal_head", with_ev(f"""SELECT hs[1] AS head_hash FROM fold ORDER BY step DESC LIMIT 1""", SEALED, f"""
+@query("seal_head", with_ev("SELECT hs[1] AS head_hash FROM fold ORDER BY step DESC LIMIT 1", SEALED, f"""
 heads AS (SELECT segment_id, arg_max(entry_hash, sequence) AS h FROM sealed GROUP BY segment_id),
 fold AS (SELECT 0 AS step, list(h ORDER BY segment_id) AS hs FROM heads
   UNION ALL SELECT step + 1, list_transform(range(0, (len(hs) + 63) // 64), lambda g: list_reduce(list_concat([{ZERO}], hs[g * 64 + 1 : g * 64 + 64]), lambda a, x: sha256(a || x))) FROM fold WHERE len(hs) > 1)""", recursive=True))
