@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evidence_spark.llm import line_dedup, packing, quality, simhash, suffix_dedup
+from evidence_spark.llm import bpe, chat, knn, line_dedup, packing, quality, quality_rules, simhash, suffix_dedup, toxicity
 from evidence_spark.session import scratch_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -72,3 +72,34 @@ FROM marked GROUP BY doc_id""",
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = line_dedup.without_frequent_lines(_table(spark, sf_dir, "documents"))
     return done.select("row.doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
+@query("op3_quality_rules")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.assess(_table(spark, sf_dir, "documents")).drop("k1", "k2")
+
+
+@query("op5_chat_formatting")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = "</s>[INST] ok [/INST]"
+    more = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    return chat.read_back(chat.expand(turns.unionByName(more)))
+
+
+@query("op7_bpe")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = bpe.digests(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return done.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+
+
+@query("op8_top_k_search")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    data = scratch_table(knn.scaled(_table(spark, sf_dir, "embeddings")), "knn-scaled")
+    return knn.top_k(data, data.filter("vec_id % 50 = 0"))
+
+
+@query("op9_toxicity")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    graded = toxicity.grade(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    return graded.select("doc_id", "severity", "p_toxic", "toxic")
