@@ -109,7 +109,7 @@ def _reranked(rows: DataFrame, following: str) -> DataFrame:
     pairs = rows.groupBy("rank", following).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
     in_order = pairs.repartitionByRange(shuffle_partitions(rows.sparkSession), "rank", following).sortWithinPartitions("rank", following)
     ranks = scratch_table(in_order.withColumn("next", F.monotonically_increasing_id()), "suffix-ranks")
-    joined = join_checked(rows, ranks, ["rank", following], "inner")
+    joined = rows.join(ranks, ["rank", following])
     return scratch_table(joined.drop("rank", following).withColumnRenamed("next", "rank"), "suffix-rows")
 
 
@@ -148,7 +148,7 @@ def _split(texts: DataFrame, active: DataFrame, width: int, g: Geometry) -> Data
     names = ["k1", "k2", "a", "low", "high", "known", "class", "at", "shared", "cover"]
     schema = "k1 long, k2 long, a long, low int, high int, known boolean, class long, at int, shared long, cover long"
     types = [pa.int64()] * 3 + [pa.int32()] * 2 + [pa.bool_(), pa.int64(), pa.int32(), pa.int64(), pa.int64()]
-    joined = join_checked(texts, per_document, ["k1", "k2"], "inner", 32 + 48 * F.size("items"))
+    joined = texts.join(per_document, ["k1", "k2"])
     return scratch_table(map_rows(joined, schema, rows, names, types, 100_000), "suffix-split")
 
 
