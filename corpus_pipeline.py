@@ -1,27 +1,69 @@
-"""The corpus pipeline: documents in, packed training sequences out."""
+"""The corpus pipeline: documents in, packed training sequences out.
+
+Each stage works on all rows that the one before it kept and, but for the last, returns the
+columns of ``documents``. Rows whose text becomes empty stay as empty documents until
+near-dedup, where they are copies of each other.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from evidence_spark.llm import quality
+from evidence_spark.llm import line_dedup, packing, quality, simhash, suffix_dedup
 from evidence_spark.session import scratch_table
 
 
+def _counted(docs: DataFrame) -> DataFrame:
+    """``n_chars`` of the text as it is now, where there is such a column."""
+    if "n_chars" not in docs.columns:
+        return docs
+    return docs.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
+
+
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier does not reject."""
     return quality.accepted(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
-STAGES = [("quality classifier", quality_stage)]
+def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the lines that ten or more documents share."""
+    return _counted(line_dedup.dedup_lines(docs))
+
+
+def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates."""
+    return simhash.one_of_each(docs)
+
+
+def suffix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the passages of 400 bytes or more that occur at another place too."""
+    return _counted(suffix_dedup.dedup_passages(docs))
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the documents and their places in sequences of 2048 tokens."""
+    stored = scratch_table(packing.pieces(docs, public_tokenizers.path("byte_bpe_50k.json")), "packing-lengths")
+    return packing.pack(stored).drop("k1", "k2")
+
+
+STAGES = [
+    ("quality classifier", quality_stage),
+    ("line dedup", line_stage),
+    ("SimHash near-dedup", near_duplicate_stage),
+    ("suffix-array dedup", suffix_stage),
+    ("best-fit packing", packing_stage),
+]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``; each result is stored and read again by the next stage."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
         docs = scratch_table(stage(spark, docs, sf_dir), name.replace(" ", "-"))
     return STAGES[-1][1](spark, docs, sf_dir)
 
 
-#: Most stages learn or follow links of unbounded length, which SQL cannot state; tests compare with brute force.
+#: Learned scores, links of unbounded length and packing cannot be stated in SQL; tests compare with brute force.
 ORACLE_SQL = None
