@@ -14,6 +14,8 @@ BASE_WINDOW = 8
 SEQUENCE_LIMITS = {5: 0.30, 6: 0.28, 8: 0.26, 10: 0.24}
 #: Largest allowed shares of lines, and of their characters, that repeat an earlier line.
 LINE_LIMIT, LINE_CHARS_LIMIT = 0.30, 0.30
+#: Repeated lines from which their share counts: one of three lines is no pattern.
+LEAST_LINES = 3
 #: Texts of fewer words are judged by the base rule alone: in them one phrase is a large share.
 LEAST_WORDS = 40
 _SYMBOLS = b"#*$%&|<>"
@@ -69,7 +71,8 @@ def verdict(m: dict) -> tuple[bool, bool]:
     if failed or m["n_words"] < LEAST_WORDS:
         return failed, not failed
     within = all(m[f"dup_{k}_share"] <= limit for k, limit in SEQUENCE_LIMITS.items())
-    return False, within and m["dup_line_share"] <= LINE_LIMIT and m["dup_line_char_share"] <= LINE_CHARS_LIMIT
+    few = m["n_dup_lines"] < LEAST_LINES or m["dup_line_share"] <= LINE_LIMIT
+    return False, within and few and m["dup_line_char_share"] <= LINE_CHARS_LIMIT
 
 
 _COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]

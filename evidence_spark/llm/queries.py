@@ -79,7 +79,29 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.assess(_table(spark, sf_dir, "documents")).drop("k1", "k2")
 
 
-@query("op5_chat_formatting")
+@query(
+    "op5_chat_formatting",
+    r"""
+WITH c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'
+), e AS (
+  SELECT *, regexp_replace(regexp_replace(replace(text, '\', '\\'), '(<)(s>|/s>|<SYS>>|</SYS>>)', '\1\\\2', 'g'),
+      '(\[)(INST\]|/INST\]|ROLE\]|/ROLE\]|/TURN\])', '\1\\\2', 'g') AS x,
+    regexp_replace(regexp_replace(replace(role, '\', '\\'), '(<)(s>|/s>|<SYS>>|</SYS>>)', '\1\\\2', 'g'),
+      '(\[)(INST\]|/INST\]|ROLE\]|/ROLE\]|/TURN\])', '\1\\\2', 'g') AS r FROM c
+), p AS (
+  SELECT *, length(x) + CASE role WHEN 'user' THEN 15 WHEN 'assistant' THEN 5 WHEN 'system' THEN 15 ELSE 20 + length(r) END AS n FROM e
+), w AS (
+  SELECT *, 3 + sum(n) OVER (PARTITION BY conv_id ORDER BY turn, role, text ROWS UNBOUNDED PRECEDING) AS upto,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC, role DESC, text DESC) = 1 AS is_last FROM p
+)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(upto) FILTER (WHERE role = 'assistant' OR is_last) AS BIGINT) AS formatted_chars
+FROM w GROUP BY conv_id""",
+)
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = "</s>[INST] ok [/INST]"
@@ -93,7 +115,19 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
-@query("op8_top_k_search")
+@query(
+    "op8_top_k_search",
+    """
+WITH v AS (
+  SELECT DISTINCT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+)
+SELECT query_id, rank, vec_id, score FROM (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.e, c.e) AS BIGINT) AS score,
+    row_number() OVER (PARTITION BY q.vec_id ORDER BY list_dot_product(q.e, c.e) DESC, c.vec_id) AS rank
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0
+) WHERE rank <= 5""",
+)
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     data = scratch_table(knn.scaled(_table(spark, sf_dir, "embeddings")), "knn-scaled")
     return knn.top_k(data, data.filter("vec_id % 50 = 0"))

@@ -47,7 +47,7 @@ def corpus(seed, threshold):
     return texts + [texts[8], texts[8], base, base[1:], base[:-1]]
 
 
-@pytest.mark.parametrize("threshold,seed", [(400, 1), (400, 2), (20, 3), (9, 4)])
+@pytest.mark.parametrize("threshold,seed", [(400, 1), (9, 4)])
 def test_agrees_with_enumeration(spark, threshold, seed):
     texts = corpus(seed, threshold)
     docs = spark.createDataFrame([(i, t, "x", i) for i, t in enumerate(texts)], SCHEMA).repartition(5)
