@@ -7,6 +7,7 @@ model does not depend on how the data happens to be partitioned.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -29,13 +30,13 @@ MAX_MODEL_ROWS = 4_000_000  # tree nodes per broadcast; more groups are scored i
 
 # --- features -----------------------------------------------------------------------------
 
-def packet_features(df: DataFrame, stats: DataFrame, default_stats: bool = False) -> DataFrame:
+def packet_features(df: DataFrame, stats: DataFrame) -> DataFrame:
     """Size, rate, their clipped z-scores and the three policy flags as doubles."""
-    scored = joins.apply_zscores(df, stats, "domain", ["packet_size", "frequency"], True, default_stats)
+    scored = joins.apply_zscores(df, stats, "domain", ["packet_size", "frequency"])
     return scored.withColumns({name: F.col(name).cast("double") for name in policy.PACKET_FEATURES})
 
 
-def word_features(df: DataFrame, stats: DataFrame, key: str = "src", default_stats: bool = False) -> DataFrame:
+def word_features(df: DataFrame, stats: DataFrame, key: str = "src") -> DataFrame:
     """Status bits, parity, z-score of the data field and word rate as doubles."""
     parsed = df.withColumns(
         {
@@ -44,7 +45,7 @@ def word_features(df: DataFrame, stats: DataFrame, key: str = "src", default_sta
             "parity_valid": scalars.parity_valid(F.col("raw_hex")),
         }
     )
-    scored = joins.apply_zscores(parsed, stats, key, ["data_bits_int"], False, default_stats)
+    scored = joins.apply_zscores(parsed, stats, key, ["data_bits_int"], False)
     renamed = scored.withColumnRenamed("data_bits_int_zscore", "data_bits_zscore")
     return renamed.withColumns({name: F.col(name).cast("double") for name in policy.WORD_FEATURES})
 
@@ -55,7 +56,8 @@ def word_features(df: DataFrame, stats: DataFrame, key: str = "src", default_sta
 class Forest:
     features: list[str]
     trees: DataFrame
-    thresholds: DataFrame
+    thresholds: DataFrame | None
+    scores: DataFrame | None = None  # raw scores of the rows trained on, by group and row id
 
 
 def _uniform(*cols: Column) -> Column:
@@ -152,7 +154,7 @@ def fit_forest(
     scores = scratch_table(raw_scores(needed.select(group, row_id, *features), Forest(features, trees, None), group), "scores")
     by_group = scores.select(F.col(group).cast("string").alias("model_group"), "raw_score")
     thresholds = scratch_table(exact_percentile(by_group, ["model_group"], "raw_score", share, "threshold"), "thresholds")
-    return Forest(features, trees, thresholds)
+    return Forest(features, trees, thresholds, scores.select(group, row_id, "raw_score"))
 
 
 # --- scoring ----------------------------------------------------------------------------------
@@ -198,8 +200,10 @@ def _path_lengths(pack: dict, x: np.ndarray) -> np.ndarray:
     return pack["value"].take(node).mean(axis=1)
 
 
-def _model_parts(trees: DataFrame) -> list[pd.DataFrame]:
-    """The tree table in pieces that are small enough to send to every executor."""
+def _by_part(df: DataFrame, trees: DataFrame, group: str) -> Iterator[tuple[pd.DataFrame, DataFrame]]:
+    """The tree table in pieces that are small enough to send to every executor, one at a
+    time, each with the rows of its groups. Rows of groups without a tree come with the first
+    piece, so they are kept whatever the number of pieces."""
     sizes = trees.groupBy("model_group").count().orderBy("model_group").collect()
     turns, current, rows = [], [], 0
     for size in sizes:
@@ -210,7 +214,11 @@ def _model_parts(trees: DataFrame) -> list[pd.DataFrame]:
         rows += size["count"]
     if current:
         turns.append(current)
-    return [trees.filter(F.col("model_group").isin(names)).toPandas() for names in turns]
+    name = F.col(group).cast("string")
+    for i, names in enumerate(turns or [[]]):
+        others = [n for j, turn in enumerate(turns) if j != i for n in turn]
+        mine = ~F.coalesce(name.isin(others), F.lit(False)) if i == 0 else name.isin(names)
+        yield trees.filter(F.col("model_group").isin(names)).toPandas(), df.filter(mine) if len(turns) > 1 else df
 
 
 def raw_scores(df: DataFrame, forest: Forest, group: str) -> DataFrame:
@@ -218,8 +226,7 @@ def raw_scores(df: DataFrame, forest: Forest, group: str) -> DataFrame:
     features, spark = forest.features, df.sparkSession
     schema = StructType([*df.schema.fields, StructField("raw_score", DoubleType())])
     out = None
-    parts = _model_parts(forest.trees)
-    for part in parts:
+    for part, mine in _by_part(df, forest.trees, group):
         model = spark.sparkContext.broadcast(_pack(part))
 
         def score(batches, model=model):
@@ -235,7 +242,6 @@ def raw_scores(df: DataFrame, forest: Forest, group: str) -> DataFrame:
                             result[chunk] = -np.power(2.0, -_path_lengths(pack, x[chunk]) / pack["norm"])
                 yield rows.assign(raw_score=result)
 
-        mine = df if len(parts) == 1 else df.filter(F.col(group).cast("string").isin(list(part["model_group"].unique())))
         scored = spread(mine).mapInPandas(score, schema)
         out = scored if out is None else out.unionByName(scored)
     return out
@@ -243,7 +249,17 @@ def raw_scores(df: DataFrame, forest: Forest, group: str) -> DataFrame:
 
 def score_forest(df: DataFrame, forest: Forest, group: str, model_used: Column) -> DataFrame:
     """Add decision value, flag, severity and model tag. Groups without a model drop out."""
-    scored = raw_scores(df, forest, group).filter(~F.isnan("raw_score"))
+    return _decided(raw_scores(df, forest, group).filter(~F.isnan("raw_score")), forest, group, model_used)
+
+
+def score_trained(df: DataFrame, forest: Forest, group: str, row_id: str, model_used: Column) -> DataFrame:
+    """As ``score_forest`` for the rows the forest was trained on: their raw scores are known
+    from setting its threshold, so no row passes the trees twice."""
+    known = forest.scores.filter(~F.isnan("raw_score"))
+    return _decided(df.join(known, [group, row_id]), forest, group, model_used)
+
+
+def _decided(scored: DataFrame, forest: Forest, group: str, model_used: Column) -> DataFrame:
     limits = forest.thresholds.select(F.col("model_group").alias("_g"), "threshold")
     decided = scored.join(limits, F.col(group).cast("string") == F.col("_g")).drop("_g")
     return decided.withColumn("anomaly_score", F.col("raw_score") - F.col("threshold")).withColumns(
@@ -334,8 +350,7 @@ def attribute(flagged: DataFrame, forest: Forest, group: str, names: dict[str, s
     width = len(features)
     schema = StructType([*flagged.schema.fields, *(StructField(f"_phi{i}", DoubleType()) for i in range(width))])
     out = None
-    parts = _model_parts(forest.trees)
-    for part in parts:
+    for part, mine in _by_part(flagged, forest.trees, group):
         model = spark.sparkContext.broadcast(_pack(part))
 
         def explain_batches(batches, model=model):
@@ -351,7 +366,6 @@ def attribute(flagged: DataFrame, forest: Forest, group: str, names: dict[str, s
                     phi[mine] = _attributions(pack, x[mine])
                 yield rows.assign(**{f"_phi{i}": phi[:, i] for i in range(width)})
 
-        mine = flagged if len(parts) == 1 else flagged.filter(F.col(group).cast("string").isin(list(part["model_group"].unique())))
         explained = spread(mine).mapInPandas(explain_batches, schema)
         out = explained if out is None else out.unionByName(explained)
     shown = [names.get(f, f) for f in features]

@@ -44,14 +44,14 @@ def detect(packets: DataFrame, words: DataFrame, row_id: str, n_trees: int = 200
     stats = scratch_table(aggregates.domain_baseline(packets), "stats")
     p = scratch_table(forest.packet_features(packets, stats), "packets")
     p_model = forest.fit_forest(p, "domain", row_id, policy.PACKET_FEATURES, n_trees=n_trees, sample_size=sample_size, seed=seed)
-    p_scored = scratch_table(forest.score_forest(p, p_model, "domain", F.lit(policy.PACKET_FORMAT)), "scored")
+    p_scored = scratch_table(forest.score_trained(p, p_model, "domain", row_id, F.lit(policy.PACKET_FORMAT)), "scored")
     p_flagged = forest.attribute(filters.flagged(p_scored), p_model, "domain")
 
     bits = words.withColumn("data_bits_int", scalars.bits_to_int(F.col("data_bits")))
     w_stats = scratch_table(aggregates.label_baseline(bits, key="label_octal"), "stats")
     w = scratch_table(forest.word_features(words, w_stats, "label_octal"), "words")
     w_model = forest.fit_forest(w, "domain", row_id, policy.WORD_FEATURES, n_trees=n_trees, sample_size=sample_size, seed=seed)
-    w_scored = scratch_table(forest.score_forest(w, w_model, "domain", F.lit(policy.WORD_FORMAT)), "scored")
+    w_scored = scratch_table(forest.score_trained(w, w_model, "domain", row_id, F.lit(policy.WORD_FORMAT)), "scored")
     w_flagged = forest.attribute(filters.flagged(w_scored), w_model, "domain")
 
     shared = [row_id, "domain", "is_anomaly", "anomaly_score", "predicted_anomaly", "severity", "model_used"]
@@ -69,7 +69,7 @@ def score_table(df: DataFrame, model, stats: DataFrame, kind: str = policy.PACKE
     if kind == policy.PACKET_FORMAT:
         flags = ["cross_domain_flag", "port_anomaly_flag", "protocol_anomaly_flag"]
         ready = df.withColumns({f: F.coalesce(scalars.pick(df, f, "bigint"), F.lit(0)) for f in flags})
-        features = forest.packet_features(ready, stats, default_stats=True)
+        features = forest.packet_features(ready, stats)
     else:
         ready = df.withColumns(
             {
@@ -78,5 +78,5 @@ def score_table(df: DataFrame, model, stats: DataFrame, kind: str = policy.PACKE
                 "raw_hex": F.coalesce(scalars.pick(df, "raw_hex"), F.lit("0x0")),
             }
         )
-        features = forest.word_features(ready, stats, label, default_stats=True)
+        features = forest.word_features(ready, stats, label)
     return forest.score_forest(features, model, "domain", F.lit(kind))

@@ -73,3 +73,19 @@ def test_explanations_need_top_two_and_negative(spark):
 def test_sample_is_bounded_per_tree(spark):
     sizes = forest.sample_rows(data(spark, 4), "grp", "id", 5, 32, 1).groupBy("grp", "tree").count().collect()
     assert len(sizes) == 10 and all(r["count"] == 32 for r in sizes)
+
+
+def test_pieces_of_the_model_give_the_same_rows(spark, monkeypatch):
+    df = data(spark, 3)
+    model = forest.fit_forest(df, "grp", "id", COLS, n_trees=5, sample_size=16)
+    more = df.unionByName(spark.createDataFrame([("new", 9000, 0.0, 0.0, 0), (None, 9001, 0.0, 0.0, 0)], df.schema))
+    whole = sorted((r.id, round(r._phi, 9)) for r in attributed(more, model).collect())
+    monkeypatch.setattr(forest, "MAX_MODEL_ROWS", 1)
+    assert whole == sorted((r.id, round(r._phi, 9)) for r in attributed(more, model).collect()) and len(whole) == 614
+    known = forest.score_trained(df, model, "grp", "id", F.lit("m"))
+    again = forest.score_forest(df, model, "grp", F.lit("m"))
+    assert {r.id: round(r.anomaly_score, 9) for r in known.collect()} == {r.id: round(r.anomaly_score, 9) for r in again.collect()}
+
+
+def attributed(df, model):
+    return forest.attribute(df, model, "grp").select("id", F.col("shap_values")["x"].alias("_phi"))
