@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
@@ -31,15 +32,19 @@ def run_available(stream: DataFrame, handle, checkpoint: str, mode: str = "appen
     return query
 
 
-def read_batches(spark: SparkSession, path: str, before: int | None = None) -> DataFrame | None:
-    """All batches of a table, or those before one batch id; None while there are none."""
+def read_batches(spark: SparkSession, path: str) -> DataFrame | None:
+    """All batches of a table; None while there are none."""
     try:
-        table = spark.read.parquet(path)
-    except Exception as missing:  # the table appears with its first batch
-        if "PATH_NOT_FOUND" in str(missing) or "UNABLE_TO_INFER_SCHEMA" in str(missing):
+        return spark.read.parquet(path)
+    except AnalysisException as missing:  # the table appears with its first batch
+        if missing.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
             return None
         raise
-    return table if before is None else table.filter(F.col("batch_id") < before)
+
+
+def read_batch(spark: SparkSession, path: str, batch_id: int) -> DataFrame | None:
+    """One batch of a table, without looking at the others; None where there is none."""
+    return read_batches(spark, f"{path}/batch_id={batch_id}")
 
 
 def latest_by_key(table: DataFrame, keys: list[str]) -> DataFrame:
@@ -69,11 +74,16 @@ HEADS = StructType([
 
 
 def _last_head(spark: SparkSession, tables: IntakeTables, batch_id: int) -> tuple:
-    heads = read_batches(spark, tables.heads, batch_id)
-    row = None if heads is None else heads.orderBy(F.desc("batch_id")).first()
+    """The head after the batch before; every batch leaves one, also an empty or rejected one."""
+    heads = read_batch(spark, tables.heads, batch_id - 1)
+    row = None if heads is None else heads.first()
     if row is None:
-        return policy.GENESIS_HASH, 0, 0, policy.GENESIS_HASH, 0
-    return tuple(row[n] for n in HEADS.names[:5])
+        return policy.GENESIS_HASH, 0, 0, policy.GENESIS_HASH, 0, None
+    return tuple(row[n] for n in HEADS.names)
+
+
+def _write_head(spark: SparkSession, tables: IntakeTables, batch_id: int, head: tuple) -> None:
+    write_batch(spark.createDataFrame([head], HEADS), tables.heads, batch_id)
 
 
 def intake_batch(batch: DataFrame, batch_id: int, root: str, key_id: str = "", segment_rows: int = 4096) -> str:
@@ -89,13 +99,16 @@ def intake_batch(batch: DataFrame, batch_id: int, root: str, key_id: str = "", s
         F.count(F.lit(1)).alias("n"), F.count_if(~F.coalesce(readable, F.lit(False))).alias("bad"),
         F.count("verdict").alias("scored"), F.max("recorded_at").alias("at"),
     ).first()
+    before = _last_head(spark, tables, batch_id)
     if counts["n"] == 0:
+        _write_head(spark, tables, batch_id, before)
         return "empty"
     if counts["bad"] or 0 < counts["scored"] < counts["n"]:
         reason = "unreadable payload" if counts["bad"] else "scored and raw records mixed"
         write_batch(records.withColumn("reason", F.lit(reason)), tables.rejects, batch_id)
+        _write_head(spark, tables, batch_id, before)
         return reason
-    head, last_sequence, last_evidence, checkpoint_hash, checkpoints = _last_head(spark, tables, batch_id)
+    head, last_sequence, last_evidence, checkpoint_hash, checkpoints, _ = before
     field = lambda path: F.get_json_object("payload", path)
     meta = F.to_json(F.struct(
         scalars.filled(field("$.anomaly_type")).alias("anomaly_type"), scalars.filled(field("$.data_format")).alias("data_format"),
@@ -127,7 +140,7 @@ def intake_batch(batch: DataFrame, batch_id: int, root: str, key_id: str = "", s
         last_evidence += counts["n"]
         checkpoint_hash, checkpoints = stored.first()["ledger_hash"], checkpoints + 1
     new_head = (sealed.head.first()["head_hash"], last_sequence + counts["n"], last_evidence, checkpoint_hash, checkpoints, counts["at"])
-    write_batch(spark.createDataFrame([new_head], HEADS), tables.heads, batch_id)
+    _write_head(spark, tables, batch_id, new_head)
     return "sealed"
 
 
@@ -140,14 +153,13 @@ def verify_new_batches(spark: SparkSession, root: str, key_id: str) -> DataFrame
     """Verify the sealed batches that have no result yet and store one row for each;
     the trust gate then reads this small table instead of the log."""
     tables = IntakeTables(root)
-    heads = read_batches(spark, tables.heads)
+    sealed = read_batches(spark, tables.segments).select("batch_id").distinct()
     known = read_batches(spark, tables.verified)
-    todo = heads if known is None else heads.join(known.select("batch_id"), "batch_id", "left_anti")
+    todo = sealed if known is None else sealed.join(known.select("batch_id"), "batch_id", "left_anti")
     for row in todo.select("batch_id").orderBy("batch_id").toLocalIterator():
         batch_id = row["batch_id"]
         before = _last_head(spark, tables, batch_id)[0]
-        log = read_batches(spark, tables.log).filter(F.col("batch_id") == batch_id).drop("batch_id")
-        segments = read_batches(spark, tables.segments).filter(F.col("batch_id") == batch_id).drop("batch_id")
+        log, segments = read_batch(spark, tables.log, batch_id), read_batch(spark, tables.segments, batch_id)
         _, summary = integrity.verify_chain(log, key_id, segments, previous_head=before)
         write_batch(summary, tables.verified, batch_id)
     return read_batches(spark, tables.verified)
@@ -165,14 +177,13 @@ def intake_liveness(heads: DataFrame, now_us: int, seconds: int = 5) -> DataFram
 # --- rates, scores, trends ------------------------------------------------------------------------
 
 def rate_batch(batch: DataFrame, batch_id: int, root: str, key: str, time_us: str, tie: str) -> None:
-    """Arrival rates of one batch. The carried state is one row per key (its last time);
-    the rows themselves go through the range-partitioned lag, so one busy key is no
+    """Arrival rates of one batch. The carried state is one row per key (its last time),
+    merged and written anew with every batch, so only that of the batch before is read; the rows themselves go through the range-partitioned lag, so one busy key is no
     bottleneck. A row older than the carried time is late: its rate is null."""
     spark = batch.sparkSession
     tables = IntakeTables(root)
     rows = scratch_table(batch.select(key, time_us, tie), "rates")
-    state = read_batches(spark, tables.state, batch_id)
-    carried = None if state is None else state.groupBy(key).agg(F.max("last_us").alias("last_us"))
+    carried = read_batch(spark, tables.state, batch_id - 1)
     if carried is None:
         carried = spark.createDataFrame([], StructType([rows.schema[key], StructField("last_us", LongType())]))
     carried = scratch_table(carried, "carried")
@@ -185,7 +196,8 @@ def rate_batch(batch: DataFrame, batch_id: int, root: str, key: str, time_us: st
     out = rated.join(sized(medians, "medians"), key, "left").select(key, time_us, tie, F.coalesce("_rate", "_median").alias("frequency"), F.lit(False).alias("late"))
     late = known.filter("_late").select(key, time_us, tie, F.lit(None).cast("double").alias("frequency"), F.lit(True).alias("late"))
     write_batch(out.unionByName(late), tables.rates, batch_id)
-    write_batch(rows.groupBy(key).agg(F.max(time_us).alias("last_us")), tables.state, batch_id)
+    state = carried.unionByName(rows.select(key, F.col(time_us).alias("last_us")))
+    write_batch(state.groupBy(key).agg(F.max("last_us").alias("last_us")), tables.state, batch_id)
 
 
 def stream_arrival_rate(stream: DataFrame, root: str, checkpoint: str, key: str = "domain", time_us: str = "occurred_us", tie: str = "sequence"):
