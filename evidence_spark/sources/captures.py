@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import struct
+from itertools import islice
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -89,10 +90,10 @@ def _decode_batches(batches):
     names = schemas.PACKET.names
     for files in batches:
         for path, content in zip(files["source_file"], files["content"]):
-            rows = [(path, *packet) for packet in decode_capture(bytes(content))]
-            # a long capture leaves in pieces, so a batch never holds all of its rows
-            for start in range(0, len(rows), 50_000):
-                yield pd.DataFrame(rows[start:start + 50_000], columns=names)
+            packets = ((path, *packet) for packet in decode_capture(bytes(content)))
+            # a long capture leaves in pieces, so its rows are never held all at once
+            while rows := list(islice(packets, 50_000)):
+                yield pd.DataFrame(rows, columns=names)
 
 
 def read_captures(spark: SparkSession, path: str, domain: str | None = None, glob: str = "*.pcap") -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
@@ -22,7 +24,11 @@ def source_path(column: Column) -> Column:
 
 
 def read_labels(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.option("header", True).schema(schemas.PACKET_LABELS).csv(path)
+    """Sidecar labels of one or many captures; ``source_file`` is the capture a sidecar
+    ``<capture>_labels.csv`` belongs to."""
+    rows = spark.read.option("header", True).schema(schemas.PACKET_LABELS).csv(path)
+    capture = F.regexp_replace(source_path(F.col("_metadata.file_path")), r"_labels\.csv$", ".pcap")
+    return rows.select(capture.alias("source_file"), *rows.columns)
 
 
 def read_word_log(spark: SparkSession, path: str) -> DataFrame:
@@ -57,10 +63,30 @@ def with_file_offset(rows: DataFrame) -> DataFrame:
     return placed.select(*rows.columns, source_path(F.col("file_path")).alias("source_file"), (F.col("_before") + F.col("_at")).cast("bigint").alias("source_offset"))
 
 
-def read_row_events(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:
-    """CSV rows as raw events: canonical JSON payload, row number, column list."""
-    reader = spark.read.option("header", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv")
-    rows = reader.csv(path)
+def files_by_header(spark: SparkSession, path: str) -> dict[str, list[str]]:
+    """CSV files below ``path`` by their first line; empty files have none and are left out.
+    Like Spark's own listing of the input this holds file names, never rows."""
+    lines = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv").text(path)
+    at_start = lines.select("value", "_metadata.file_path", "_metadata.file_block_start").filter("file_block_start = 0")
+    first = at_start.withColumn("_id", F.monotonically_increasing_id()).groupBy("file_path").agg(F.min_by("value", "_id").alias("header"))
+    kinds: dict[str, list[str]] = {}
+    for row in first.orderBy("file_path").collect():
+        kinds.setdefault(row["header"], []).append(row["file_path"])
+    return kinds
+
+
+def read_row_events(spark: SparkSession, path: str, columns: list[str] | None = None, multiline: bool = False) -> DataFrame:
+    """CSV rows as raw events: canonical JSON payload, row number, column list. Files are
+    read with their own header. ``multiline`` reads quoted line breaks; such files are
+    not split."""
+    parts = [_rows_of_kind(spark, files, columns, multiline) for files in files_by_header(spark, path).values()]
+    if not parts:
+        return spark.createDataFrame([], schemas.RAW_EVENT)
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _rows_of_kind(spark: SparkSession, files: list[str], columns: list[str] | None, multiline: bool) -> DataFrame:
+    rows = spark.read.option("header", True).option("multiLine", multiline).csv(files)
     names = columns or rows.columns
     placed = with_file_offset(rows)
     body = crypto.canonical({n: F.coalesce(F.col(f"`{n}`"), F.lit("")) for n in names})
@@ -90,12 +116,8 @@ def read_chunks(spark: SparkSession, path: str, chunk_bytes: int = policy.CHUNK_
 
 
 def read_raw_events(spark: SparkSession, path: str) -> DataFrame:
-    """A folder with everything below it: CSV files by row, all others by chunk. CSV
-    files of one call share a header; call once per kind of table otherwise."""
-    listing = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path")
-    has_csv = not listing.filter(F.lower("path").endswith(".csv")).isEmpty()
-    chunks = read_chunks(spark, path, skip_csv=True)
-    return read_row_events(spark, path).unionByName(chunks) if has_csv else chunks
+    """A folder with everything below it: CSV files by row, all others by chunk."""
+    return read_row_events(spark, path).unionByName(read_chunks(spark, path, skip_csv=True))
 
 
 def list_files(spark: SparkSession, path: str) -> DataFrame:
@@ -109,13 +131,13 @@ def read_ledger(spark: SparkSession, path: str, schema: StructType) -> DataFrame
     return spark.read.schema(schema).json(path)
 
 
-def read_documents(spark: SparkSession, path: str) -> DataFrame:
-    """One document per text file: name, time, whole text, excerpt and status."""
+def read_documents(spark: SparkSession, path: str, excerpt_chars: int = 1800) -> DataFrame:
+    """One document per text file: name, time, whole text, an excerpt for listings and status."""
     from evidence_spark.operators.retrieval import indexable
 
     texts = spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(path).select(
         source_path(F.col("_metadata.file_path")).alias("path"), F.col("_metadata.file_modification_time").alias("uploaded_at"), F.col("value").alias("text")
     )
-    docs = texts.withColumns({"doc_id": F.sha2("path", 256), "name": F.regexp_extract("path", r"([^/]+)$", 1), "excerpt": F.substring("text", 1, 1800)})
+    docs = texts.withColumns({"doc_id": F.sha2("path", 256), "name": F.regexp_extract("path", r"([^/]+)$", 1), "excerpt": F.substring("text", 1, excerpt_chars)})
     status = F.when(F.col("text_available"), "text indexed").otherwise("stored without searchable text")
     return indexable(docs).withColumn("context_status", status)

@@ -4,6 +4,7 @@ import struct
 from pyspark.sql import functions as F
 
 from evidence_spark import schemas
+from evidence_spark.operators import joins
 from evidence_spark.sources import captures, files, sinks
 
 
@@ -34,8 +35,11 @@ def test_captures_decode(spark, tmp_path):
     got = sorted((r.source_file.rsplit("/", 1)[1], r.packet_index, r.src, r.dst, r.packet_size, r.protocol, r.port) for r in packets.collect())
     a, b = "192.168.1.5", "10.0.0.9"
     assert got == [("x.pcap", 0, a, b, 5, "TCP", 443), ("x.pcap", 2, a, b, 5, "UDP", 7100), ("x.pcap", 3, a, b, 4, "ICMP", 0), ("y.pcap", 0, a, b, 5, "TCP", 443)]
-    (tmp_path / "l_labels.csv").write_text("packet_index,is_anomaly,anomaly_type\n2,1,scan\n")
-    labels = files.read_labels(spark, str(tmp_path / "l_labels.csv"))
+    (tmp_path / "a" / "x_labels.csv").write_text("packet_index,is_anomaly,anomaly_type\n2,1,scan\n2,0,none\n")
+    (tmp_path / "y_labels.csv").write_text("packet_index,is_anomaly,anomaly_type\n0,1,scan\n")
+    labels = files.read_labels(spark, [str(tmp_path / "a" / "x_labels.csv"), str(tmp_path / "y_labels.csv")])
+    both = joins.attach_labels(packets, labels)
+    assert sorted((r.source_file[-6:], r.packet_index) for r in both.filter("is_anomaly = 1").collect()) == [("x.pcap", 2), ("y.pcap", 0)] and both.count() == 4
     unified = captures.captures_to_unified(packets.filter(F.col("source_file").endswith("x.pcap")), labels)
     assert sorted((r.protocol, r.is_anomaly, r.frequency) for r in unified.collect()) == [("ICMP", 0, 1), ("TCP", 0, 0), ("UDP", 1, 0)]
 
@@ -62,6 +66,19 @@ def test_row_events_and_chunks(spark, tmp_path):
     assert files.list_files(spark, str(tmp_path)).count() == 2
 
 
+def test_files_keep_their_own_header(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("x,y\n1,2\n")
+    (tmp_path / "b.csv").write_text("p,q,r\n3,4,5\n6,7,8\n")
+    (tmp_path / "c.csv").write_text("y,x\n9,0\n")
+    (tmp_path / "empty.csv").write_text("")
+    rows = files.read_row_events(spark, str(tmp_path))
+    got = sorted((r.source_file[-5:], r.source_offset, bytes(r.payload).decode()) for r in rows.collect())
+    assert got == [("a.csv", 0, '{"x":"1","y":"2"}'), ("b.csv", 0, '{"p":"3","q":"4","r":"5"}'), ("b.csv", 1, '{"p":"6","q":"7","r":"8"}'), ("c.csv", 0, '{"x":"0","y":"9"}')]
+    (tmp_path / "d.csv").write_text('x,y\n"a\nb",2\n')
+    whole = files.read_row_events(spark, str(tmp_path / "d.csv"), multiline=True).collect()
+    assert [json.loads(bytes(r.payload)) for r in whole] == [{"x": "a\nb", "y": "2"}]
+
+
 def test_offsets_across_splits(spark, tmp_path):
     (tmp_path / "big.csv").write_text("n\n" + "".join(f"{i:06d}\n" for i in range(5000)))
     spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
