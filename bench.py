@@ -12,6 +12,7 @@ import time
 
 from evidence_spark import build_session
 from evidence_spark.plans import catalog
+from evidence_spark.session import scratch_scope
 
 HEADLINE = [
     "flagship_alert_groups", "conform_unified", "security_flags", "zscores", "severity_trend", "top_reason_themes",
@@ -34,7 +35,8 @@ def main() -> None:
         best = None
         for _ in range(runs):
             started = time.perf_counter()
-            catalog.QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
+            with scratch_scope(spark):
+                catalog.QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
             taken = time.perf_counter() - started
             best = taken if best is None else min(best, taken)
         seconds[name] = round(best, 3)

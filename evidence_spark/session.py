@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -39,16 +42,36 @@ def scratch_root(spark: SparkSession) -> str:
     root = spark.conf.get(CHECKPOINT_CONF, None)
     if root:
         return root.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
         raise RuntimeError(f"set {CHECKPOINT_CONF} to a folder that all executors share")
     root = tempfile.mkdtemp(prefix="evidence_spark_")
     spark.conf.set(CHECKPOINT_CONF, root)
     return root
 
 
+_written: list[str] = []
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A fresh path below the shared folder; never reused, so writes cannot collide."""
-    return f"{scratch_root(spark)}/evidence_spark/{label}-{uuid.uuid4().hex}"
+    path = f"{scratch_root(spark)}/evidence_spark/{label}-{uuid.uuid4().hex}"
+    _written.append(path)
+    return path
+
+
+@contextmanager
+def scratch_scope(spark: SparkSession) -> Iterator[None]:
+    """Removes on leaving what was written for queries inside; results must be used up or
+    stored elsewhere by then."""
+    before = len(_written)
+    try:
+        yield
+    finally:
+        jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+        for path in _written[before:]:
+            folder = jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(conf).delete(folder, True)
+        del _written[before:]
 
 
 def scratch_table(df: DataFrame, label: str) -> DataFrame:
