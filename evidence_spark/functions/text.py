@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import json
+import re
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from evidence_spark import policy
 from evidence_spark.functions.scalars import contains_any, text_of
@@ -36,7 +41,33 @@ def redact_map(column: Column, key_pattern: str = policy.SENSITIVE_KEY_PATTERN)
     return F.transform_values(kept, lambda _, value: redact_text(value))
 
 
-def extract_sequences(column: Column, limit: int = 5) -> Column:
+@F.pandas_udf(StringType())
+def _redact_json(texts: pd.Series, keys: pd.Series, values: pd.Series) -> pd.Series:
+    """Nested JSON has no fixed shape that column expressions could walk through."""
+
+    def walk(value, key, hidden):
+        if isinstance(value, list):
+            return [walk(v, key, hidden) for v in value]
+        if isinstance(value, dict):
+            return {k: walk(v, key, hidden) for k, v in value.items() if not key.search(k)}
+        return "[redacted]" if isinstance(value, str) and hidden.search(value) else value
+
+    def one(text, key, hidden):
+        try:
+            return json.dumps(walk(json.loads(text), re.compile(key), re.compile(hidden)), ensure_ascii=False, separators=(",", ":"))
+        except (TypeError, ValueError):
+            return None
+
+    return pd.Series([one(*row) for row in zip(texts, keys, values)], dtype=object)
+
+
+def redact_json(column: Column, key_pattern: str = policy.SENSITIVE_KEY_PATTERN, value_pattern: str = policy.SENSITIVE_VALUE_PATTERN) -> Column:
+    """JSON text without sensitive keys and with long hex runs masked, at any depth of
+    objects and lists; null for text that is no JSON."""
+    return _redact_json(column, F.lit(key_pattern), F.lit(value_pattern))
+
+
+def extract_sequences(column: Column, limit: int | None = None) -> Column:
     """Numbers tagged ``seq``, ``sequence`` or ``#``; without any, bare numbers of two
     to six digits. Distinct, in order of appearance."""
     text = text_of(column)
@@ -44,7 +75,8 @@ def extract_sequences(column: Column, limit: int = 5) -> Column:
     bare = F.regexp_extract_all(text, F.lit(r"\b(\d{2,6})\b"), F.lit(1))
     found = F.when(F.size(tagged) > 0, tagged).otherwise(bare)
     numbers = F.filter(F.transform(found, lambda t: t.try_cast("decimal(38,0)")), lambda v: v.isNotNull())
-    return F.slice(F.array_distinct(numbers), 1, limit)
+    distinct = F.array_distinct(numbers)
+    return distinct if limit is None else F.slice(distinct, 1, limit)
 
 
 def question_keywords(column: Column, synonyms: dict[str, list[str]] = policy.QUESTION_SYNONYMS) -> Column:

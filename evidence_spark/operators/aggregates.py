@@ -124,8 +124,8 @@ def family_breakdown(df: DataFrame, n: int = 8) -> DataFrame:
 
 
 def top_reason_themes(df: DataFrame, n: int = 8) -> DataFrame:
-    """Themes of at most three features per flagged row."""
-    features = F.slice(F.coalesce("top_features", F.array().cast("array<string>")), 1, 3)
+    """Themes of all features of the flagged rows."""
+    features = F.coalesce("top_features", F.array().cast("array<string>"))
     named = F.when(F.size(features) > 0, features).otherwise(F.array(F.lit("")))
     themes = flagged(df).select(F.explode(named).alias("feature")).select(scalars.reason_theme(F.col("feature")).alias("theme"))
     return top_counts(themes, F.col("theme"), n)

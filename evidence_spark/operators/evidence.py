@@ -91,11 +91,11 @@ def event_summary(data_format: Column, severity: Column, explanation: Column) ->
 ARTIFACT_FIELDS = ["timestamp", "data_format", "src", "dst", "protocol", "port", "label_octal"]
 
 
-def replay(log: DataFrame, evidence: DataFrame, scored: DataFrame | None = None, n: int | None = 5000) -> dict[str, DataFrame]:
+def replay(log: DataFrame, evidence: DataFrame, scored: DataFrame | None = None, n: int | None = None) -> dict[str, DataFrame]:
     """Replay bundle. ``n`` limits the rows of the view as a page size; None keeps all."""
     base = joins.replay_base(log, evidence)
-    if n:
-        base = base.orderBy("sequence", "evidence_id").limit(feeds.clamp(n, 3, 5000))
+    if n is not None:
+        base = base.orderBy("sequence", "evidence_id").limit(n)
     if scored is not None:
         base = joins.attach_artifact(base, scored, ARTIFACT_FIELDS)
         rows = base.select(*(c for c in base.columns if c not in ARTIFACT_FIELDS and not c.startswith("artifact_")), *(F.col(f"artifact_{c}").alias(c) for c in ARTIFACT_FIELDS))
@@ -119,15 +119,15 @@ def replay(log: DataFrame, evidence: DataFrame, scored: DataFrame | None = None,
     }
 
 
-def evidence_summary(log: DataFrame, evidence: DataFrame, checkpoints: DataFrame, n: int = 80) -> dict[str, DataFrame]:
+def evidence_summary(log: DataFrame, evidence: DataFrame, checkpoints: DataFrame, n: int | None = 80, security_n: int | None = 20) -> dict[str, DataFrame]:
     return {
         "totals": aggregates.evidence_totals(evidence, log),
         "severity_counts": aggregates.severity_counts(evidence),
         "latest_checkpoint": feeds.latest_checkpoint(checkpoints),
         "records": feeds.recent_evidence(evidence, n),
-        "score_trace": feeds.score_trace(evidence, n),
+        "score_trace": feeds.score_trace(evidence, n and 2 * n),
         "ranked_anomalies": feeds.ranked_anomalies(evidence, n),
-        "security_events": filters.security_only(log).orderBy(F.desc("sequence")).limit(min(n, 20)),
+        "security_events": filters.page(filters.security_only(log).orderBy(F.desc("sequence")), security_n),
     }
 
 
@@ -166,9 +166,9 @@ def graph_report_lines(selected: DataFrame, nodes: DataFrame, edges: DataFrame)
     return head.unionByName(body)
 
 
-def trim_evidence(df: DataFrame) -> DataFrame:
-    """Evidence record in the short shape used as context: fallbacks applied, text
-    capped at 700 characters and at most six features."""
+def trim_evidence(df: DataFrame, max_chars: int | None = None, max_features: int | None = None) -> DataFrame:
+    """Evidence record in the short shape used as context, fallbacks applied; texts and
+    feature lists are whole unless a number is given."""
     name, operation = any_of(df, "event", "event_name"), any_of(df, "details_operation", "operation")
     about = F.coalesce(any_of(df, "details_target_sequence"), any_of(df, "target_sequence"))
     tamper = F.coalesce(name.isin(policy.BLOCKED_EVENT_NAMES), F.lit(False)) | (operation.isNotNull() & about.isNotNull())
@@ -177,7 +177,7 @@ def trim_evidence(df: DataFrame) -> DataFrame:
     blocked = F.when(name == "tamper_attempt_blocked", F.concat(
         F.lit("A "), F.coalesce(operation, F.lit("mutation")), F.lit(" attempt on sequence "), F.coalesce(about, F.lit("unknown")), F.lit(" was blocked.")))
     said = F.coalesce(filled(text.clean_ws(any_of(df, "explanation", "summary"))), blocked, F.lit(""))
-    features = F.slice(F.coalesce("top_features", F.array().cast("array<string>")), 1, 6) if scalars.has(df, "top_features") else F.array().cast("array<string>")
+    features = F.coalesce("top_features", F.array().cast("array<string>")) if scalars.has(df, "top_features") else F.array().cast("array<string>")
     return df.select(
         pick(df, "sequence", "bigint").alias("sequence"), pick(df, "evidence_id", "bigint").alias("evidence_id"),
         any_of(df, "occurred_at", "recorded_at", "timestamp").alias("occurred_at"), pick(df, "source_file").alias("source_file"),
@@ -186,7 +186,8 @@ def trim_evidence(df: DataFrame) -> DataFrame:
         F.coalesce(any_of(df, "protocol", "service", "data_format"), name).alias("protocol"), pick(df, "domain").alias("domain"),
         pick(df, "severity").alias("severity"), pick(df, "anomaly_score", "double").alias("anomaly_score"),
         pick(df, "predicted_anomaly", "bigint").alias("predicted_anomaly"), F.coalesce(any_of(df, "anomaly_type"), name).alias("anomaly_type"),
-        features.alias("top_features"), F.substring(said, 1, 700).alias("explanation"),
+        (features if max_features is None else F.slice(features, 1, max_features)).alias("top_features"),
+        (said if max_chars is None else F.substring(said, 1, max_chars)).alias("explanation"),
     )
 
 

@@ -8,20 +8,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evidence_spark import policy
-from evidence_spark.functions import scalars
+from evidence_spark.functions import crypto, scalars
 from evidence_spark.functions.scalars import filled, pick
-from evidence_spark.operators.filters import flagged
-
-
-def clamp(value: int, low: int, high: int) -> int:
-    return max(low, min(value, high))
+from evidence_spark.operators.filters import flagged, page
 
 
 # --- top-k ------------------------------------------------------------------------------------
 
-def recent_entries(log: DataFrame, n: int = 25) -> DataFrame:
+def recent_entries(log: DataFrame, n: int | None = 25) -> DataFrame:
     meta = F.col("metadata_json")
-    top = log.orderBy(F.desc("sequence")).limit(clamp(n, 1, 200))
+    top = page(log.orderBy(F.desc("sequence")), n)
     return top.select(
         "sequence", "created_at", "source_file", "source_type", "source_offset", "payload_sha256",
         *(c for c in ("previous_hash", "entry_hash", "rsa_key_id") if c in log.columns),
@@ -31,26 +27,26 @@ def recent_entries(log: DataFrame, n: int = 25) -> DataFrame:
     )
 
 
-def sequence_entries(log: DataFrame, n: int = 5000) -> DataFrame:
+def sequence_entries(log: DataFrame, n: int | None = None) -> DataFrame:
     mode = F.coalesce(F.get_json_object("metadata_json", "$.ingest_mode"), F.lit(""))
-    return log.orderBy(F.desc("sequence")).limit(clamp(n, 1, 5000)).select(
+    return page(log.orderBy(F.desc("sequence")), n).select(
         "sequence", "created_at", "source_file", "source_type", "source_offset",
         mode.alias("ingest_mode"), scalars.offset_unit(mode, F.col("source_type")).alias("offset_label"),
     )
 
 
-def ranked_anomalies(evidence: DataFrame, n: int = 80) -> DataFrame:
-    return flagged(evidence).orderBy("anomaly_score", F.desc("evidence_id")).limit(clamp(n, 20, 200))
+def ranked_anomalies(evidence: DataFrame, n: int | None = None) -> DataFrame:
+    return page(flagged(evidence).orderBy("anomaly_score", F.desc("evidence_id")), n)
 
 
-def recent_evidence(evidence: DataFrame, n: int = 80) -> DataFrame:
-    return evidence.orderBy(F.desc("evidence_id")).limit(clamp(n, 1, 200))
+def recent_evidence(evidence: DataFrame, n: int | None = None) -> DataFrame:
+    return page(evidence.orderBy(F.desc("evidence_id")), n)
 
 
-def score_trace(evidence: DataFrame, n: int = 80) -> DataFrame:
+def score_trace(evidence: DataFrame, recent_n: int | None = 160, flagged_n: int | None = None) -> DataFrame:
     """Recent records together with the oldest flagged ones, each once, by time."""
-    recent = evidence.orderBy(F.desc("evidence_id")).limit(clamp(n * 2, 40, 200))
-    oldest = flagged(evidence).orderBy("evidence_id").limit(2000)
+    recent = recent_evidence(evidence, recent_n)
+    oldest = page(flagged(evidence).orderBy("evidence_id"), flagged_n)
     return recent.unionByName(oldest).dropDuplicates(["evidence_id"]).orderBy(scalars.event_time(evidence), "evidence_id")
 
 
@@ -59,11 +55,14 @@ def latest_checkpoint(checkpoints: DataFrame) -> DataFrame:
     return checkpoints.agg(F.max_by(row, F.col("checkpoint_id")).alias("_row")).filter(F.col("_row").isNotNull()).select("_row.*")
 
 
-def security_events_view(log: DataFrame, n: int = 8) -> DataFrame:
-    """Newest security events; fields come from the payload, then from the metadata."""
+def security_events_view(log: DataFrame, n: int | None = 8, key: Column | None = None, aad: Column | None = None) -> DataFrame:
+    """Newest security events; fields come from the payload, then from the metadata. With a
+    key, payloads are encrypted and are opened first; one that does not open shows metadata."""
+    if key is not None:
+        log = crypto.decrypt_payloads(log, key, aad).withColumn("payload", F.col("plaintext"))
     body, meta = F.col("payload").cast("string"), F.col("metadata_json")
     field = lambda c, p: filled(F.get_json_object(c, p))
-    top = log.filter(F.col("source_type") == "SECURITY_EVENT").orderBy(F.desc("sequence")).limit(clamp(n, 1, 50))
+    top = page(log.filter(F.col("source_type") == "SECURITY_EVENT").orderBy(F.desc("sequence")), n)
     return top.select(
         "sequence", "created_at", "source_file", "source_offset",
         F.coalesce(field(body, "$.event"), field(meta, "$.event_name"), F.lit("security_event")).alias("event"),
@@ -80,9 +79,13 @@ def select_top(events: DataFrame, n: int | None = 10) -> DataFrame:
     ``rank`` column is their order by time, then falling risk."""
     if n:
         keys = [F.desc("risk"), F.desc(F.abs(F.coalesce("anomaly_score", F.lit(0.0)))), F.desc("event_us"), "event_id"]
-        top = events.orderBy(*keys).limit(max(1, n))
+        top = events.orderBy(*keys).limit(n)
         pinned = events.filter(F.col("event_type") == "mutation_attempt")
-        events = top.unionByName(pinned).dropDuplicates(["event_id"])
+        # an id may repeat (an attempt and the security event about it): the riskiest row
+        # stays, then the earliest, then the one whose fields come first
+        row = F.struct(*events.columns)
+        order = F.struct(-F.col("risk"), F.col("event_us"), F.to_json(row))
+        events = top.unionByName(pinned).groupBy("event_id").agg(F.min_by(row, order).alias("_row")).select("_row.*")
     return events
 
 
@@ -93,14 +96,14 @@ def top_evidence(pool: DataFrame, n: int = 10) -> DataFrame:
     return pool.orderBy(unflagged, severity, F.coalesce("anomaly_score", F.lit(0.0)), "sequence", "evidence_id").limit(n)
 
 
-def anchor_history(anchors: DataFrame, n: int = 12) -> DataFrame:
+def anchor_history(anchors: DataFrame, n: int | None = 12) -> DataFrame:
     """The last anchors in ledger order."""
     cols = ["position", "created_at", "sequence", "entry_count", "anchor_hash", "previous_anchor_hash"]
-    return anchors.select(*cols).orderBy(F.desc("position")).limit(clamp(n, 1, 100)).orderBy("position")
+    return page(anchors.select(*cols).orderBy(F.desc("position")), n).orderBy("position")
 
 
-def recent_documents(docs: DataFrame, n: int = 12) -> DataFrame:
-    return docs.orderBy(F.desc("uploaded_at"), "doc_id").limit(n)
+def recent_documents(docs: DataFrame, n: int | None = 12) -> DataFrame:
+    return page(docs.orderBy(F.desc("uploaded_at"), "doc_id"), n)
 
 
 def order_sources(sources: DataFrame) -> DataFrame:
@@ -211,14 +214,14 @@ def attempt_activity(attempts: DataFrame) -> DataFrame:
     )
 
 
-def activity_feed(log: DataFrame, evidence: DataFrame, checkpoints: DataFrame, attempts: DataFrame, n: int = 5000) -> DataFrame:
-    """The newest ``n`` rows of each of four tables in one shape, newest first."""
-    n = clamp(n, 25, 5000)
+def activity_feed(log: DataFrame, evidence: DataFrame, checkpoints: DataFrame, attempts: DataFrame, n: int | None = None) -> DataFrame:
+    """Four tables in one shape, newest first; ``n`` keeps the newest rows of each."""
+    newest = lambda df, key: df if n is None else df.orderBy(F.desc(key)).limit(n)
     parts = [
-        log_activity(log.orderBy(F.desc("sequence")).limit(n)),
-        evidence_activity(evidence.orderBy(F.desc("evidence_id")).limit(n)),
-        checkpoint_activity(checkpoints.orderBy(F.desc("checkpoint_id")).limit(n)),
-        attempt_activity(attempts.orderBy(F.desc("attempt_id")).limit(n)),
+        log_activity(newest(log, "sequence")),
+        evidence_activity(newest(evidence, "evidence_id")),
+        checkpoint_activity(newest(checkpoints, "checkpoint_id")),
+        attempt_activity(newest(attempts, "attempt_id")),
     ]
     return unify(*parts).select(*FEED_COLUMNS).orderBy(F.desc("recorded_at"), "record_id")
 
@@ -240,13 +243,14 @@ def attempt_events(attempts: DataFrame) -> DataFrame:
     )
 
 
-def provenance_events(evidence: DataFrame, security: DataFrame, attempts: DataFrame, n: int = 80, security_n: int = 20, attempts_n: int = 5000) -> DataFrame:
-    """Ranked anomalies, newest security events and the attempts those do not report."""
+def provenance_events(evidence: DataFrame, security: DataFrame, attempts: DataFrame, n: int | None = None, security_n: int | None = None, attempts_n: int | None = None) -> DataFrame:
+    """Ranked anomalies, newest security events and the attempts those do not report; all
+    of each without a number."""
     from evidence_spark.operators.joins import new_attempts
 
     ranked = ranked_anomalies(evidence, n)
-    recent = security.orderBy(F.desc("sequence")).limit(security_n).withColumn("event_type", F.lit("security_event"))
-    fresh = new_attempts(attempts.orderBy(F.desc("attempt_id")).limit(attempts_n), recent)
+    recent = page(security.orderBy(F.desc("sequence")), security_n).withColumn("event_type", F.lit("security_event"))
+    fresh = new_attempts(page(attempts.orderBy(F.desc("attempt_id")), attempts_n), recent)
     return unify(ranked, recent, attempt_events(fresh))
 
 
@@ -311,7 +315,7 @@ def evidence_stream(ai: DataFrame, audit: DataFrame) -> DataFrame:
     return both.orderBy(at)
 
 
-def chain_growth(entries: DataFrame, sources: DataFrame, anchors: DataFrame, head: DataFrame, n: int = 5000) -> DataFrame:
+def chain_growth(entries: DataFrame, sources: DataFrame, anchors: DataFrame, head: DataFrame, n: int | None = None) -> DataFrame:
     """Rows that show how the log grew, newest first: the entries when there are any,
     otherwise sources, anchors and head."""
     if not entries.isEmpty():
@@ -344,4 +348,4 @@ def chain_growth(entries: DataFrame, sources: DataFrame, anchors: DataFrame, hea
                 F.lit(None).cast("string").alias("time"), (F.col("sequence") + F.lit(0.1)).alias("rank"),
             ),
         )
-    return rows.filter(F.col("rank") > 0).orderBy(F.desc("rank"), F.desc("time")).limit(n)
+    return page(rows.filter(F.col("rank") > 0).orderBy(F.desc("rank"), F.desc("time")), n)

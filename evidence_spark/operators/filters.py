@@ -60,9 +60,14 @@ def entry(df: DataFrame, sequence: int) -> DataFrame:
     return df.filter(F.col("sequence") == sequence)
 
 
-def unsynced_attempts(df: DataFrame, limit: int = 50) -> DataFrame:
-    """Oldest attempts without a chain hash; the batch size is clamped to 1..500."""
-    return df.filter(F.col("chain_entry_hash").isNull()).orderBy("attempt_id").limit(max(1, min(limit, 500)))
+def page(df: DataFrame, n: int | None) -> DataFrame:
+    """The first ``n`` rows of an ordered view; None keeps all."""
+    return df if n is None else df.limit(n)
+
+
+def unsynced_attempts(df: DataFrame, limit: int | None = None) -> DataFrame:
+    """Attempts without a chain hash, oldest first."""
+    return page(df.filter(F.col("chain_entry_hash").isNull()).orderBy("attempt_id"), limit)
 
 
 def last_window(df: DataFrame, time_us: str, end_us: int, span_ms: int) -> DataFrame:

@@ -147,7 +147,7 @@ def most_central(nodes: DataFrame, scores: DataFrame, column: str = "centrality"
     return best.select("_b.*")
 
 
-def components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Weakly connected components as (id, component), the smallest id naming it.
 
     Each round takes the smallest label among the neighbours and then follows labels
@@ -155,7 +155,7 @@ def components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 60) -> Data
     """
     links = scratch_table(undirected(edges), "links")
     labels = scratch_table(nodes.select("id", F.col("id").alias("component")), "labels")
-    for _ in range(max_rounds):
+    while True:
         offered = links.join(labels, links.a == labels.id).groupBy(F.col("b").alias("id")).agg(F.min("component").alias("_offer"))
         lower = labels.join(offered, "id", "left").select(
             "id", F.col("component").alias("_old"), F.least("component", F.coalesce("_offer", "component")).alias("_new")
@@ -167,7 +167,6 @@ def components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 60) -> Data
         labels = moved.select("id", "component")
         if moved.filter(F.col("_old") != F.col("component")).isEmpty():
             return labels
-    raise RuntimeError("components did not settle; raise max_rounds")
 
 
 def component_summary(nodes: DataFrame, labels: DataFrame) -> DataFrame:
@@ -178,7 +177,7 @@ def component_summary(nodes: DataFrame, labels: DataFrame) -> DataFrame:
     )
 
 
-def betweenness(nodes: DataFrame, edges: DataFrame, weight_as: str = "distance", pivots: DataFrame | None = None, max_rounds: int = 200) -> DataFrame:
+def betweenness(nodes: DataFrame, edges: DataFrame, weight_as: str = "distance", pivots: DataFrame | None = None) -> DataFrame:
     """Normalised betweenness by three linear propagations from all pivots at once:
     distances, path counts along shortest arcs, and dependencies back along them.
     Without pivots every node is one and the result is exact; with a table of pivot ids
@@ -190,7 +189,7 @@ def betweenness(nodes: DataFrame, edges: DataFrame, weight_as: str = "distance",
     roots = (pivots if pivots is not None else nodes).select("id")
     used = roots.count()
     dist = scratch_table(roots.select(F.col("id").alias("s"), F.col("id").alias("v"), F.lit(0).cast("bigint").alias("d"), F.lit(True).alias("_new")), "dist")
-    for _ in range(max_rounds):
+    while True:
         front = dist.filter("_new")
         reach = front.join(arcs, front.v == arcs.source).select("s", F.col("target").alias("v"), (F.col("d") + F.col("w")).alias("d"), F.lit(True).alias("_new"))
         best = dist.withColumn("_new", F.lit(False)).unionByName(reach).groupBy("s", "v").agg(F.min(F.struct("d", "_new")).alias("_m"))
@@ -204,7 +203,7 @@ def betweenness(nodes: DataFrame, edges: DataFrame, weight_as: str = "distance",
     def propagate(start: DataFrame, inward: str, outward: str, label: str) -> DataFrame:
         """Sum of ``x`` carried along all directed ways of the shortest-arc graph."""
         total = wave = scratch_table(start, label)
-        for _ in range(max_rounds):
+        while True:
             wave = scratch_table(
                 wave.withColumnRenamed("v", "_at").join(dag.withColumnRenamed(inward, "_at"), ["s", "_at"])
                 .groupBy("s", F.col(outward).alias("v")).agg(F.sum("x").alias("x")), label,
@@ -225,13 +224,15 @@ def betweenness(nodes: DataFrame, edges: DataFrame, weight_as: str = "distance",
 
 # --- paths ---------------------------------------------------------------------------------------
 
-def shortest_paths(arcs: DataFrame, roots: DataFrame, targets: DataFrame, max_hops: int) -> DataFrame:
-    """Shortest path from every root to every target within ``max_hops``; the smallest
+def shortest_paths(arcs: DataFrame, roots: DataFrame, targets: DataFrame, max_hops: int | None = None) -> DataFrame:
+    """Shortest path from every root to every target, within ``max_hops`` if given; the smallest
     node list wins among equals. Each round extends the newest paths by one arc and
     keeps one path per (root, node)."""
     front = scratch_table(roots.select(F.col("id").alias("root"), F.col("id").alias("node"), F.array("id").alias("path")), "front")
     seen = front
-    for _ in range(max_hops):
+    hops = 0
+    while max_hops is None or hops < max_hops:
+        hops += 1
         step = front.join(arcs, front.node == arcs.a).select("root", F.col("b").alias("node"), F.concat("path", F.array("b")).alias("path"))
         fresh = step.join(seen.select("root", "node"), ["root", "node"], "left_anti")
         front = scratch_table(fresh.groupBy("root", "node").agg(F.min("path").alias("path")), "front")
@@ -241,12 +242,13 @@ def shortest_paths(arcs: DataFrame, roots: DataFrame, targets: DataFrame, max_ho
     return seen.join(targets.select(F.col("id").alias("node")), "node", "left_semi").filter(F.col("root") != F.col("node"))
 
 
-def attack_paths(nodes: DataFrame, edges: DataFrame, top: int = 12, max_nodes: int = 8, n: int = 8) -> DataFrame:
-    """Paths between the riskiest events, best first by risk and then by length."""
+def attack_paths(nodes: DataFrame, edges: DataFrame, top: int | None = None, max_nodes: int | None = None, n: int | None = None) -> DataFrame:
+    """Paths between events, best first by risk and then by length. ``top`` takes the
+    riskiest events as ends only, ``max_nodes`` bounds a path, ``n`` the list."""
     arcs = scratch_table(undirected(edges), "arcs")
     known = scratch_table(nodes.select("id", "short_label", "risk", "kind"), "nodes")
-    ends = scratch_table(known.filter(F.col("kind") == "event").orderBy(F.desc("risk"), "id").limit(top), "ends")
-    found = shortest_paths(arcs, ends, ends, max_nodes - 1)
+    ends = scratch_table(known.filter(F.col("kind") == "event").orderBy(F.desc("risk"), "id").transform(filters.page, top), "ends")
+    found = shortest_paths(arcs, ends, ends, max_nodes and max_nodes - 1)
     order = lambda side: ends.select(F.col("id").alias(side), F.struct(-F.col("risk"), F.col("id")).alias(f"_{side}"))
     pairs = found.join(order("root"), "root").join(order("node"), "node").filter(F.col("_root") < F.col("_node"))
     steps = pairs.select("root", "node", F.posexplode("path").alias("pos", "id"), "path")
@@ -258,14 +260,14 @@ def attack_paths(nodes: DataFrame, edges: DataFrame, top: int = 12, max_nodes: i
     steps = steps.withColumn("_a", F.least("id", "next")).withColumn("_b", F.greatest("id", "next")).join(
         label, ["_a", "_b"], "left"
     )
-    # a path has at most max_nodes steps, so these lists are short
+    # a list has one entry per step of one path
     in_order = lambda c: F.transform(F.sort_array(F.collect_list(F.struct("pos", c))), lambda x: x[c])
     paths = steps.groupBy("root", "node").agg(
         F.array_join(in_order("id"), " > ").alias("path"), F.array_join(F.slice(in_order("short_label"), 1, 5), " -> ").alias("summary"),
         F.array_join(F.filter(in_order("link"), lambda x: x.isNotNull()), ", ").alias("relations"),
         (F.count(F.lit(1)) - 1).alias("length"), F.max("_risk").alias("risk"),
     )
-    return paths.withColumnsRenamed({"root": "source", "node": "target"}).orderBy(F.desc("risk"), "length", "source", "target").limit(n)
+    return paths.withColumnsRenamed({"root": "source", "node": "target"}).orderBy(F.desc("risk"), "length", "source", "target").transform(filters.page, n)
 
 
 def timeline_graph(events: DataFrame, limit: int | None = 8) -> tuple[DataFrame, DataFrame]:
@@ -290,9 +292,8 @@ def timeline_graph(events: DataFrame, limit: int | None = 8) -> tuple[DataFrame,
     return nodes, flows.unionByName(temporal_edges(ranked.withColumn("_event", event), "_event", "event_us", "event_id"))
 
 
-def temporal_paths(nodes: DataFrame, edges: DataFrame, n: int = 10, max_hops: int = 10) -> DataFrame:
-    """Directed paths between anomalies, best first by risk, temporal steps and length.
-    Ten hops reach the ten best, because every path repeats the risk of a part of it."""
+def temporal_paths(nodes: DataFrame, edges: DataFrame, n: int | None = None, max_hops: int | None = None) -> DataFrame:
+    """Directed paths between anomalies, best first by risk, temporal steps and length."""
     arcs = scratch_table(edges.select(F.col("source").alias("a"), F.col("target").alias("b")).distinct(), "arcs")
     ends = nodes.filter(F.col("kind") == "anomaly")
     found = scratch_table(shortest_paths(arcs, ends, ends, max_hops), "temporal")
@@ -303,4 +304,4 @@ def temporal_paths(nodes: DataFrame, edges: DataFrame, n: int = 10, max_hops: in
         F.array_join(F.min("path"), " > ").alias("path"), (F.count(F.lit(1)) - 1).alias("length"),
         F.bool_or(F.coalesce("_then", F.lit(False))).alias("temporal"), F.max("risk").alias("risk"),
     )
-    return paths.withColumnsRenamed({"root": "source", "node": "target"}).orderBy(F.desc("risk"), F.desc("temporal"), "length", "source", "target").limit(n)
+    return paths.withColumnsRenamed({"root": "source", "node": "target"}).orderBy(F.desc("risk"), F.desc("temporal"), "length", "source", "target").transform(filters.page, n)

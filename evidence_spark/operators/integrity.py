@@ -532,6 +532,19 @@ def restore(ledger: DataFrame, public_key=None) -> DataFrame:
     return rows
 
 
+def restoration(ledger: DataFrame, reason: str, actor: str, restored_at: str, public_key=None) -> dict[str, DataFrame]:
+    """The restored log, its correlation map, and the critical event that records the
+    restoration, ready to be sealed behind it."""
+    from evidence_spark.operators.evidence import correlation_map, security_event
+
+    rows = restore(ledger, public_key)
+    done = rows.agg(F.count(F.lit(1)).alias("records_restored"), F.max("sequence").alias("source_offset"))
+    details = F.to_json(F.struct(F.lit(actor).alias("actor"), F.lit(reason).alias("reason"), "records_restored"))
+    event = security_event(done, F.lit("store_restored_from_recovery_ledger"), F.lit("CRITICAL"), F.lit(restored_at), details)
+    mapped = rows if "payload_sha256" in rows.columns else rows.withColumn("payload_sha256", crypto.digest(F.col("payload")))
+    return {"log": rows, "correlation_map": correlation_map(mapped), "event": event}
+
+
 def diff_log(log: DataFrame, ledger: DataFrame) -> DataFrame:
     """Sequences that were deleted, altered, added or duplicated against the mirror."""
     now = log.groupBy("sequence").agg(
@@ -561,12 +574,15 @@ def reconcile(log: DataFrame, ledger: DataFrame) -> DataFrame:
     return left.join(right, "_one").drop("_one").withColumn("head_matches", same)
 
 
-def sync_attempts(attempts: DataFrame, chain_ok: bool, limit: int = 50) -> DataFrame:
+def sync_attempts(attempts: DataFrame, chain_ok: bool, limit: int | None = None) -> DataFrame:
     """Unsynced attempts as raw security events; none while the chain does not verify."""
     from evidence_spark.operators.filters import unsynced_attempts
 
     waiting = unsynced_attempts(attempts, limit).filter(F.lit(bool(chain_ok)))
-    details = F.to_json(F.struct("attempt_id", "detected_at", "operation", "target_sequence", "sqlite_action"))
+    own = F.from_json(F.coalesce("details_json", F.lit("{}")), "map<string,string>")
+    details = F.to_json(F.struct(
+        "attempt_id", "detected_at", "operation", "target_sequence", "sqlite_action", own.alias("trigger_details"), F.lit(True).alias("blocked_by_sqlite")
+    ))
     body = F.concat(
         F.lit('{"details":'), details, F.lit(',"event":"tamper_attempt_blocked","severity":"HIGH"}')
     )
@@ -581,6 +597,15 @@ def sync_attempts(attempts: DataFrame, chain_ok: bool, limit: int = 50) -> DataF
     )
 
 
+def attempts_with_hash(attempts: DataFrame, log: DataFrame) -> DataFrame:
+    """Attempts whose security event is in the sealed ``log``, with its entry hash; a hash
+    that is there already stays."""
+    sealed = log.filter((F.col("source_type") == "SECURITY_EVENT") & (F.col("source_file") == "security_monitor"))
+    hashes = sealed.groupBy(F.col("source_offset").alias("attempt_id")).agg(F.min_by("entry_hash", "sequence").alias("_hash"))
+    joined = attempts.join(hashes, "attempt_id", "left").withColumn("chain_entry_hash", F.coalesce("chain_entry_hash", "_hash"))
+    return joined.select(*attempts.columns)
+
+
 # --- trust gate ----------------------------------------------------------------------------------------
 
 def readiness(

@@ -8,13 +8,17 @@ from pyspark.sql import functions as F
 
 from evidence_spark import policy
 from evidence_spark.functions import scalars
+from evidence_spark.operators.filters import page
+from evidence_spark.operators.ordered import ordered_lag
 from evidence_spark.session import scratch_table, sized
 
 
 def attach_labels(packets: DataFrame, labels: DataFrame, on: list[str] | None = None) -> DataFrame:
-    """Packets with their sidecar label, 0 where the sidecar has none."""
-    keys = on or ["packet_index"]
-    return packets.join(labels.select(*keys, F.col("is_anomaly").cast("bigint")), keys, "left").withColumn(
+    """Packets with the label of their own capture's sidecar, 0 where it has none. A packet
+    listed twice counts as an anomaly if either line says so."""
+    keys = on or ["source_file", "packet_index"]
+    once = labels.groupBy(*keys).agg(F.max(F.col("is_anomaly").cast("bigint")).alias("is_anomaly"))
+    return packets.drop("is_anomaly").join(once, keys, "left").withColumn(
         "is_anomaly", F.coalesce("is_anomaly", F.lit(0))
     )
 
@@ -27,15 +31,14 @@ def attach_bit_fields(events: DataFrame, raw: DataFrame, on: list[str] | None =
     return events.join(fields, keys, "left"), events.join(fields, keys, "left_anti")
 
 
-def apply_zscores(df: DataFrame, stats: DataFrame, key: str, columns: list[str], upper_tail_only: bool = True, default_stats: bool = False) -> DataFrame:
-    """Add ``<column>_zscore`` from per-group mean and deviation. With
-    ``default_stats`` an unknown group uses mean 0 and deviation 1."""
-    joined = df.join(sized(stats, "stats"), key, "left" if default_stats else "inner")
+def apply_zscores(df: DataFrame, stats: DataFrame, key: str, columns: list[str], upper_tail_only: bool = True) -> DataFrame:
+    """Add ``<column>_zscore`` from per-group mean and deviation. A group without
+    statistics keeps its rows and uses mean 0 and deviation 1."""
+    joined = df.join(sized(stats, "stats"), key, "left")
     out = {}
     for name in columns:
         mean, std = F.col(f"{name}_mean"), F.col(f"{name}_std")
-        if default_stats:
-            mean, std = F.coalesce(mean, F.lit(0.0)), F.coalesce(std, F.lit(1.0))
+        mean, std = F.coalesce(mean, F.lit(0.0)), F.coalesce(std, F.lit(1.0))
         z = (F.col(name) - mean) / std
         out[f"{name}_zscore"] = F.greatest(z, F.lit(0.0)) if upper_tail_only else z
     return joined.withColumns(out).drop(*(f"{c}_{s}" for c in columns for s in ("mean", "std")))
@@ -77,57 +80,46 @@ def attach_artifact(evidence: DataFrame, scored: DataFrame, columns: list[str])
     return evidence.join(side, ["ai_artifact_path", "ai_artifact_row_index"], "left")
 
 
+#: Relation and label of two events that agree in the columns, strongest first.
 PAIR_RULES = [
-    # (columns of the earlier row, columns of the later row, relation, label)
-    (["source_component", "target_component"], ["source_component", "target_component"], "shared_flow", "same flow"),
-    (["target_component"], ["source_component"], "pivot", "pivot"),
-    (["target_component"], ["target_component"], "shared_target", "same target"),
-    (["pattern"], ["pattern"], "shared_pattern", "same pattern"),
-    (["source_component"], ["source_component"], "shared_source", "same source"),
+    (["source_component", "target_component"], "shared_flow", "same flow"),
+    (None, "pivot", "pivot"),  # the target of the earlier event is the source of the later one
+    (["target_component"], "shared_target", "same target"),
+    (["pattern"], "shared_pattern", "same pattern"),
+    (["source_component"], "shared_source", "same source"),
+    (["domain"], "domain_sequence", "same domain"),  # within a span of time
 ]
-MAX_PAIR_EVENTS = 6000
 
 
 def correlate_events(selected: DataFrame, seconds: int = policy.SAME_DOMAIN_SECONDS) -> DataFrame:
-    """Related pairs among the events selected for a graph, earlier event first.
+    """Related events as links, earlier event first.
 
-    The result holds every related pair, so it is quadratic by definition; the input is
-    the bounded selection of the graph (top events plus the listed attempts), and a
-    larger input is refused rather than cut. Five equality rules are joined on their
-    own keys and the strongest relation of a pair wins.
+    By each rule an event is linked to the last event before it with the same key, so links
+    grow with the events, and whatever is related is connected through the events between.
+    Of two links between the same events the strongest relation stays. A pivot links an
+    event to the row before it among the targets and sources of its component, if that is
+    another event's target; between two sources stands a shared source already.
     """
     need = ["rank", "event_id", "source_component", "target_component", "pattern", "domain", "event_us"]
     events = scratch_table(selected.select(*need), "pairs")
-    total = events.count()
-    if total > MAX_PAIR_EVENTS:
-        raise ValueError(f"{total} events selected for pairing; select at most {MAX_PAIR_EVENTS}")
-    earlier = events.select(*(F.col(c).alias(f"a_{c}") for c in need))
-    later = events.select(*(F.col(c).alias(f"b_{c}") for c in need))
     found = None
-    for precedence, (left, right, relation, label) in enumerate(PAIR_RULES):
-        condition = F.col("a_rank") < F.col("b_rank")
-        for a, b in zip(left, right):
-            condition = condition & (F.col(f"a_{a}") == F.col(f"b_{b}"))
-        part = earlier.join(later, condition)
-        part = part.select("a_event_id", "b_event_id", F.lit(precedence).alias("_p"), F.lit(relation).alias("relation"), F.lit(label).alias("label"))
+    for precedence, (columns, relation, label) in enumerate(PAIR_RULES):
+        if columns is None:
+            sources = events.select(F.col("source_component").alias("_at"), "rank", F.lit(0).alias("_target"), "event_id")
+            targets = events.select(F.col("target_component").alias("_at"), "rank", F.lit(1).alias("_target"), "event_id")
+            before = ordered_lag(sources.unionByName(targets), ["_at"], ["rank", "_target", "event_id"], ["event_id", "_target"])
+            linked = before.filter("_target = 0 AND prev__target = 1 AND _at IS NOT NULL")
+        else:
+            before = ordered_lag(events, columns, ["rank", "event_id"], ["event_id", "event_us"])
+            linked = before.filter(F.col("prev_event_id").isNotNull())
+            for c in columns:
+                linked = linked.filter(F.col(c).isNotNull())
+            if relation == "domain_sequence":
+                linked = linked.filter(F.col("event_us") - F.col("prev_event_us") <= seconds * 1_000_000)
+        part = linked.select(F.col("prev_event_id").alias("source"), F.col("event_id").alias("target"), F.lit(precedence).alias("_p"), F.lit(relation).alias("relation"), F.lit(label).alias("label"))
         found = part if found is None else found.unionByName(part)
-    # a pair within the span lies in the same bucket or in two neighbouring ones
-    span = seconds * 1_000_000
-    left = earlier.withColumn("_b", F.floor(F.col("a_event_us") / span))
-    right = later.withColumn("_b", F.explode(F.array(*(F.floor(F.col("b_event_us") / span) + d for d in (-1, 0, 1)))))
-    near = (
-        (F.col("a_domain") == F.col("b_domain"))
-        & (left["_b"] == right["_b"])
-        & (F.col("a_rank") < F.col("b_rank"))
-        & (F.abs(F.col("a_event_us") - F.col("b_event_us")) <= span)
-    )
-    band = left.join(right, near).select(
-        "a_event_id", "b_event_id", F.lit(len(PAIR_RULES)).alias("_p"), F.lit("domain_sequence").alias("relation"), F.lit("same domain").alias("label")
-    )
     strongest = F.min_by(F.struct("relation", "label"), F.col("_p")).alias("_r")
-    return found.unionByName(band).groupBy(F.col("a_event_id").alias("source"), F.col("b_event_id").alias("target")).agg(strongest).select(
-        "source", "target", "_r.relation", "_r.label"
-    )
+    return found.filter("source <> target").groupBy("source", "target").agg(strongest).select("source", "target", "_r.relation", "_r.label")
 
 
 def new_attempts(attempts: DataFrame, events: DataFrame) -> DataFrame:
@@ -135,9 +127,9 @@ def new_attempts(attempts: DataFrame, events: DataFrame) -> DataFrame:
     return attempts.join(events.select("attempt_id").filter(F.col("attempt_id").isNotNull()), "attempt_id", "left_anti")
 
 
-def records_for(sequences: DataFrame, pool: DataFrame, limit: int = 12) -> DataFrame:
-    """Pool records of the requested sequences, at most ``limit``, in pool order."""
-    return pool.join(sequences, "sequence", "left_semi").orderBy("sequence", "evidence_id").limit(limit)
+def records_for(sequences: DataFrame, pool: DataFrame, limit: int | None = None) -> DataFrame:
+    """Pool records of the requested sequences in pool order."""
+    return page(pool.join(sequences, "sequence", "left_semi").orderBy("sequence", "evidence_id"), limit)
 
 
 def related_subgraph(nodes: DataFrame, edges: DataFrame, tokens: list[str], text_cols: list[str] | None = None) -> tuple[DataFrame, DataFrame]:

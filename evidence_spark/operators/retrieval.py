@@ -8,7 +8,7 @@ from pyspark.sql import Window
 
 from evidence_spark import policy
 from evidence_spark.functions import text as tx
-from evidence_spark.operators import feeds
+from evidence_spark.functions.scalars import contains_any
 from evidence_spark.session import scratch_table
 
 PARAGRAPH_BREAK = r"\n\s*\n|(?<=\.)\s{2,}"
@@ -19,9 +19,8 @@ def _count_literal(column: Column, literal: str) -> Column:
 
 
 def looks_like_raw_dump(clean: Column) -> Column:
-    """Markup of an unextracted document instead of its text. The rule looks at the first
-    2400 characters because that is where such markup begins."""
-    sample = F.substring(clean, 1, 2400)
+    """Markup of an unextracted document instead of its text."""
+    sample = clean
     marks = sum((_count_literal(sample, token) for token in policy.RAW_DUMP_TOKENS), F.lit(0.0))
     words = F.regexp_count(sample, F.lit(rf"(?i)\b({'|'.join(policy.READABLE_WORDS)})\b"))
     return sample.startswith("%PDF-") | ((marks >= 5) & (words < 3))
@@ -29,11 +28,10 @@ def looks_like_raw_dump(clean: Column) -> Column:
 
 def indexable(df: DataFrame, text: str = "text", name: str = "text_available") -> DataFrame:
     """Add whether a text is readable prose: long enough, no raw dump, few single
-    characters and enough different words in its first 5000 characters."""
+    characters and enough different words, over the whole text."""
     prepared = df.withColumn("_clean", tx.clean_ws(F.col(text)))
-    prepared = prepared.withColumn("_sample", F.substring("_clean", 1, 5000))
-    tokens = F.filter(F.split("_sample", r"\s+"), lambda t: t != "")
-    words = F.regexp_extract_all("_sample", F.lit(r"([A-Za-z][A-Za-z-]{2,})"), F.lit(1))
+    tokens = F.filter(F.split("_clean", r"\s+"), lambda t: t != "")
+    words = F.regexp_extract_all("_clean", F.lit(r"([A-Za-z][A-Za-z-]{2,})"), F.lit(1))
     prepared = prepared.withColumns(
         {
             "_tokens": F.size(tokens),
@@ -44,28 +42,28 @@ def indexable(df: DataFrame, text: str = "text", name: str = "text_available") -
     )
     c = F.col
     ok = (
-        (F.length("_clean") >= 80) & ~looks_like_raw_dump(c("_clean")) & (c("_tokens") > 0)
+        (F.length("_clean") >= 80) & ~looks_like_raw_dump(c("_clean")) & ~contains_any(c("_clean"), policy.PLACEHOLDER_TEXTS) & (c("_tokens") > 0)
         & (c("_single") / c("_tokens") <= 0.35) & (c("_words") >= 20) & (c("_distinct") >= 12)
     )
-    return prepared.withColumn(name, F.coalesce(ok, F.lit(False))).drop("_clean", "_sample", "_tokens", "_single", "_words", "_distinct")
+    return prepared.withColumn(name, F.coalesce(ok, F.lit(False))).drop("_clean", "_tokens", "_single", "_words", "_distinct")
 
 
-def best_snippets(text: Column, keywords: Column, n: int = 3) -> Column:
+def best_snippets(text: Column, keywords: Column, n: int = 3, max_chars: int | None = None) -> Column:
     """Best paragraphs of one text for one keyword list, as an array of (score, position,
     snippet). It needs no other row, so ranking a corpus is a single scan.
 
-    Paragraphs of at least 80 characters count, the first 400 of them; a text without
-    any is one paragraph. A keyword scores once when it occurs anywhere.
+    Paragraphs of at least 80 characters count; a text without any is one paragraph. A
+    keyword scores once when it occurs anywhere. Snippets are whole unless ``max_chars`` is given.
     """
     cleaned = F.transform(F.split(text, PARAGRAPH_BREAK), lambda p: tx.clean_ws(p))
     long_ones = F.filter(cleaned, lambda p: F.length(p) >= 80)
-    chosen = F.when(F.size(long_ones) > 0, F.slice(long_ones, 1, 400)).otherwise(F.array(tx.clean_ws(text)))
+    chosen = F.when(F.size(long_ones) > 0, long_ones).otherwise(F.array(tx.clean_ws(text)))
 
     def rate(paragraph: Column, position: Column) -> Column:
         lower = F.lower(paragraph)
         matched = F.size(F.filter(keywords, lambda k: lower.contains(k)))
         bonus = F.when(lower.contains("information security"), 2).otherwise(0) + F.when(lower.contains("risk"), 1).otherwise(0)
-        return F.struct((-(matched + bonus)).alias("order"), position.alias("position"), F.substring(paragraph, 1, 1200).alias("snippet"))
+        return F.struct((-(matched + bonus)).alias("order"), position.alias("position"), (paragraph if max_chars is None else F.substring(paragraph, 1, max_chars)).alias("snippet"))
 
     rated = F.filter(F.transform(chosen, rate), lambda r: r["order"] < 0)
     best = F.slice(F.sort_array(rated), 1, n)
@@ -80,26 +78,39 @@ def rank_snippets(docs: DataFrame, question: str, n: int = 3) -> DataFrame:
     return rows.select("doc_id", (F.col("_r") + 1).alias("rank"), "s.score", "s.position", "s.snippet")
 
 
-def document_context(docs: DataFrame, questions: DataFrame, n: int = 12, snippets: int = 3) -> DataFrame:
-    """The ``n`` newest documents per question, with snippets or else an excerpt. Each
-    question names the same few documents, which are then joined by their id."""
-    newest = scratch_table(indexable(feeds.recent_documents(docs, n)).select("doc_id", "text", "text_available"), "newest")
-    ids = [row["doc_id"] for row in newest.select("doc_id").collect()]
-    asked = questions.select("question_id", tx.question_keywords(F.col("question")).alias("_keys"), F.explode(F.lit(ids)).alias("doc_id"))
-    rows = asked.join(newest, "doc_id")
-    found = F.when(F.col("text_available"), best_snippets(F.col("text"), F.col("_keys"), snippets))
+def document_context(docs: DataFrame, questions: DataFrame, n: int | None = 12, snippets: int = 3, excerpt_chars: int | None = None) -> DataFrame:
+    """Documents that hold a keyword of a question, with their snippets; for each question
+    the ``n`` newest of them, or all.
+
+    Keywords find documents through an inverted list of the searchable texts' words, so a
+    question meets only documents it shares a word with, never all of them. A keyword is
+    found as a whole word here, while a snippet also scores inside longer words.
+    """
+    ready = scratch_table(indexable(docs).filter("text_available").select("doc_id", "uploaded_at", "text"), "searchable")
+    words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"([a-z][a-z0-9_-]{2,})"), F.lit(1)))
+    asked = scratch_table(questions.select("question_id", tx.question_keywords(F.col("question")).alias("_keys")), "asked")
+    wanted = asked.select("question_id", F.explode("_keys").alias("word"))
+    listed = ready.select("doc_id", "uploaded_at", F.explode(words).alias("word")).join(wanted.select("word").distinct(), "word", "left_semi")
+    met = listed.join(wanted, "word").select("question_id", "doc_id", "uploaded_at").distinct()
+    if n is not None:
+        newest = Window.partitionBy("question_id").orderBy(F.desc("uploaded_at"), "doc_id")
+        met = met.withColumn("_r", F.row_number().over(newest)).filter(F.col("_r") <= n)
+    rows = met.select("question_id", "doc_id").join(asked, "question_id").join(ready.select("doc_id", "text"), "doc_id")
+    found = best_snippets(F.col("text"), F.col("_keys"), snippets)
     some = rows.withColumn("_found", F.coalesce(found, F.array().cast("array<struct<score:int,position:int,snippet:string>>")))
+    excerpt = F.col("text") if excerpt_chars is None else F.substring("text", 1, excerpt_chars)
     return some.select(
-        "question_id", "doc_id", "text_available", F.size("_found").alias("snippets"),
-        F.coalesce(F.get("_found", F.lit(0))["snippet"], F.substring("text", 1, 1000)).alias("shown"),
+        "question_id", "doc_id", F.size("_found").alias("snippets"), F.coalesce(F.get("_found", F.lit(0))["snippet"], excerpt).alias("shown"),
         F.when(F.size("_found") > 0, "relevant text found").otherwise("no text matched").alias("note"),
     )
 
 
-def question_context(questions: DataFrame, pool: DataFrame, per_question: int = 12) -> DataFrame:
+def question_context(questions: DataFrame, pool: DataFrame, per_question: int | None = None) -> DataFrame:
     """Requested records per question: sequences named in the text, joined to the pool."""
     asked = questions.select("question_id", F.posexplode(tx.extract_sequences(F.col("question"))).alias("_p", "_s"))
     asked = asked.select("question_id", F.col("_s").cast("bigint").alias("sequence"))
     found = pool.join(asked, "sequence")
+    if per_question is None:
+        return found
     order = Window.partitionBy("question_id").orderBy("sequence", "evidence_id")
     return found.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= per_question).drop("_r")

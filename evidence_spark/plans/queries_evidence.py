@@ -92,7 +92,7 @@ def report_lines(spark, sf):
     return evidence.report_lines(aggregates.evidence_totals(ev, logsrc(spark, sf)), "verified", True, ev, ev)
 
 
-@query("trimmed_evidence", with_ev(f"""SELECT sequence, evidence_id, src AS source, dst AS target, protocol, severity, anomaly_type, substring(explanation, 1, 700) AS explanation FROM ev
+@query("trimmed_evidence", with_ev(f"""SELECT sequence, evidence_id, src AS source, dst AS target, protocol, severity, anomaly_type, explanation FROM ev
     UNION ALL SELECT sequence, NULL, CASE WHEN details_operation IS NOT NULL THEN '203.0.113.45' ELSE 'error' END, CASE WHEN details_operation IS NOT NULL THEN 'SEQ #' || details_target_sequence END, event, severity, event,
       CASE WHEN event = 'tamper_attempt_blocked' THEN 'A ' || details_operation || ' attempt on sequence ' || details_target_sequence || ' was blocked.' ELSE '' END FROM sec"""))
 def trimmed_evidence(spark, sf):
@@ -101,7 +101,7 @@ def trimmed_evidence(spark, sf):
 
 
 @query("sequence_dossier", with_ev(f"""SELECT e.sequence, e.severity, true AS trusted, coalesce((SELECT count(*) FROM (
-      SELECT 'a' || {o.slug('source', 'src')} UNION SELECT 'b' || {o.slug('target', "dst || ':' || port")} UNION SELECT 'c')), 0) AS related_edges FROM ev e WHERE sequence IN (41, 120, 777) ORDER BY sequence, evidence_id LIMIT 12"""))
+      SELECT 'a' || {o.slug('source', 'src')} UNION SELECT 'b' || {o.slug('target', "dst || ':' || port")} UNION SELECT 'c')), 0) AS related_edges FROM ev e WHERE sequence IN (41, 120, 777)"""))
 def sequence_dossier(spark, sf):
     """Three requested sequences with the number of edges at their event nodes."""
     ev = proxy.evidence(spark, sf)

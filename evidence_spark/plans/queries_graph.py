@@ -38,31 +38,43 @@ def _graph_sql(source: str, prefix: str = "") -> str:
   FROM {prefix}er WHERE source <> target GROUP BY source, target, relation)"""
 
 
+def _pairs_sql(source: str) -> str:
+    """CTE pairs: every event with the last one before it by each rule, strongest rule first."""
+    rules = [("source_component, target_component", 0), ("target_component", 2), ("pattern", 3), ("source_component", 4)]
+    equal = " UNION ALL ".join(f"SELECT lag(event_id) OVER (PARTITION BY {key} ORDER BY rank, event_id) AS source, event_id AS target, {p} AS p FROM {source}" for key, p in rules)
+    return f"""
+roles AS (SELECT source_component AS place, rank, 0 AS tgt, event_id FROM {source} UNION ALL SELECT target_component, rank, 1, event_id FROM {source}),
+pr AS ({equal}
+  UNION ALL SELECT pe, event_id, 1 FROM (SELECT event_id, tgt, lag(event_id) OVER w AS pe, lag(tgt) OVER w AS pt FROM roles WINDOW w AS (PARTITION BY place ORDER BY rank, tgt, event_id)) WHERE tgt = 0 AND pt = 1
+  UNION ALL SELECT pe, event_id, 5 FROM (SELECT event_id, event_us, lag(event_id) OVER w AS pe, lag(event_us) OVER w AS pu FROM {source} WINDOW w AS (PARTITION BY domain ORDER BY rank, event_id)) WHERE event_us - pu <= 1800000000),
+pairs AS (SELECT source, target, ['shared_flow', 'pivot', 'shared_target', 'shared_pattern', 'shared_source', 'domain_sequence'][p + 1] AS relation,
+  ['same flow', 'pivot', 'same target', 'same pattern', 'same source', 'same domain'][p + 1] AS label, [5, 5, 4, 4, 4, 2][p + 1] AS weight
+  FROM (SELECT source, target, min(p) AS p FROM pr WHERE source IS NOT NULL AND source <> target GROUP BY source, target))"""
+
+
 WHOLE = _graph_sql("norm")
 
+# the whole graph with related events: every event once, ranked by time
+EVERY = f"""allev AS (SELECT *, row_number() OVER (ORDER BY event_us, -risk, event_id) AS rank FROM (SELECT * FROM norm QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY event_us, event_type, label, source_component, target_component) = 1)),
+{_pairs_sql('allev')},
+{_graph_sql('allev')},
+edges AS (SELECT * FROM edges0 UNION ALL SELECT source, target, relation, label, weight FROM pairs)"""
+
 SELECTED = f"""
 @source,
 filt AS (SELECT * FROM inv WHERE risk >= 0.5),
 topn AS (SELECT event_id FROM filt ORDER BY risk DESC, abs(coalesce(anomaly_score, 0)) DESC, event_us DESC, event_id LIMIT 30),
 sel AS (SELECT *, row_number() OVER (ORDER BY event_us, -risk, event_id) AS rank FROM (
   SELECT * FROM filt WHERE event_id IN (SELECT event_id FROM topn) OR event_type = 'mutation_attempt')),
-pr AS (SELECT a.event_id AS source, b.event_id AS target,
-  CASE WHEN a.source_component = b.source_component AND a.target_component = b.target_component THEN 'shared_flow'
-       WHEN a.target_component = b.source_component THEN 'pivot' WHEN a.target_component = b.target_component THEN 'shared_target'
-       WHEN a.pattern = b.pattern THEN 'shared_pattern' WHEN a.source_component = b.source_component THEN 'shared_source'
-       WHEN a.domain = b.domain AND abs(a.event_us - b.event_us) <= 1800000000 THEN 'domain_sequence' END AS relation
-  FROM sel a JOIN sel b ON a.rank < b.rank),
-pairs AS (SELECT source, target, relation, CASE relation WHEN 'shared_flow' THEN 'same flow' WHEN 'pivot' THEN 'pivot' WHEN 'shared_target' THEN 'same target'
-  WHEN 'shared_pattern' THEN 'same pattern' WHEN 'shared_source' THEN 'same source' ELSE 'same domain' END AS label,
-  CASE relation WHEN 'shared_flow' THEN 5 WHEN 'pivot' THEN 5 WHEN 'domain_sequence' THEN 2 ELSE 4 END AS weight FROM pr WHERE relation IS NOT NULL AND source <> target),
+{_pairs_sql('sel')},
 {_graph_sql('sel')},
 edges AS (SELECT * FROM edges0 UNION ALL SELECT source, target, relation, label, weight FROM pairs)"""
 
-# the investigation reads the listed tables only: ranked anomalies, newest security events, newest attempts
+# what an investigation selects: ranked anomalies, newest security events, attempts those do not report
 INVESTIGATION = NORMALIZED + """,
 inv_keys AS (SELECT 'anomaly' AS t, sequence AS s, CAST(NULL AS BIGINT) AS u FROM (SELECT * FROM ev WHERE predicted_anomaly = 1 ORDER BY anomaly_score, evidence_id DESC LIMIT 80)),
 newest AS (SELECT * FROM sec ORDER BY sequence DESC LIMIT 20),
-fresh AS (SELECT * FROM (SELECT * FROM att ORDER BY attempt_id DESC LIMIT 5000) WHERE attempt_id NOT IN (SELECT attempt_id FROM newest WHERE attempt_id IS NOT NULL)),
+fresh AS (SELECT * FROM att WHERE attempt_id NOT IN (SELECT attempt_id FROM newest WHERE attempt_id IS NOT NULL)),
 inv0 AS (SELECT * FROM norm WHERE event_type = 'anomaly' AND sequence IN (SELECT s FROM inv_keys)
   UNION ALL SELECT n.* FROM norm n JOIN newest w ON n.event_us = w.occurred_us WHERE n.event_type <> 'anomaly' AND n.description = w.event
   UNION ALL SELECT n.* FROM norm n JOIN fresh f ON n.event_us = f.occurred_us AND n.description LIKE 'DB % Attempt Blocked'),
@@ -71,7 +83,7 @@ inv AS (SELECT * FROM inv0 QUALIFY row_number() OVER (PARTITION BY event_id ORDE
 
 def investigation(spark, sf):
     """Graph events of an investigation; one per event id, the earliest."""
-    both = feeds.provenance_events(proxy.evidence(spark, sf), proxy.security_events(spark, sf), proxy.attempts(spark, sf))
+    both = feeds.provenance_events(proxy.evidence(spark, sf), proxy.security_events(spark, sf), proxy.attempts(spark, sf), 80, 20)
     rows = events.normalize_events(both)
     first = rows.groupBy("event_id").agg(F.min_by(F.struct(*rows.columns), F.col("event_us")).alias("r"))
     return scratch_table(first.select("r.*"), "investigation")
@@ -81,6 +93,18 @@ def investigation_graph(spark, sf):
     return graph.build_graph(investigation(spark, sf), max_events=30)
 
 
+def whole_graph(spark, sf):
+    """The graph of all events, each event id once, with the links between related events."""
+    rows = normalized(spark, sf)
+    order = F.struct("event_us", "event_type", "label", "source_component", "target_component")
+    first = rows.groupBy("event_id").agg(F.min_by(F.struct(*rows.columns), order).alias("r")).select("r.*")
+    return graph.build_graph(first, max_events=None, severity_threshold=float("-inf"))
+
+
+def _every(body: str, *extra: str, recursive: bool = False) -> str:
+    return with_ev(body, NORMALIZED, EVERY, *extra, recursive=recursive)
+
+
 def _sel(body: str, *extra: str, recursive: bool = False) -> str:
     return with_ev(body, SELECTED.replace("@source", INVESTIGATION.strip()), *extra, recursive=recursive)
 
@@ -171,17 +195,17 @@ def components(spark, sf):
 links AS (SELECT source AS a, target AS b FROM edges UNION SELECT target, source FROM edges),
 bfs AS (SELECT id AS root, id AS node, [id] AS path, 0 AS hops FROM ends
   UNION ALL SELECT * FROM (SELECT w.root, l.b AS node, min(list_append(w.path, l.b)) AS path, any_value(w.hops) + 1 AS hops FROM bfs w JOIN links l ON l.a = w.node
-    WHERE w.hops < 4 AND NOT list_contains(w.path, l.b) GROUP BY w.root, l.b))""", recursive=True))
+    WHERE w.hops < 7 AND NOT list_contains(w.path, l.b) GROUP BY w.root, l.b))""", recursive=True))
 def attack_paths(spark, sf):
     g = investigation_graph(spark, sf)
-    return graph.attack_paths(g.nodes, g.edges).select("source", "target", "path", "length", "risk")
+    return graph.attack_paths(g.nodes, g.edges, 12, 8, 8).select("source", "target", "path", "length", "risk")
 
 
 @query("attack_path_relations")
 def attack_path_relations(spark, sf):
     """The same paths with labels, relations and a summary line."""
     g = investigation_graph(spark, sf)
-    return graph.attack_paths(g.nodes, g.edges)
+    return graph.attack_paths(g.nodes, g.edges, 12, 8, 8)
 
 
 @query("betweenness")
@@ -244,4 +268,44 @@ def timeline_graph_all(spark, sf):
     SELECT 'event-' || a.sequence AS source, 'event-' || b.sequence AS target, string_agg('event-' || m.sequence, ' > ' ORDER BY m.rank) AS path, b.rank - a.rank AS length, true AS temporal, max(m.risk) AS risk
     FROM tl a JOIN tl b ON a.rank < b.rank JOIN tl m ON m.rank BETWEEN a.rank AND b.rank GROUP BY a.sequence, b.sequence, a.rank, b.rank) ORDER BY risk DESC, temporal DESC, length, source, target LIMIT 10""", NORMALIZED, TL.format(limit="LIMIT 8")))
 def temporal_paths(spark, sf):
-    return graph.temporal_paths(*_timeline(spark, sf, 8))
+    """The ten best of all paths between the first eight flagged events."""
+    return graph.temporal_paths(*_timeline(spark, sf, 8), 10)
+
+
+# --- the whole graph ------------------------------------------------------------------------------
+
+@query("correlated_pairs_all", _every("SELECT source, target, relation, label FROM pairs"))
+def correlated_pairs_all(spark, sf):
+    return joins.correlate_events(whole_graph(spark, sf).selected)
+
+
+@query("density_all", _every(f"""SELECT (SELECT count(*) FROM nodes) AS nodes, count(*) AS arcs, {o.half_up('CAST(count(*) AS DOUBLE) / (CAST((SELECT count(*) FROM nodes) AS DOUBLE) * ((SELECT count(*) FROM nodes) - 1))', 4)} AS density
+    FROM (SELECT DISTINCT source, target FROM edges)"""))
+def density_all(spark, sf):
+    g = whole_graph(spark, sf)
+    return graph.density(g.nodes, g.edges)
+
+
+@query("top_nodes_all", _every("SELECT id, kind, risk FROM nodes ORDER BY risk DESC, id LIMIT 6"))
+def top_nodes_all(spark, sf):
+    return feeds.top_nodes(whole_graph(spark, sf).nodes).select("id", "kind", "risk")
+
+
+@query("neighbours_all", _every("""SELECT e.direction, e.other, e.relation, e.label, n.label AS other_label, n.kind AS other_kind FROM (
+    SELECT 'Outgoing' AS direction, target AS other, relation, label FROM edges WHERE source = 'domain-integrity'
+    UNION ALL SELECT 'Incoming', source, relation, label FROM edges WHERE target = 'domain-integrity') e LEFT JOIN nodes n ON n.id = e.other"""))
+def neighbours_all(spark, sf):
+    g = whole_graph(spark, sf)
+    return joins.neighbours(g.nodes, g.edges, "domain-integrity")
+
+
+@query("induced_subgraph_all", _every("""SELECT source, target, relation FROM edges WHERE source IN (SELECT id FROM nodes ORDER BY risk DESC, id LIMIT 40) AND target IN (SELECT id FROM nodes ORDER BY risk DESC, id LIMIT 40)"""))
+def induced_subgraph_all(spark, sf):
+    g = whole_graph(spark, sf)
+    return joins.induced_subgraph(g.nodes, g.edges, 40, [F.desc("risk"), "id"])[1].select("source", "target", "relation")
+
+
+@query("related_subgraph_all", _every("""SELECT source, target, relation FROM edges WHERE source IN (SELECT id FROM nodes WHERE contains(id || ' ' || label, 'Blocked')) OR target IN (SELECT id FROM nodes WHERE contains(id || ' ' || label, 'Blocked'))"""))
+def related_subgraph_all(spark, sf):
+    g = whole_graph(spark, sf)
+    return joins.related_subgraph(g.nodes, g.edges, ["Blocked"])[1].select("source", "target", "relation")

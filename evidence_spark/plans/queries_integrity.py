@@ -234,13 +234,36 @@ def anchors(spark, sf):
 
 
 @query("sync_attempts", with_ev("""SELECT attempt_id AS source_offset, 'SECURITY_EVENT' AS source_type,
-    '{"details":{"attempt_id":' || attempt_id || ',"detected_at":"' || detected_at || '","operation":"' || operation || '","target_sequence":' || target_sequence || ',"sqlite_action":"blocked"},"event":"tamper_attempt_blocked","severity":"HIGH"}' AS payload
-    FROM att WHERE chain_entry_hash IS NULL ORDER BY attempt_id LIMIT 50"""))
+    '{"details":{"attempt_id":' || attempt_id || ',"detected_at":"' || detected_at || '","operation":"' || operation || '","target_sequence":' || target_sequence || ',"sqlite_action":"blocked","trigger_details":{' || array_to_string(list_filter([CASE WHEN k % 2 = 0 THEN '"attacker_ip":"10.0.9.' || k || '"' END, CASE WHEN k % 3 = 0 THEN '"table":"log_entries"' END], lambda x: x IS NOT NULL), ',') || '},"blocked_by_sqlite":true},"event":"tamper_attempt_blocked","severity":"HIGH"}' AS payload
+    FROM att JOIN (SELECT event_id AS attempt_id, k FROM ev) USING (attempt_id) WHERE chain_entry_hash IS NULL"""))
 def sync_attempts(spark, sf):
     waiting = integrity.sync_attempts(proxy.attempts(spark, sf), chain_ok=True)
     return waiting.select("source_offset", "source_type", F.col("payload").cast("string").alias("payload"))
 
 
+@query("synced_attempts", with_ev("SELECT attempt_id, true AS has_hash, chain_entry_hash IS NULL AS is_new FROM att"))
+def synced_attempts(spark, sf):
+    """Attempts after their events were sealed: each has a hash, and new ones that of the log."""
+    attempts = proxy.attempts(spark, sf)
+    sealed = integrity.seal(integrity.sync_attempts(attempts, chain_ok=True).drop("attempt_id"), ["source_offset"], segment_rows=64, key_id=KEY)
+    before = attempts.select("attempt_id", F.col("chain_entry_hash").alias("before"))
+    after = integrity.attempts_with_hash(attempts, sealed.rows).join(before, "attempt_id")
+    hashes = sealed.rows.select(F.col("source_offset").alias("attempt_id"), F.col("entry_hash").alias("sealed"))
+    return after.join(hashes, "attempt_id", "left").select(
+        "attempt_id", F.col("chain_entry_hash").isNotNull().alias("has_hash"), (F.col("before").isNull() & (F.col("chain_entry_hash") == F.col("sealed"))).alias("is_new")
+    )
+
+
+@query("restoration", with_ev("""SELECT (SELECT count(*) FROM logsrc) AS entries, (SELECT count(*) FROM logsrc) AS mapped,
+    '{"details":{"actor":"analyst","reason":"drill","records_restored":' || (SELECT count(*) FROM logsrc) || '},"detected_at":"2024-03-01T00:00:00","event":"store_restored_from_recovery_ledger","severity":"CRITICAL"}' AS payload"""))
+def restoration(spark, sf):
+    """A log rebuilt from its mirror, with its correlation map and the event about it."""
+    kept = integrity.mirror(proxy.sealed_log(spark, sf).rows, "2024-02-01T00:00:00", segment_rows=64)
+    done = integrity.restoration(kept, "drill", "analyst", "2024-03-01T00:00:00")
+    sizes = {"entries": F.lit(done["log"].count()), "mapped": F.lit(done["correlation_map"].count())}
+    return done["event"].select(F.col("payload").cast("string").alias("payload")).withColumns(sizes)
+
+
 def _readiness(spark, sf, broken):
     sealed = proxy.sealed_log(spark, sf)
     rows = edited(sealed.rows) if broken else sealed.rows

@@ -30,10 +30,10 @@ stats AS (SELECT domain, avg(packet_size) AS pm, greatest(stddev_pop(packet_size
     count(*) AS events, min(anomaly_score) AS min_score, max(anomaly_score) AS max_score,
     coalesce(arg_min(nullif(explanation, ''), sequence) FILTER (explanation <> ''), '') AS explanation,
     coalesce(arg_min(array_to_string(top_features, ' / '), sequence) FILTER (len(top_features) > 0), '') AS top_features,
-    round(max(greatest((packet_size - pm) / ps, 0)), 4) AS max_size_zscore,
+    round(max(greatest((packet_size - coalesce(pm, 0)) / coalesce(ps, 1), 0)), 4) AS max_size_zscore,
     CAST(sum(cross_domain_flag + port_anomaly_flag + protocol_anomaly_flag) AS BIGINT) AS policy_flags,
     max({o.risk('anomaly_score', 'severity')}) AS max_risk
-    FROM flagged_ev JOIN stats USING (domain) WHERE predicted_anomaly = 1
+    FROM flagged_ev LEFT JOIN stats USING (domain) WHERE predicted_anomaly = 1
     GROUP BY 1, 2, 3, 4, 5""", ZSTATS))
 def flagship_alert_groups(spark, sf):
     """Policy flags, baseline deviation, risk and alert groups in one pass plan."""
@@ -223,7 +223,7 @@ def ip_mentions(spark, sf):
     u AS (SELECT conv_id, turn, unnest(found) AS v, generate_subscripts(found, 1) AS i FROM g),
     d AS (SELECT conv_id, turn, CAST(v AS BIGINT) AS v, min(i) AS i FROM u GROUP BY conv_id, turn, CAST(v AS BIGINT)),
     r AS (SELECT *, row_number() OVER (PARTITION BY conv_id, turn ORDER BY i) AS rn FROM d),
-    s AS (SELECT conv_id, turn, string_agg(CAST(v AS VARCHAR), ',' ORDER BY i) AS sequences FROM r WHERE rn <= 5 GROUP BY conv_id, turn)
+    s AS (SELECT conv_id, turn, string_agg(CAST(v AS VARCHAR), ',' ORDER BY i) AS sequences FROM r GROUP BY conv_id, turn)
     SELECT c.conv_id, c.turn, coalesce(sequences, '') AS sequences FROM conversations c LEFT JOIN s ON c.conv_id = s.conv_id AND c.turn = s.turn""")
 def question_sequences(spark, sf):
     found = F.transform(text.extract_sequences(F.col("text")), lambda v: v.cast("string"))
@@ -341,7 +341,7 @@ def security_only(spark, sf):
     return filters.security_only(proxy.log_source(spark, sf)).select(F.col("order_id").alias("sequence"), "source_type", "created_at")
 
 
-@query("unsynced_attempts", with_ev("SELECT attempt_id, operation, target_sequence FROM att WHERE chain_entry_hash IS NULL ORDER BY attempt_id LIMIT 50"))
+@query("unsynced_attempts", with_ev("SELECT attempt_id, operation, target_sequence FROM att WHERE chain_entry_hash IS NULL"))
 def unsynced_attempts(spark, sf):
     return filters.unsynced_attempts(proxy.attempts(spark, sf)).select("attempt_id", "operation", "target_sequence")
 
@@ -371,8 +371,8 @@ def bit_fields_join(spark, sf):
     return hits.withColumn("misses", F.lit(misses.count()))
 
 
-@query("zscores", with_ev("""SELECT event_id, domain, round(greatest((packet_size - pm) / ps, 0), 6) AS packet_size_zscore,
-    round(greatest((frequency - fm) / fs, 0), 6) AS frequency_zscore FROM flagged_ev JOIN stats USING (domain)""", ZSTATS))
+@query("zscores", with_ev("""SELECT event_id, domain, round(greatest((packet_size - coalesce(pm, 0)) / coalesce(ps, 1), 0), 6) AS packet_size_zscore,
+    round(greatest((frequency - coalesce(fm, 0)) / coalesce(fs, 1), 0), 6) AS frequency_zscore FROM flagged_ev LEFT JOIN stats USING (domain)""", ZSTATS))
 def zscores(spark, sf):
     ev = proxy.evidence(spark, sf)
     z = joins.apply_zscores(ev, aggregates.domain_baseline(ev), "domain", ["packet_size", "frequency"])
@@ -384,5 +384,5 @@ def zscores(spark, sf):
 def word_zscores(spark, sf):
     words = proxy.evidence(spark, sf).filter(F.col("data_format") == "ARINC429").withColumn("data_bits_int", scalars.bits_to_int(F.col("data_bits")))
     stats = aggregates.label_baseline(words, key="label_octal")
-    z = joins.apply_zscores(words, stats, "label_octal", ["data_bits_int"], upper_tail_only=False, default_stats=True)
+    z = joins.apply_zscores(words, stats, "label_octal", ["data_bits_int"], upper_tail_only=False)
     return z.select("event_id", "label_octal", F.round("data_bits_int_zscore", 6).alias("data_bits_zscore"))

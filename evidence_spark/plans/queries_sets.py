@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from evidence_spark.functions import scalars
+from evidence_spark.functions import crypto, scalars
 from evidence_spark.operators import aggregates, feeds, filters, joins, ordered
 from evidence_spark.plans import oracle as o
 from evidence_spark.plans import proxy
@@ -313,18 +313,18 @@ def recent_entries(spark, sf):
     return feeds.recent_entries(logsrc(spark, sf)).select("sequence", "source_file", "payload_sha256", "ingest_mode")
 
 
-@query("sequence_entries", with_ev("SELECT sequence, created_at, source_file, source_type, source_offset, 'csv_row' AS ingest_mode, 'Row' AS offset_label FROM logsrc ORDER BY sequence DESC LIMIT 5000"))
+@query("sequence_entries", with_ev("SELECT sequence, created_at, source_file, source_type, source_offset, 'csv_row' AS ingest_mode, 'Row' AS offset_label FROM logsrc"))
 def sequence_entries(spark, sf):
     return feeds.sequence_entries(logsrc(spark, sf))
 
 
 @query("ranked_anomalies", with_ev("SELECT evidence_id, anomaly_score, severity FROM ev WHERE predicted_anomaly = 1 ORDER BY anomaly_score, evidence_id DESC LIMIT 80"))
 def ranked_anomalies(spark, sf):
-    return feeds.ranked_anomalies(proxy.evidence(spark, sf)).select("evidence_id", "anomaly_score", "severity")
+    return feeds.ranked_anomalies(proxy.evidence(spark, sf), 80).select("evidence_id", "anomaly_score", "severity")
 
 
 @query("score_trace", with_ev("""SELECT evidence_id, occurred_at, anomaly_score FROM (SELECT * FROM (SELECT * FROM ev ORDER BY evidence_id DESC LIMIT 160)
-    UNION SELECT * FROM (SELECT * FROM ev WHERE predicted_anomaly = 1 ORDER BY evidence_id LIMIT 2000))"""))
+    UNION SELECT * FROM (SELECT * FROM ev WHERE predicted_anomaly = 1))"""))
 def score_trace(spark, sf):
     return feeds.score_trace(proxy.evidence(spark, sf)).select("evidence_id", "occurred_at", "anomaly_score")
 
@@ -343,6 +343,16 @@ def security_events_view(spark, sf):
     return feeds.security_events_view(log, 50).select("sequence", "event", "severity", "attacker_ip")
 
 
+@query("security_events_opened", with_ev("""SELECT sequence, event, severity, '203.0.113.45' AS attacker_ip FROM sec ORDER BY sequence DESC LIMIT 50"""))
+def security_events_opened(spark, sf):
+    """The same view over encrypted payloads."""
+    sec = proxy.security_events(spark, sf).withColumn("payload", F.to_json(F.struct("event", "severity")).cast("binary"))
+    key = F.unhex(F.sha2(F.lit("fixture key"), 256))
+    aad = crypto.associated_data(F.col("source_file"), F.col("source_type"), F.col("source_offset"), F.lit("{}"))
+    log = crypto.encrypt_payloads(sec, key, aad).withColumn("metadata_json", F.lit("{}"))
+    return feeds.security_events_view(log, 50, key, aad).select("sequence", "event", "severity", "attacker_ip")
+
+
 @query("select_top", with_ev("""SELECT DISTINCT event_id, risk FROM (SELECT * FROM (SELECT event_id, risk FROM norm ORDER BY risk DESC, abs(coalesce(anomaly_score, 0)) DESC, event_us DESC, event_id LIMIT 10)
     UNION SELECT event_id, risk FROM norm WHERE event_type = 'mutation_attempt')""", NORMALIZED.replace("UNION ALL SELECT * FROM n_att", "")))
 def select_top(spark, sf):
@@ -380,22 +390,22 @@ FEED = f"""feed AS (
   SELECT CASE WHEN source_type = 'SECURITY_EVENT' THEN 'security_event' ELSE 'raw_log' END AS kind, 'Log' AS kind_label, created_at AS recorded_at, sequence,
          'seq-' || sequence AS record_id, CASE WHEN source_type = 'SECURITY_EVENT' THEN 'Security event appended' ELSE 'Raw log appended' END AS activity,
          source_file, source_type, 'Normal' AS classification, 'Sealed append' AS context, 'log:' || source_type || ':' || source_file AS batch_key
-  FROM (SELECT * FROM logsrc ORDER BY sequence DESC LIMIT 5000)
+  FROM logsrc
   UNION ALL
   SELECT 'ai_evidence', 'AI', occurred_at, sequence, 'ai-' || evidence_id, 'AI evidence stored', source_file, 'AI_EVIDENCE',
          CASE WHEN predicted_anomaly = 1 THEN 'Critical' ELSE 'Normal' END,
          CASE WHEN predicted_anomaly = 1 THEN 'Flagged anomaly' ELSE 'Normal verdict' END || ' / ' || {o.title('severity')},
          'ai:' || CASE WHEN predicted_anomaly = 1 THEN 'Critical' ELSE 'Normal' END || ':' || source_file
-  FROM (SELECT * FROM ev ORDER BY evidence_id DESC LIMIT 5000)
+  FROM ev
   UNION ALL
   SELECT 'ai_checkpoint', 'AI', created_at, last_id, 'ai-checkpoint-' || id, 'AI checkpoint stored', 'AI evidence ledger', 'AI_CHECKPOINT', 'Normal',
          n || ' records, #' || first_id || ' to #' || last_id, 'ai_checkpoint:evidence_batch'
-  FROM (SELECT (evidence_id - 1) // 50 + 1 AS id, max(occurred_at) AS created_at, count(*) AS n, min(evidence_id) AS first_id, max(evidence_id) AS last_id FROM ev GROUP BY 1 ORDER BY 1 DESC LIMIT 5000)
+  FROM (SELECT (evidence_id - 1) // 50 + 1 AS id, max(occurred_at) AS created_at, count(*) AS n, min(evidence_id) AS first_id, max(evidence_id) AS last_id FROM ev GROUP BY 1)
   UNION ALL
   SELECT 'mutation_attempt', 'Attempt', detected_at, target_sequence, 'attempt-' || attempt_id, {o.title('operation')} || ' attempt blocked',
          coalesce(table_name, sqlite_action), 'MUTATION_ATTEMPT', 'Critical', 'Protected table: ' || coalesce(table_name, sqlite_action),
          'attempt:' || operation || ':' || coalesce(table_name, sqlite_action)
-  FROM (SELECT * FROM att ORDER BY attempt_id DESC LIMIT 5000))"""
+  FROM att)"""
 
 
 def feed(spark, sf):
@@ -413,10 +423,10 @@ def activity_batches(spark, sf):
     return aggregates.activity_batches(feed(spark, sf))
 
 
-PROV = """ranked AS (SELECT sequence, 'anomaly' AS event_type FROM ev WHERE predicted_anomaly = 1 ORDER BY anomaly_score, evidence_id DESC LIMIT 80),
-newest AS (SELECT * FROM sec ORDER BY sequence DESC LIMIT 20),
+PROV = """ranked AS (SELECT sequence, 'anomaly' AS event_type FROM ev WHERE predicted_anomaly = 1),
+newest AS (SELECT * FROM sec),
 prov AS (SELECT sequence, CAST(NULL AS BIGINT) AS attempt_id, 'anomaly' AS event_type FROM ranked UNION ALL SELECT sequence, attempt_id, 'security_event' FROM newest
-  UNION ALL SELECT target_sequence, attempt_id, 'mutation_attempt' FROM (SELECT * FROM att ORDER BY attempt_id DESC LIMIT 5000)
+  UNION ALL SELECT target_sequence, attempt_id, 'mutation_attempt' FROM att
   WHERE attempt_id NOT IN (SELECT attempt_id FROM newest WHERE attempt_id IS NOT NULL))"""
 
 
@@ -454,7 +464,7 @@ def evidence_stream(spark, sf):
 
 
 @query("chain_growth", with_ev("""SELECT 'entry-' || sequence AS key, 'CSV' AS type, 'Sequence #' || sequence AS title, 'Row ' || source_offset AS position, created_at AS time,
-    CAST(sequence AS DOUBLE) AS rank FROM logsrc ORDER BY sequence DESC LIMIT 5000"""))
+    CAST(sequence AS DOUBLE) AS rank FROM logsrc"""))
 def chain_growth(spark, sf):
     log = logsrc(spark, sf)
     return feeds.chain_growth(feeds.sequence_entries(log), None, None, None)

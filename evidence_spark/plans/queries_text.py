@@ -22,10 +22,10 @@ def _clean(x: str) -> str:
 def _indexable(table: str) -> str:
     marks = " + ".join(f"(length(d) - length(replace(d, '{t}', ''))) / {len(t)}" for t in policy.RAW_DUMP_TOKENS)
     return f"""cl AS (SELECT *, {_clean('text')} AS c FROM {table}),
-    sm AS (SELECT *, substring(c, 1, 5000) AS s, substring(c, 1, 2400) AS d FROM cl),
+    sm AS (SELECT *, c AS s, c AS d FROM cl),
     tk AS (SELECT *, list_filter(regexp_split_to_array(s, '{SPACE}'), lambda t: t <> '') AS toks, regexp_extract_all(s, '[A-Za-z][A-Za-z-]{{2,}}') AS words,
            len(regexp_extract_all(d, '(?i)\\b({'|'.join(policy.READABLE_WORDS)})\\b')) AS readable, {marks} AS marks FROM sm),
-    idx AS (SELECT *, length(c) >= 80 AND NOT (d LIKE '%PDF-%' AND starts_with(d, '%PDF-') OR (marks >= 5 AND readable < 3)) AND len(toks) > 0
+    idx AS (SELECT *, length(c) >= 80 AND NOT (d LIKE '%PDF-%' AND starts_with(d, '%PDF-') OR (marks >= 5 AND readable < 3)) AND NOT ({' OR '.join(f"contains(c, '{t}')" for t in policy.PLACEHOLDER_TEXTS)}) AND len(toks) > 0
       AND len(list_filter(toks, lambda t: regexp_full_match(t, '[A-Za-z0-9]'))) / len(toks) <= 0.35 AND len(words) >= 20
       AND len(list_distinct(list_transform(words, lambda w: lower(w)))) >= 12 AS text_available FROM tk)"""
 
@@ -44,7 +44,7 @@ def _snippets(source: str) -> str:
     """Scored paragraphs of ``source`` (doc_id, text, keys, and any key columns)."""
     return f"""pt AS (SELECT *, regexp_split_to_array(regexp_replace(text, '\\.[ \\t\\n\\r\\f\\x0B]{{2,}}', '.' || chr(30), 'g'), '\\n[ \\t\\n\\r\\f\\x0B]*\\n|' || chr(30)) AS raw FROM {source}),
     pl AS (SELECT *, list_filter(list_transform(raw, lambda p: {_clean('p')}), lambda p: length(p) >= 80) AS longs FROM pt),
-    pc AS (SELECT *, CASE WHEN len(longs) > 0 THEN longs[1:400] ELSE [{_clean('text')}] END AS paras FROM pl WHERE trim(text) <> ''),
+    pc AS (SELECT *, CASE WHEN len(longs) > 0 THEN longs ELSE [{_clean('text')}] END AS paras FROM pl WHERE trim(text) <> ''),
     pu AS (SELECT * EXCLUDE (raw, longs, paras), unnest(paras) AS p, generate_subscripts(paras, 1) - 1 AS position FROM pc),
     ps AS (SELECT *, len(list_filter(keys, lambda k: contains(lower(p), k))) + CASE WHEN contains(lower(p), 'information security') THEN 2 ELSE 0 END
            + CASE WHEN contains(lower(p), 'risk') THEN 1 ELSE 0 END AS score FROM pu)"""
@@ -70,30 +70,31 @@ def indexable_docs(spark, sf):
 
 
 @query("ranked_snippets", "WITH src AS (SELECT doc_id, text, " + _keywords(f"'{QUESTION}'") + " AS keys FROM documents), " + _snippets("src") + """
-    SELECT doc_id, CAST(rn AS INTEGER) AS rank, score, position, substring(p, 1, 1200) AS snippet FROM (
+    SELECT doc_id, CAST(rn AS INTEGER) AS rank, score, position, p AS snippet FROM (
       SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, position) AS rn FROM ps WHERE score > 0) WHERE rn <= 3""")
 def ranked_snippets(spark, sf):
     """Best three paragraphs of every document for one question."""
     return retrieval.rank_snippets(documents(spark, sf), QUESTION)
 
 
-@query("document_context", "WITH newest AS (SELECT * FROM documents ORDER BY doc_id DESC LIMIT 12), " + _indexable("newest") + """,
-    src AS (SELECT q.item_id AS question_id, i.doc_id, i.text, """ + _keywords("q.text") + """ AS keys FROM benchmark q, idx i WHERE i.text_available), """ + _snippets("src") + """,
-    top AS (SELECT question_id, doc_id, count(*) AS n, arg_min(substring(p, 1, 1200), rn) AS best FROM (
+@query("document_context", "WITH " + _indexable("documents") + """,
+    good AS (SELECT doc_id, text FROM idx WHERE text_available), ask AS (SELECT item_id AS question_id, """ + _keywords("text") + """ AS keys FROM benchmark),
+    wd AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(text), '[a-z][a-z0-9_-]{2,}')) AS w FROM good), wk AS (SELECT question_id, unnest(keys) AS w FROM ask),
+    met AS (SELECT question_id, doc_id FROM (SELECT DISTINCT question_id, doc_id FROM wk JOIN wd USING (w)) QUALIFY row_number() OVER (PARTITION BY question_id ORDER BY doc_id DESC) <= 12),
+    src AS (SELECT question_id, doc_id, text, keys FROM met JOIN ask USING (question_id) JOIN good USING (doc_id)), """ + _snippets("src") + """,
+    top AS (SELECT question_id, doc_id, count(*) AS n, arg_min(p, rn) AS best FROM (
       SELECT *, row_number() OVER (PARTITION BY question_id, doc_id ORDER BY score DESC, position) AS rn FROM ps WHERE score > 0) WHERE rn <= 3 GROUP BY ALL)
-    SELECT q.item_id AS question_id, i.doc_id, i.text_available, coalesce(t.n, 0) AS snippets, coalesce(t.best, substring(i.text, 1, 1000)) AS shown,
-      CASE WHEN t.n > 0 THEN 'relevant text found' ELSE 'no text matched' END AS note
-    FROM benchmark q CROSS JOIN idx i LEFT JOIN top t ON t.question_id = q.item_id AND t.doc_id = i.doc_id""")
+    SELECT question_id, doc_id, coalesce(t.n, 0) AS snippets, coalesce(t.best, s.text) AS shown, CASE WHEN t.n > 0 THEN 'relevant text found' ELSE 'no text matched' END AS note
+    FROM src s LEFT JOIN top t USING (question_id, doc_id)""")
 def document_context(spark, sf):
-    """Every question against the twelve newest documents."""
-    docs = proxy.table(spark, sf, "documents").withColumn("uploaded_at", F.lit(1704067200) + F.col("doc_id"))
+    """Every question with the twelve newest documents that share a keyword with it."""
+    docs = documents(spark, sf).withColumn("uploaded_at", F.lit(1704067200) + F.col("doc_id"))
     questions = proxy.table(spark, sf, "benchmark").select(F.col("item_id").alias("question_id"), F.col("text").alias("question"))
     return retrieval.document_context(docs, questions)
 
 
-@query("question_context", with_ev("""SELECT question_id, sequence, evidence_id, severity FROM (SELECT r.question_id, e.sequence, e.evidence_id, e.severity,
-      row_number() OVER (PARTITION BY question_id ORDER BY e.sequence, e.evidence_id) AS rn
-      FROM ev e JOIN (SELECT event_id AS question_id, unnest(list_distinct([event_id + 1, k + 10, user_id + 10])) AS s FROM ev) r ON e.sequence = r.s) WHERE rn <= 12"""))
+@query("question_context", with_ev("""SELECT r.question_id, e.sequence, e.evidence_id, e.severity
+      FROM ev e JOIN (SELECT event_id AS question_id, unnest(list_distinct([event_id + 1, k + 10, user_id + 10])) AS s FROM ev) r ON e.sequence = r.s"""))
 def question_context(spark, sf):
     """Questions that name three sequences each, joined to the evidence they ask for."""
     ev = proxy.evidence(spark, sf)

@@ -80,13 +80,27 @@ def test_attack_paths_smallest_path_and_length_limit(spark):
     edges = [(a, b, 1) for a, b in zip(chain, chain[1:])] + [("s", "m1", 1), ("m1", "t", 1), ("s", "m2", 1), ("m2", "t", 1)]
     nodes, rows = tables(spark, edges)
     nodes = nodes.withColumn("kind", F.when(F.col("id").isin("p0", "p8", "s", "t"), "event").otherwise("pattern"))
-    got = graph.attack_paths(nodes, rows).collect()
+    got = graph.attack_paths(nodes, rows, 12, 8, 8).collect()
     assert [r.path for r in got] == ["t > m1 > s"]  # p0 to p8 has nine nodes
+    assert sorted(r.length for r in graph.attack_paths(nodes, rows).collect()) == [2, 8]
 
 
 def test_pair_precedence(spark):
     rows = [(1, "e1", "a", "b", "p", "d", 0), (2, "e2", "a", "b", "p", "d", 10), (3, "e3", "b", "c", "q", "d", 20), (4, "e4", "z", "c", "q", "x", 30), (5, "e5", "y", "v", "r", "d", 1_799_000_000), (6, "e6", "w", "u", "s", "d", 3_600_000_000)]
     events = spark.createDataFrame(rows, "rank int, event_id string, source_component string, target_component string, pattern string, domain string, event_us long")
     got = {(r.source, r.target): r.relation for r in joins.correlate_events(events).collect()}
-    assert got[("e1", "e2")] == "shared_flow" and got[("e1", "e3")] == "pivot" and got[("e3", "e4")] == "shared_target"
-    assert got[("e1", "e5")] == "domain_sequence" and ("e1", "e6") not in got and ("e4", "e5") not in got
+    # each event with the last one before it by every rule, the strongest rule of a pair
+    assert got == {("e1", "e2"): "shared_flow", ("e2", "e3"): "pivot", ("e3", "e4"): "shared_target", ("e3", "e5"): "domain_sequence"}
+
+
+def test_related_events_grow_with_the_events(spark):
+    rows = [(i, f"e{i:05d}", "a", "b", "none", "d", i) for i in range(7000)]
+    events = spark.createDataFrame(rows, "rank int, event_id string, source_component string, target_component string, pattern string, domain string, event_us long")
+    assert joins.correlate_events(events).count() == 6999
+
+
+def test_betweenness_of_a_long_path(spark):
+    names = [f"n{i}" for i in range(6)]
+    nodes, rows = tables(spark, [(a, b, 1) for a, b in zip(names, names[1:])])
+    got = {r.id: r.centrality for r in graph.betweenness(nodes, rows).collect()}
+    assert [got[n] for n in names] == [0.0, 0.2, 0.3, 0.3, 0.2, 0.0]
