@@ -145,6 +145,7 @@ def legacy_entry_hash() -> Column:
     ))
 
 
+# fixed values: checks of a log row, in the order they are reported
 ROW_CHECKS = [
     "previous_hash_matches", "payload_hash_matches", "entry_material_matches",
     "entry_hash_matches", "key_id_matches", "signature_valid", "payload_auth_valid",
@@ -342,6 +343,7 @@ def merkle_root(df: DataFrame, group: list[str], position: str, leaf: str) -> Da
     return level.select(*group, F.col("_h").alias("merkle_root"))
 
 
+# fixed values: fields of an evidence record that its leaf hash covers
 LEAF_FIELDS = [
     "evidence_id", "recorded_at", "source_file", "source_offset", "sequence", "entry_hash",
     "ai_artifact_path", "ai_artifact_row_index", "ai_result_sha256", "verdict_json",
@@ -461,6 +463,7 @@ def verify_anchors(anchors: DataFrame, log: DataFrame, public_key=None) -> DataF
     )
 
 
+# fixed values: fields of a log row that the recovery ledger keeps
 MIRROR_FIELDS = [
     "sequence", "segment_id", "created_at", "source_file", "source_type", "source_offset", "metadata_json",
     "payload_sha256", "previous_hash", "entry_hash", "rsa_key_id", "entry_material_json",
