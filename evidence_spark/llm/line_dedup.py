@@ -28,9 +28,9 @@ def _hash(key: Column) -> Column:
 
 
 def line_hashes(docs: DataFrame, batches: int, least_points: int = 1) -> DataFrame:
-    """(k1, k2, copy, h1, h2, batch): each line key of each row once."""
-    lines = keyed(docs).select("k1", "k2", F.monotonically_increasing_id().alias("copy"), F.explode(F.array_distinct(F.transform(F.split("text", "\n", -1), line_key))).alias("key"))
-    kept = lines.filter(F.char_length("key") >= least_points).select("k1", "k2", "copy", _hash(F.col("key")).alias("h"))
+    """(k1, k2, h1, h2, batch): each line key of each row once."""
+    lines = keyed(docs).select("k1", "k2", F.explode(F.array_distinct(F.transform(F.split("text", "\n", -1), line_key))).alias("key"))
+    kept = lines.filter(F.char_length("key") >= least_points).select("k1", "k2", _hash(F.col("key")).alias("h"))
     return kept.select("k1", "k2", "h.h1", "h.h2", F.pmod(F.xxhash64("k1", "k2", F.lit(3)), F.lit(batches)).cast("int").alias("batch"))
 
 
@@ -91,9 +91,9 @@ def without_frequent_lines(docs: DataFrame, least_documents: int = 10, least_poi
         runs.add(hashes.filter(F.col("batch") == batch))
     hit = join_checked(hashes.select("k1", "k2", "h1", "h2"), runs.found_often(), ["h1", "h2"], "inner")
     per_document = scratch_table(hit.groupBy("k1", "k2").agg(F.collect_set(F.struct("h1", "h2")).alias("often")), "line-hits")
-    base = keyed(docs).select("row", "k1", "k2", "text")
-    joined = join_checked(base, per_document, ["k1", "k2"], "left", 48 + 16 * F.size("often"))
-    lines = F.split("text", "\n", -1)
+    # the text travels once, within its row, and by the same kind of join at any size
+    joined = keyed(docs).select("row", "k1", "k2").join(per_document, ["k1", "k2"], "left")
+    lines = F.split(F.coalesce("row.text", F.lit("")), "\n", -1)
     stay = F.when(F.col("often").isNull(), lines).otherwise(F.filter(lines, lambda x: ~F.array_contains("often", _hash(line_key(x)))))
     split = joined.select("k1", "k2", "row", F.size(lines).cast("long").alias("n_lines"), stay.alias("stay"))
     return split.select("k1", "k2", "row", "n_lines", (F.col("n_lines") - F.size("stay")).alias("n_dropped"), F.array_join("stay", "\n").alias("kept"))
