@@ -37,7 +37,7 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op1_suffix_dedup")
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_dedup.removed(_table(spark, sf_dir, "documents")).select("doc_id", "n_removed", "n_spans", "kept_sha256")
+    return suffix_dedup.removed(_table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
 @query("op2_simhash_near_dedup")

@@ -212,18 +212,19 @@ def _with_spans(docs: DataFrame, threshold: int) -> DataFrame:
 
 
 def removed(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
-    """(k1, k2, doc_id, n_removed, n_spans, kept_sha256), one row for each row of ``docs``; a text
-    that is null, or removed whole, counts as empty."""
+    """(k1, k2, doc_id, n_bytes, n_removed, n_spans, kept_sha256), one row for each row of ``docs``;
+    ``n_bytes`` is the UTF-8 length before removal. A text that is null, or removed whole,
+    counts as empty."""
 
     def rows(c):
         for k1, k2, doc, body, spans in zip(c["k1"], c["k2"], c["doc_id"], c["body"], c["spans"]):
             spans = spans or []
             rest = _rest(body, spans)
-            yield k1, k2, doc, len(body) - len(rest), len(spans) // 2, hashlib.sha256(rest).hexdigest()
+            yield k1, k2, doc, len(body), len(body) - len(rest), len(spans) // 2, hashlib.sha256(rest).hexdigest()
 
-    names = ["k1", "k2", "doc_id", "n_removed", "n_spans", "kept_sha256"]
+    names = ["k1", "k2", "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
     joined = _with_spans(docs, threshold).select("k1", "k2", F.col("doc_id").cast("long").alias("doc_id"), "body", "spans")
-    return map_rows(joined, "k1 long, k2 long, doc_id long, n_removed long, n_spans long, kept_sha256 string", rows, names, [pa.int64()] * 5 + [pa.string()])
+    return map_rows(joined, "k1 long, k2 long, doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string", rows, names, [pa.int64()] * 6 + [pa.string()])
 
 
 def dedup_passages(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:

@@ -65,6 +65,22 @@ def test_repeated_rows_missing_ids_and_empty_tables(spark):
     assert kept.columns == docs.columns and {r["text"] for r in kept.collect()} == {"", None}
 
 
+def test_byte_counts(spark):
+    texts = [None, "", "aé", "é" * 300, "x" * 450, "x" * 450]
+    docs = spark.createDataFrame([(i, t, "x", i) for i, t in enumerate(texts)], SCHEMA)
+    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"]) for r in suffix_dedup.removed(docs).collect()}
+    assert got == {0: (0, 0), 1: (0, 0), 2: (3, 0), 3: (600, 600), 4: (450, 450), 5: (450, 450)}
+
+
+def test_query_has_the_contract_columns(spark, sf):
+    from evidence_spark.llm.queries import QUERIES
+
+    result = QUERIES["op1_suffix_dedup"](spark, sf)
+    assert result.columns == ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
+    sizes = {r["doc_id"]: len((r["text"] or "").encode()) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    assert {r["doc_id"]: r["n_bytes"] for r in result.collect()} == sizes
+
+
 def test_whole_text_beyond_one_segment(spark, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "_SEGMENT", 64)
     r = random.Random(5)
