@@ -9,6 +9,7 @@ from pyspark.sql import Window
 from evidence_spark import policy
 from evidence_spark.functions import text as tx
 from evidence_spark.functions.scalars import contains_any
+from evidence_spark.operators import feeds
 from evidence_spark.session import scratch_table
 
 PARAGRAPH_BREAK = r"\n\s*\n|(?<=\.)\s{2,}"
@@ -105,12 +106,37 @@ def document_context(docs: DataFrame, questions: DataFrame, n: int | None = 12,
     )
 
 
-def question_context(questions: DataFrame, pool: DataFrame, per_question: int | None = None) -> DataFrame:
-    """Requested records per question: sequences named in the text, joined to the pool."""
-    asked = questions.select("question_id", F.posexplode(tx.extract_sequences(F.col("question"))).alias("_p", "_s"))
-    asked = asked.select("question_id", F.col("_s").cast("bigint").alias("sequence"))
+def question_context(questions: DataFrame, pool: DataFrame, per_question: int | None = None, top: int = 10) -> DataFrame:
+    """Records per question, with ``requested``: the pool's records of the sequences named in
+    the text; a question for which none is found, or that names none, gets the ``top`` records
+    of the pool instead (a fixed page, the same for all such questions)."""
+    asked = _named(questions)
     found = pool.join(asked, "sequence")
-    if per_question is None:
-        return found
-    order = Window.partitionBy("question_id").orderBy("sequence", "evidence_id")
-    return found.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= per_question).drop("_r")
+    if per_question is not None:
+        order = Window.partitionBy("question_id").orderBy("sequence", "evidence_id")
+        found = found.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= per_question).drop("_r")
+    met = pool.select("sequence").join(asked, "sequence").select("question_id")
+    others = questions.select("question_id").distinct().join(met, "question_id", "left_anti")
+    first = feeds.top_evidence(pool, top).crossJoin(others)
+    return found.withColumn("requested", F.lit(True)).unionByName(first.withColumn("requested", F.lit(False)))
+
+
+def _named(questions: DataFrame) -> DataFrame:
+    """(question_id, sequence) of all numbers that the questions name."""
+    named = questions.select("question_id", F.explode(tx.extract_sequences(F.col("question"))).alias("_s"))
+    return named.select("question_id", F.col("_s").try_cast("bigint").alias("sequence")).filter("sequence IS NOT NULL").distinct()
+
+
+def question_edges(questions: DataFrame, context: DataFrame, nodes: DataFrame, edges: DataFrame, top: int = 10) -> DataFrame:
+    """Edges per question that touch the event nodes of the sequences it names and of the
+    records in its ``context``; a question that meets no node gets those of the ``top`` events
+    by risk. An event node belongs to the sequence that ends its id."""
+    wanted = _named(questions).unionByName(context.select("question_id", "sequence")).distinct()
+    events = nodes.filter("kind = 'event'")
+    numbered = events.select("id", F.regexp_extract("id", r"([0-9]+)$", 1).try_cast("bigint").alias("sequence"))
+    met = scratch_table(numbered.join(wanted, "sequence").select("question_id", "id").distinct(), "question-nodes")
+    others = questions.select("question_id").distinct().join(met, "question_id", "left_anti")
+    met = met.unionByName(others.crossJoin(events.orderBy(F.desc("risk"), "id").limit(top).select("id")))
+    out = edges.join(met.withColumnRenamed("id", "source"), "source")
+    into = edges.join(met.withColumnRenamed("id", "target"), "target")
+    return out.unionByName(into).distinct()

@@ -9,6 +9,7 @@ from evidence_spark.functions import text
 from evidence_spark.operators import retrieval
 from evidence_spark.plans import proxy
 from evidence_spark.plans.oracle import with_ev
+from evidence_spark.plans.queries_graph import _every, whole_graph
 from evidence_spark.plans.registry import query
 from evidence_spark.session import spread
 
@@ -100,4 +101,36 @@ def question_context(spark, sf):
     ev = proxy.evidence(spark, sf)
     asked = F.concat(F.lit("Compare sequence #"), F.col("event_id") + 1, F.lit(", seq "), F.col("k") + 10, F.lit(" and #"), F.col("user_id") + 10)
     questions = ev.select(F.col("event_id").alias("question_id"), asked.alias("question"))
-    return retrieval.question_context(questions, ev.select("sequence", "evidence_id", "severity"))
+    return retrieval.question_context(questions, ev).select("question_id", "sequence", "evidence_id", "severity")
+
+
+def _some_open(ev):
+    """Every 50th event asks for two sequences; each third of these questions names none, each
+    third one that no record has."""
+    n = F.col("event_id") + 1
+    asked = F.when(n % 3 == 0, "Which evidence matters most").when(n % 3 == 1, F.concat(F.lit("Show sequence #"), n + 90_000_000)).otherwise(F.concat(F.lit("Compare seq "), n, F.lit(" and #"), n + 1))
+    return ev.filter(n % 50 == 0).select(F.col("event_id").alias("question_id"), asked.alias("question"))
+
+
+OPEN = """oq AS (SELECT event_id AS question_id, event_id + 1 AS n FROM ev WHERE (event_id + 1) % 50 = 0),
+oa AS (SELECT question_id, unnest(CASE n % 3 WHEN 0 THEN CAST([] AS BIGINT[]) WHEN 1 THEN [n + 90000000] ELSE [n, n + 1] END) AS sequence FROM oq),
+ot AS (SELECT sequence, evidence_id, severity FROM ev ORDER BY 1 - predicted_anomaly, CASE severity WHEN 'HIGH' THEN 0 WHEN 'MEDIUM' THEN 1 WHEN 'LOW' THEN 2 ELSE 4 END, anomaly_score, sequence, evidence_id LIMIT 10),
+oc AS (SELECT question_id, e.sequence, evidence_id, severity, true AS requested FROM ev e JOIN oa USING (sequence)
+  UNION ALL SELECT question_id, ot.*, false FROM oq, ot WHERE question_id NOT IN (SELECT question_id FROM ev JOIN oa USING (sequence)))"""
+
+
+@query("question_context_open", with_ev("SELECT question_id, sequence, evidence_id, severity, requested FROM oc", OPEN))
+def question_context_open(spark, sf):
+    """Questions of which some name no sequence, or none that is found: they get the top records."""
+    ev = proxy.evidence(spark, sf)
+    return retrieval.question_context(_some_open(ev), ev).select("question_id", "sequence", "evidence_id", "severity", "requested")
+
+
+@query("question_edges", _every("SELECT DISTINCT question_id, source, target, relation, label FROM edges JOIN om ON id = source OR id = target", OPEN, """ow AS (SELECT question_id, sequence FROM oa UNION SELECT question_id, sequence FROM oc),
+om0 AS (SELECT DISTINCT question_id, id FROM nodes JOIN ow ON TRY_CAST(regexp_extract(id, '([0-9]+)$', 1) AS BIGINT) = sequence WHERE kind = 'event'),
+om AS (SELECT * FROM om0 UNION ALL SELECT question_id, id FROM oq, (SELECT id FROM nodes WHERE kind = 'event' ORDER BY risk DESC, id LIMIT 10) WHERE question_id NOT IN (SELECT question_id FROM om0))"""))
+def question_edges(spark, sf):
+    """Edges of the whole graph around the records of each of these questions."""
+    ev = proxy.evidence(spark, sf)
+    questions, g = _some_open(ev), whole_graph(spark, sf)
+    return retrieval.question_edges(questions, retrieval.question_context(questions, ev), g.nodes, g.edges).select("question_id", "source", "target", "relation", "label")
