@@ -16,7 +16,8 @@ SEQUENCE_LIMITS = {5: 0.30, 6: 0.28, 8: 0.26, 10: 0.24}
 LINE_LIMIT, LINE_CHARS_LIMIT = 0.30, 0.30
 #: Repeated lines from which their share counts: one of three lines is no pattern.
 LEAST_LINES = 3
-#: Texts of fewer words are judged by the base rule alone: in them one phrase is a large share.
+#: A text of fewer words may repeat as many characters as one of so many words of the same
+#: length: its limits are multiplied by LEAST_WORDS / n_words, at most twice from 20 words on.
 LEAST_WORDS = 40
 _SYMBOLS = b"#*$%&|<>"
 _WHITE = b" \t\n\x0b\x0c\r"
@@ -66,13 +67,15 @@ def measures(body: bytes) -> dict:
 
 
 def verdict(m: dict) -> tuple[bool, bool]:
-    """(base_failed, kept)."""
+    """(base_failed, kept). Every text that passes the base rule is held against the same
+    shares; below LEAST_WORDS words their limits grow as the text gets shorter."""
     failed = m["n_words"] < 20 or 100 * m["n_repeat_words"] > 30 * m["n_words"]
-    if failed or m["n_words"] < LEAST_WORDS:
-        return failed, not failed
-    within = all(m[f"dup_{k}_share"] <= limit for k, limit in SEQUENCE_LIMITS.items())
-    few = m["n_dup_lines"] < LEAST_LINES or m["dup_line_share"] <= LINE_LIMIT
-    return False, within and few and m["dup_line_char_share"] <= LINE_CHARS_LIMIT
+    if failed:
+        return True, False
+    ease = max(1.0, LEAST_WORDS / m["n_words"])
+    within = all(m[f"dup_{k}_share"] <= limit * ease for k, limit in SEQUENCE_LIMITS.items())
+    few = m["n_dup_lines"] < LEAST_LINES or m["dup_line_share"] <= LINE_LIMIT * ease
+    return False, within and few and m["dup_line_char_share"] <= LINE_CHARS_LIMIT * ease
 
 
 _COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]

@@ -43,3 +43,16 @@ def test_repeated_sequences_and_lines_fail():
     assert quality_rules.verdict(quality_rules.measures(five.encode())) == (False, False)
     lines = "\n".join(["same old line"] * 40 + [f"w{i} v{i} u{i}" for i in range(60)])
     assert quality_rules.verdict(quality_rules.measures(lines.encode()))[1] is False
+
+
+def test_short_texts_are_judged_by_the_same_shares():
+    def kept(text):
+        return quality_rules.verdict(quality_rules.measures(text.encode()))
+
+    repeats = " ".join(f"a b c d e w{i}" for i in range(5))  # 30 words, 25 in repeated fives, never eight
+    assert quality_rules.measures(repeats.encode())["n_words"] == 30 and kept(repeats) == (False, False)
+    assert kept(" ".join(f"w{i}" for i in range(30))) == (False, True)
+    once = "a b c d e f g h i j k l m n o p q r s t u v w x y a b c d e"  # one phrase twice: 10 of 30 words
+    assert kept(once) == (False, True)
+    lines = "\n".join(f"some same line\nw{i}" for i in range(6))  # 24 words: 5 of 12 lines repeat
+    assert quality_rules.measures(lines.encode())["n_words"] == 24 and kept(lines) == (False, False)
