@@ -1,10 +1,11 @@
-"""Removal of long repeated byte strings by distributed prefix doubling.
+"""Removal of long repeated byte strings by hash refinement at growing offsets.
 
 Every string of ``threshold`` bytes contains an anchor: the leftmost smallest hashed gram of
 its first ``window`` grams. Equal strings have their anchors at equal places, so positions
-with one anchor form a block and the anchors stand for all positions. Ranks of the anchors'
-suffixes are doubled: Spark sorts the pairs (rank so far, name of the bytes that follow) and
-reranks, at offsets 36, 72 and 145 for 400 bytes; unique anchors drop out each time. For
+with one anchor form a block and the anchors stand for all positions. Classes of anchors are
+refined: Spark numbers the pairs (class so far, hash of the bytes that follow), up to offsets
+36, 72 and 145 for 400 bytes; unique anchors drop out each time. This is no prefix doubling,
+as no rank of a later position is looked up and the order of the numbers is not used. For
 those left, blocks are split into ever smaller ranges of offsets, each ranked by the bytes
 that all its strings share (unique: none repeats) and by all bytes its strings cover
 (repeated: all repeat), down to single positions. No pairs are formed, and the rows that
