@@ -1,6 +1,7 @@
 """Exact top-k by inner product with a Voronoi join.
 
-Queries and data are grouped by their nearest pivot. For a query group with pivot p and
+Queries are grouped by their nearest pivot; data vectors are not, but cut into slices by hash,
+and each query is copied to every slice. For a query group with pivot p and
 radius r, every query q and vector x have q.x within p.x -+ r|x|. The k-th largest lower bound,
 merged from small summaries of each part of the data, bounds the group's k-th score from
 below; a vector goes to a group only if its upper bound reaches that. Groups are solved
