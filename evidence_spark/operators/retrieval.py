@@ -79,9 +79,9 @@ def rank_snippets(docs: DataFrame, question: str, n: int = 3) -> DataFrame:
     return rows.select("doc_id", (F.col("_r") + 1).alias("rank"), "s.score", "s.position", "s.snippet")
 
 
-def document_context(docs: DataFrame, questions: DataFrame, n: int | None = 12, snippets: int = 3, excerpt_chars: int | None = None) -> DataFrame:
+def document_context(docs: DataFrame, questions: DataFrame, n: int | None = None, snippets: int = 3, excerpt_chars: int | None = None) -> DataFrame:
     """Documents that hold a keyword of a question, with their snippets; for each question
-    the ``n`` newest of them, or all.
+    all of them, or the ``n`` newest.
 
     Keywords find documents through an inverted list of the searchable texts' words, so a
     question meets only documents it shares a word with, never all of them. A keyword is

@@ -91,7 +91,7 @@ def document_context(spark, sf):
     """Every question with the twelve newest documents that share a keyword with it."""
     docs = documents(spark, sf).withColumn("uploaded_at", F.lit(1704067200) + F.col("doc_id"))
     questions = proxy.table(spark, sf, "benchmark").select(F.col("item_id").alias("question_id"), F.col("text").alias("question"))
-    return retrieval.document_context(docs, questions)
+    return retrieval.document_context(docs, questions, 12)
 
 
 @query("question_context", with_ev("""SELECT r.question_id, e.sequence, e.evidence_id, e.severity

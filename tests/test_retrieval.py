@@ -21,3 +21,11 @@ def test_every_question_gets_records_and_edges(spark):
     assert rows == {(q, "event-13", x) for q in range(4) for x in ("observed", "loop")} and found.count() == 8
     alone = retrieval.question_edges(questions.filter("question_id = 1"), context.limit(0), nodes, edges, top=1)
     assert [(r["source"], r["target"]) for r in alone.collect()] == [("event-1", "t")]
+
+
+def test_document_context_has_all_documents_by_default(spark):
+    prose = "The network report lists alpha beta gamma delta epsilon zeta theta kappa lambda sigma omega risk controls and further findings about ports, words, buses and frames."
+    docs = spark.createDataFrame([(i, i, prose) for i in range(20)], "doc_id long, uploaded_at long, text string")
+    questions = spark.createDataFrame([(1, "Which kappa findings")], "question_id long, question string")
+    assert retrieval.document_context(docs, questions).count() == 20
+    assert {r["doc_id"] for r in retrieval.document_context(docs, questions, 3).collect()} == {17, 18, 19}
