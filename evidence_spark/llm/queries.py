@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evidence_spark.llm import bpe, chat, knn, line_dedup, packing, quality, quality_rules, simhash, suffix_dedup, toxicity
+from evidence_spark.llm import bpe, chat, knn, language, line_dedup, packing, periodic, prefix_trie, quality, quality_rules, simhash, suffix_dedup, toxicity
 from evidence_spark.session import scratch_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -137,3 +137,18 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     graded = toxicity.grade(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
     return graded.select("doc_id", "severity", "p_toxic", "toxic")
+
+
+@query("op12_language_id")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(_table(spark, sf_dir, "documents")).select("doc_id", "held_out", "lang_pred", "score")
+
+
+@query("op13_periodic_runs")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.digests(periodic.periodic_runs(periodic.with_repeated_tails(_table(spark, sf_dir, "documents"))))
+
+
+@query("op11_prefix_trie", prefix_trie.SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.nodes(prefix_trie.rebuilt(_table(spark, sf_dir, "conversations")))
