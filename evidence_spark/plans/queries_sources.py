@@ -86,3 +86,19 @@ def redacted_json(spark, sf):
     k = F.get_json_object("props", "$.k")
     nested = F.concat(F.lit('{"outer":{"api_key":"x","k":'), k, F.lit('},"list":[{"secret":1,"v":"'), F.md5(k), F.lit('"},'), F.col("event_id").cast("string"), F.lit("]}"))
     return proxy.table(spark, sf, "events").select("event_id", text.redact_json(nested).alias("shown"))
+
+
+@query("chunk_roundtrip", """SELECT CAST(sum(strlen(c_name) + 1) AS BIGINT) AS bytes, count(*) AS line_ends,
+    CAST(sum(1000003 * c_custkey + strlen(c_name)) AS BIGINT) AS checked FROM customer""")
+def chunk_roundtrip(spark, sf):
+    """Text files read back as binary chunks by byte range and put together again."""
+    root = scratch_path(spark, "chunks")
+    names = proxy.table(spark, sf, "customer").select(F.concat("c_name", F.lit("|"), "c_custkey").alias("value"))
+    names.repartition(3).write.text(root)
+    chunks = files.read_chunks(spark, root, 500, range_bytes=4000, glob="*.txt")
+    whole = chunks.groupBy("source_file").agg(F.array_sort(F.collect_list(F.struct("source_offset", "payload"))).alias("parts"))
+    text = F.array_join(F.transform("parts", lambda p: F.hex(p["payload"])), "")
+    lines = whole.select(F.explode(F.split(F.decode(F.unhex(text), "UTF-8"), "\n", -1)).alias("line")).filter("line <> ''")
+    name, key = F.substring_index("line", "|", 1), F.substring_index("line", "|", -1).cast("bigint")
+    size = F.octet_length(name)
+    return lines.agg(F.sum(size + 1).cast("bigint").alias("bytes"), F.count(F.lit(1)).alias("line_ends"), F.sum(1000003 * key + size).cast("bigint").alias("checked"))

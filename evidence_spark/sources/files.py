@@ -14,6 +14,7 @@ from evidence_spark.functions import crypto
 from evidence_spark.operators.ordered import global_sequence, rolling_count
 from evidence_spark.plans.detection import words_to_unified
 from evidence_spark.session import scratch_table
+from evidence_spark.sources import ranges
 
 FILE_SCHEME = r"^file:/+"
 
@@ -96,22 +97,19 @@ def _rows_of_kind(spark: SparkSession, files: list[str], columns: list[str] | No
     )
 
 
-def read_chunks(spark: SparkSession, path: str, chunk_bytes: int = policy.CHUNK_BYTES, glob: str | None = None, skip_csv: bool = False) -> DataFrame:
-    """Any file cut into payloads of ``chunk_bytes``, with chunk index and size."""
-    reader = spark.read.format("binaryFile").option("recursiveFileLookup", True)
-    if glob:
-        reader = reader.option("pathGlobFilter", glob)
-    files = reader.load(path).filter(F.col("length") > 0)
+def read_chunks(spark: SparkSession, path: str, chunk_bytes: int = policy.CHUNK_BYTES, glob: str | None = None, skip_csv: bool = False, range_bytes: int = ranges.RANGE_BYTES) -> DataFrame:
+    """Any file cut into payloads of ``chunk_bytes``, with chunk index and size. Files are read in
+    ranges of about ``range_bytes``, chunk by chunk, so neither a row nor a task holds a file;
+    empty files have no chunk."""
+    planned = ranges.file_ranges(spark, path, max(1, range_bytes // chunk_bytes) * chunk_bytes, glob)
     if skip_csv:
-        files = files.filter(~F.lower("path").endswith(".csv"))
-    last = F.floor((F.col("length") - 1) / chunk_bytes).cast("int")
-    chunks = files.select("path", "content", F.explode(F.sequence(F.lit(0), last)).alias("chunk"))
-    chunks = chunks.withColumn("payload", F.expr(f"substring(content, chunk * {chunk_bytes} + 1, {chunk_bytes})"))
+        planned = planned.filter(~F.lower("path").endswith(".csv"))
+    chunks = ranges.chunks(planned, chunk_bytes)
     suffix = F.upper(F.regexp_extract("path", r"\.([^./\\]+)$", 1))
-    meta = F.to_json(F.struct(F.col("chunk").alias("chunk_index"), F.octet_length("payload").alias("chunk_size"), F.lit("binary_chunk").alias("ingest_mode")))
+    meta = F.to_json(F.struct(F.col("chunk").cast("int").alias("chunk_index"), F.octet_length("payload").alias("chunk_size"), F.lit("binary_chunk").alias("ingest_mode")))
     return chunks.select(
         source_path(F.col("path")).alias("source_file"), F.when(suffix == "", "BINARY").otherwise(suffix).alias("source_type"),
-        F.col("chunk").cast("bigint").alias("source_offset"), "payload", meta.alias("metadata_json"),
+        F.col("chunk").alias("source_offset"), "payload", meta.alias("metadata_json"),
     )
 
 

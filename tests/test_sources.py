@@ -100,3 +100,57 @@ def test_ledger_roundtrip_and_documents(spark, tmp_path):
     (tmp_path / "docs" / "bad.txt").write_text("%PDF-1.4 obj")
     got = {r.name: (r.text_available, r.context_status) for r in files.read_documents(spark, str(tmp_path / "docs")).collect()}
     assert got["good.txt"][0] and not got["bad.txt"][0]
+
+
+def nested_capture(r, packets, order="<"):
+    """Packets of any size, some of which carry captures themselves."""
+    frames = []
+    for _ in range(packets):
+        kind = r.random()
+        if kind < 0.3:
+            body = capture([ip_frame(17, UDP + bytes(r.randrange(9))) for _ in range(r.randint(1, 30))], order)
+        else:
+            body = bytes(r.randrange(256) for _ in range(r.choice([0, 5, 40, 3000])))
+        frames.append(ip_frame(6, TCP + body) if kind < 0.8 else b"\xbb" * 12 + b"\x08\x06" + body)
+    return capture(frames, order)
+
+
+def test_capture_ranges_give_the_rows_of_whole_files(spark, tmp_path):
+    import random
+
+    r = random.Random(2)
+    (tmp_path / "plain.pcap").write_bytes(nested_capture(r, 60))
+    (tmp_path / "swapped.pcap").write_bytes(nested_capture(r, 40, ">"))
+    (tmp_path / "cut.pcap").write_bytes(nested_capture(r, 30)[:-7])
+    broken = bytearray(nested_capture(r, 20))
+    broken[24 + 8:24 + 12] = b"\xff\xff\x00\x00"  # a length that leads out of step
+    (tmp_path / "broken.pcap").write_bytes(broken)
+    (tmp_path / "none.pcap").write_bytes(b"no capture at all" * 200)
+    (tmp_path / "empty.pcap").write_bytes(b"")
+    (tmp_path / "short.pcap").write_bytes(capture([])[:20])
+    whole = sorted(map(tuple, captures.read_captures(spark, str(tmp_path), range_bytes=None).collect()))
+    for size in (500, 4096):
+        assert sorted(map(tuple, captures.read_captures(spark, str(tmp_path), range_bytes=size).collect())) == whole
+    assert len(whole) > 80
+
+
+def test_large_files_are_planned_in_ranges(spark, tmp_path):
+    from evidence_spark.sources import ranges
+
+    with open(tmp_path / "large.bin", "wb") as f:
+        f.truncate(3 << 30)
+    planned = ranges.file_ranges(spark, str(tmp_path)).collect()
+    assert len(planned) == 48 and sum(p.stop - p.start for p in planned) == 3 << 30
+    chunks = files.read_chunks(spark, str(tmp_path / "large.bin"), 1 << 20)
+    assert chunks.filter("source_offset = 3071").select(F.octet_length("payload")).first()[0] == 1 << 20
+
+
+def test_chunks_of_any_length(spark, tmp_path):
+    for n in (0, 1, 499, 500, 501, 5000, 7777):
+        (tmp_path / f"f{n}").write_bytes(bytes(i * 7 % 251 for i in range(n)))
+    rows = files.read_chunks(spark, str(tmp_path), 500, range_bytes=1200).collect()
+    parts = {}
+    for row in sorted(rows, key=lambda x: (x.source_file, x.source_offset)):
+        assert json.loads(row.metadata_json) == {"chunk_index": row.source_offset, "chunk_size": len(row.payload), "ingest_mode": "binary_chunk"}
+        parts[row.source_file.rsplit("/", 1)[1]] = parts.get(row.source_file.rsplit("/", 1)[1], b"") + bytes(row.payload)
+    assert parts == {f"f{n}": bytes(i * 7 % 251 for i in range(n)) for n in (1, 499, 500, 501, 5000, 7777)}
