@@ -16,7 +16,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from itertools import islice
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +28,7 @@ from evidence_spark.session import scratch_table
 
 #: What is learned from: texts and stretches of words of each language, languages, features.
 TEXTS, STRETCHES, STRETCH_WORDS, LANGUAGES, FEATURES = 500, 2500, 24, 64, 30_000
-LEAST_WORDS, LEXICON_WORDS, TURNS, RATE, PENALTY = 3, 5, 60, 0.15, 2e-5
+LEAST_WORDS, LEXICON_WORDS, TURNS, RATE, PENALTY = 3, 5, 40, 0.15, 2e-5
 PARTS = 3  # parts of stretches in a training sequence
 SEGMENT, AT_ONCE, CACHE = 64, 300_000, 300_000
 UNKNOWN = "und"
@@ -176,19 +176,27 @@ def fitted(stretches: list[tuple[str, list[str]]], seed: int = 7, turns: int = T
     return field
 
 
+class _Numbers(dict):
+    """Gives each new key the next number."""
+
+    def __missing__(self, key: str) -> int:
+        number = self[key] = len(self)
+        return number
+
+
 class Scorer:
     """Marginals of documents, many at a time; remembers the emissions of words."""
 
     def __init__(self, field: Field):
         self.field, k = field, len(field.languages)
         self.move, self.start = _positive(np.maximum(field.move - field.move.max(), _LEAST_LOG)), _positive(np.maximum(field.start - field.start.max(), _LEAST_LOG))
-        self.known: dict[str, int] = {}
+        self.known = _Numbers()
         self.emit, self.letter = np.zeros((0, k)), np.zeros(0, bool)
 
     def numbers(self, words: list[str]) -> np.ndarray:
         """Numbers of words; new words get theirs, with their emissions."""
         known, before = self.known, len(self.known)
-        out = np.fromiter((known.setdefault(w, len(known)) for w in words), np.int64, len(words))
+        out = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
         if len(known) > before:
             new = list(islice(reversed(known), len(known) - before))[::-1]
             logs = self.field.emissions(*self.field.table(new))
@@ -254,25 +262,24 @@ class Scorer:
 
     def documents(self, texts: list[str | None]):
         """For each text its words, their numbers and marginals; words are empty without a letter."""
-        at = 0
+        at, k = 0, len(self.field.languages)
         while at < len(texts):
             if len(self.known) > CACHE:
-                self.known, self.emit, self.letter = {}, self.emit[:0], self.letter[:0]
-            held, total, group = [], 0, []
+                self.known, self.emit, self.letter = _Numbers(), self.emit[:0], self.letter[:0]
+            held, total = [], 0
             while at < len(texts) and (total < AT_ONCE or not held):
-                words = words_of(texts[at] or "")
-                numbers = self.numbers(words)
-                if not self.letter[numbers].any():
-                    words, numbers = [], numbers[:0]
-                held.append(words)
-                group.append(numbers)
-                total += len(words)
+                held.append(words_of(texts[at] or ""))
+                total += len(held[-1])
                 at += 1
-            lengths = np.array([len(x) for x in group])
-            whole = self.marginals(np.concatenate(group), lengths[lengths > 0]) if total else np.zeros((0, len(self.field.languages)))
+            numbers = self.numbers(list(chain.from_iterable(held)))
+            lengths = np.fromiter(map(len, held), np.int64, len(held))
+            of = np.repeat(np.arange(len(held)), lengths)
+            letters = np.bincount(of[self.letter[numbers]], minlength=len(held)) > 0
+            lengths = np.where(letters, lengths, 0)
+            whole = self.marginals(numbers[letters[of]], lengths[letters]) if letters.any() else np.zeros((0, k))
             end = np.cumsum(lengths)
             for words, n, e in zip(held, lengths.tolist(), end.tolist()):
-                yield words, whole[e - n : e]
+                yield words if n else [], whole[e - n : e]
 
 
 def learned(docs: DataFrame) -> Field | None:
