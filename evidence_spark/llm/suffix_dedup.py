@@ -15,6 +15,7 @@ are split further are those at the ends of repeated passages.
 from __future__ import annotations
 
 import hashlib
+import re
 
 import numpy as np
 import pandas as pd
@@ -27,6 +28,9 @@ from evidence_spark.llm.common import join_checked, keyed, map_rows
 from evidence_spark.session import scratch_table, shuffle_partitions
 
 THRESHOLD = 400
+#: Words of a passage, bytes of a word's code where passages are counted in words.
+PASSAGE_WORDS, CODE = 50, 4
+_WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 _SEGMENT = 1 << 20  # positions looked at together, which bounds the memory for a long text
 _MULTIPLY = np.uint64(0x9E3779B97F4A7C15)
 
@@ -160,8 +164,12 @@ def repeated_spans(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     Keys are those of ``common.keyed``; repeated rows are documents of their own and repeat
     each other. Texts shorter than the threshold, null and empty ones have no spans.
     """
+    return _spans(keyed(docs).select("k1", "k2", "body"), threshold)
+
+
+def _spans(texts: DataFrame, threshold: int) -> DataFrame:
+    """``repeated_spans`` of the bytes in (k1, k2, body)."""
     g = Geometry(threshold)
-    texts = keyed(docs).select("k1", "k2", "body")
     rows = scratch_table(_anchors(texts, g), "suffix-anchors").withColumn("rank", F.lit(0).cast("long"))
     for i in range(len(g.ends)):
         rows = _reranked(rows, f"f{i}")
@@ -239,3 +247,48 @@ def dedup_passages(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     joined = _with_spans(docs, threshold)
     text = F.when(F.col("spans").isNull(), F.col("row.text")).otherwise(cut("body", "spans"))
     return joined.select(F.col("row").withField("text", text).alias("row")).select("row.*")
+
+
+def coded(body: bytes) -> bytes:
+    """Four bytes for each word: equal words, equal codes."""
+    return b"".join([xxhash.xxh32_digest(w) for w in body.split()])
+
+
+def without_words(body: bytes, spans: list[int]) -> bytes:
+    """The text without the words whose codes lie whole in ``spans``, each run of them with the
+    white space after it."""
+    starts = [m.start() for m in _WORD.finditer(body)] + [len(body)]
+    rest, at = [], 0
+    for a, b in zip(spans[::2], spans[1::2]):
+        first, stop = -(-a // CODE), b // CODE
+        if first < stop:
+            rest.append(body[at : starts[first]])
+            at = starts[stop]
+    return b"".join(rest) + body[at:]
+
+
+def dedup_word_passages(docs: DataFrame, words: int = PASSAGE_WORDS) -> DataFrame:
+    """``docs`` with the same columns and rows, texts without their repeated passages of words.
+
+    A word goes if it lies in a sequence of ``words`` words that also begins anywhere else, in the
+    same document or another; however many bytes the words have and whatever white space
+    separates them. Words are what white space of ASCII separates, upper case counts. A text may
+    become empty; null texts stay null, texts of fewer words stay as they are. The search is that
+    for bytes, over a code of four bytes for each word (sequences of other words have equal codes
+    with a probability of 2^-32 for each word in which they differ).
+    """
+
+    def codes(c):
+        for k1, k2, body in zip(c["k1"], c["k2"], c["body"]):
+            yield k1, k2, coded(body)
+
+    plain = keyed(docs).select("k1", "k2", "body")
+    texts = scratch_table(map_rows(plain, "k1 long, k2 long, body binary", codes, ["k1", "k2", "body"], [pa.int64(), pa.int64(), pa.binary()], 2000), "suffix-codes")
+
+    @F.pandas_udf("string")
+    def cut(bodies: pd.Series, spans: pd.Series) -> pd.Series:
+        return pd.Series([without_words(bytes(b), [] if s is None else list(s)).decode() for b, s in zip(bodies, spans)], dtype=object)
+
+    joined = join_checked(keyed(docs), _spans(texts, words * CODE), ["k1", "k2"], "left", 40 + 8 * F.size("spans"))
+    text = F.when(F.col("spans").isNull(), F.col("row.text")).otherwise(cut("body", "spans"))
+    return joined.select(F.col("row").withField("text", text).alias("row")).select("row.*")
