@@ -38,8 +38,8 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def suffix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the passages of 400 bytes or more that occur at another place too."""
-    return _counted(suffix_dedup.dedup_passages(docs))
+    """Texts without the passages of 50 words or more that occur at another place too."""
+    return _counted(suffix_dedup.dedup_word_passages(docs))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
