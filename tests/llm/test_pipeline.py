@@ -1,5 +1,7 @@
 """Every stage of the pipeline against brute force over what the stage before kept."""
 
+import random
+import re
 from collections import Counter
 
 import public_tokenizers
@@ -14,16 +16,19 @@ from test_simhash import plain_components
 SF = "/root/testdata/sf0.001"
 
 
-def without_passages(texts, threshold=400):
-    bodies = [t.encode() for t in texts]
-    count = Counter(b[i : i + threshold] for b in bodies for i in range(len(b) - threshold + 1))
+def without_passages(texts, words=50):
+    """Plain counting of all sequences of words; a removed run goes with the white space after it."""
+    found = [[(m.start(), m[0]) for m in re.finditer("[^\x20\x09-\x0d]+", t or "")] for t in texts]
+    count = Counter(tuple(w for _, w in f[i : i + words]) for f in found for i in range(len(f) - words + 1))
     out = []
-    for b in bodies:
-        gone = bytearray(len(b))
-        for i in range(len(b) - threshold + 1):
-            if count[b[i : i + threshold]] > 1:
-                gone[i : i + threshold] = b"\1" * threshold
-        out.append(bytes(c for c, g in zip(b, gone) if not g).decode("utf-8", "ignore"))
+    for t, f in zip(texts, found):
+        gone = set()
+        for i in range(len(f) - words + 1):
+            if count[tuple(w for _, w in f[i : i + words])] > 1:
+                gone.update(range(i, i + words))
+        edges = [s for s, _ in f] + [len(t or "")]
+        kept = (t or "")[: edges[0]] + "".join(t[edges[i] : edges[i + 1]] for i in range(len(f)) if i not in gone)
+        out.append(kept if t is not None else None)
     return out
 
 
@@ -59,5 +64,20 @@ def test_stages_agree_with_brute_force(spark):
         docs, before = result, rows
 
 
+def test_planted_passages_of_fifty_words_go(spark):
+    r = random.Random(8)
+    prose = lambda n: " ".join("".join(r.choice("abcdefgh") for _ in range(r.randint(1, 7))) for _ in range(n))
+    passages = [prose(r.randint(50, 60)) for _ in range(30)]
+    rows = [(i, prose(r.randint(0, 150)) + " " + r.choice([" ", "\n"]).join(passages[i % 30].split(" ")) + " " + prose(r.randint(20, 150)), "en", "s", 1) for i in range(75)]
+    rows += [(100 + i, prose(200), "en", "s", 1) for i in range(20)] + [(200, None, None, None, None), (201, "", "en", "s", 0), (202, "a " * 70, "en", "s", 1), (None, "b " * 49, "en", "s", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    done = {x["doc_id"]: x["text"] for x in corpus_pipeline.suffix_stage(spark, docs, SF).collect()}
+    assert done == dict(zip([x[0] for x in rows], without_passages([x[1] for x in rows])))
+    middle = [" ".join(re.split(r"\s+", p)[10:40]) for p in passages]
+    assert all(middle[i % 30] in " ".join(rows[i][1].split()) and middle[i % 30] not in " ".join(done[i].split()) for i in range(75))
+    assert all(done[100 + i] == rows[75 + i][1] for i in range(20))
+    assert corpus_pipeline.suffix_stage(spark, docs.limit(0), SF).count() == 0
+
+
 def test_run_gives_the_last_stage(spark):
     assert corpus_pipeline.run(spark, SF).columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
