@@ -92,6 +92,10 @@ def document_context(docs: DataFrame, questions: DataFrame, n: int | None = None
     asked = scratch_table(questions.select("question_id", tx.question_keywords(F.col("question")).alias("_keys")), "asked")
     wanted = asked.select("question_id", F.explode("_keys").alias("word"))
     listed = ready.select("doc_id", "uploaded_at", F.explode(words).alias("word")).join(wanted.select("word").distinct(), "word", "left_semi")
+    if n is not None:
+        # the newest n of each word hold the newest n of any question, so a common word meets no more
+        of_word = Window.partitionBy("word").orderBy(F.desc("uploaded_at"), "doc_id")
+        listed = listed.withColumn("_r", F.row_number().over(of_word)).filter(F.col("_r") <= n).drop("_r")
     met = listed.join(wanted, "word").select("question_id", "doc_id", "uploaded_at").distinct()
     if n is not None:
         newest = Window.partitionBy("question_id").orderBy(F.desc("uploaded_at"), "doc_id")
