@@ -4,7 +4,7 @@ At similarity 0.8 about 15 of 100 SimHash bits differ, too many for the few segm
 fingerprint. So a text has 15 segments of 21 bits, and a pair is a candidate where one segment
 differs by at most one bit: it then agrees in a segment with that bit left out. Left out are only the
 six bits of a segment whose votes were closest, as these are the ones that flip. Candidates are
-compared on 64 further bits and then verified by their whole shingle sets, so each link is true.
+compared on 64 further bits, in large groups on all bits, and then verified by their whole shingle sets, so each link is true.
 Of pairs at 0.8 the segments meet about 0.9, of pairs at 0.9 nearly all.
 """
 
@@ -13,7 +13,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evidence_spark.llm.common import join_checked, keyed, map_rows
@@ -23,10 +23,10 @@ from evidence_spark.session import scratch_table
 
 WORDS, SEED = 5, 42
 SEGMENTS, WIDTH, SOFT = 15, 21, 6
-#: Of 64 bits about 10 differ at similarity 0.8, with a deviation of 3.
-REACH = 20
+#: At similarity 0.8 about 10 of 64 bits differ, with a deviation of 3, and 58 of 384, with one of 7.
+REACH, REACH_ALL = 20, 76
 #: Signatures shared by so many texts more than chance has it are searched through centres first.
-DENSE, CENTRES = 16, 8
+DENSE, CENTRES, TURNS = 16, 8, 2
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.float32)
 #: 64 more bits of a shingle for each: five for the segments, the last to compare candidates.
@@ -48,11 +48,11 @@ def shingles(body: bytes) -> np.ndarray:
     return np.unique(np.fromiter((digest(joined[s:e], SEED) for s, e in zip(starts, stops)), np.uint64, last))
 
 
-def sketch(found: np.ndarray) -> tuple[int, int, list[int]]:
-    """(node, bits, sigs) of a shingle set: its identity, 64 bits to compare, 90 signatures. A set
+def sketch(found: np.ndarray) -> tuple[int, list[int], list[int]]:
+    """(node, words, sigs) of a shingle set: its identity, its 384 bits, 90 signatures. A set
     without shingles is node 0 and has no signature."""
     if not len(found):
-        return 0, 0, []
+        return 0, [0] * 6, []
     counts = np.zeros(48 * 256, np.int64)
     for at in range(0, len(found), 65536):
         mixed = found[at : at + 65536, None] * _LANES
@@ -66,9 +66,9 @@ def sketch(found: np.ndarray) -> tuple[int, int, list[int]]:
     soft = np.argsort(np.abs(votes[cut]).reshape(SEGMENTS, WIDTH), axis=1, kind="stable")[:, :SOFT]
     number = np.arange(SEGMENTS)[:, None] * WIDTH + soft
     sigs = (number << WIDTH) | (value[:, None] & ~_POWERS[soft])
-    bits = int.from_bytes(np.packbits(ones[-64:]).tobytes(), "big", signed=True)
+    words = np.packbits(ones).view(">i8").tolist()
     node = xxhash.xxh64_intdigest(found.tobytes(), SEED)
-    return node - (1 << 64) if node >> 63 else node, bits, sigs.ravel().tolist()
+    return node - (1 << 64) if node >> 63 else node, words, sigs.ravel().tolist()
 
 
 def _sketches(docs: DataFrame) -> DataFrame:
@@ -77,8 +77,8 @@ def _sketches(docs: DataFrame) -> DataFrame:
             yield k1, k2, doc, *sketch(shingles(body))
 
     plain = keyed(docs).select("k1", "k2", F.col("doc_id").cast("long").alias("doc_id"), "body")
-    types = [pa.int64()] * 5 + [pa.list_(pa.int64())]
-    return map_rows(plain, "k1 long, k2 long, doc_id long, node long, bits long, sigs array<long>", rows, ["k1", "k2", "doc_id", "node", "bits", "sigs"], types, 5000)
+    types = [pa.int64()] * 4 + [pa.list_(pa.int64())] * 2
+    return map_rows(plain, "k1 long, k2 long, doc_id long, node long, words array<long>, sigs array<long>", rows, ["k1", "k2", "doc_id", "node", "words", "sigs"], types, 5000)
 
 
 def _sets(docs: DataFrame, nodes: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -97,60 +97,70 @@ def _sets(docs: DataFrame, nodes: DataFrame, wanted: DataFrame) -> DataFrame:
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b, la, lb) whose shingle sets have a Jaccard similarity of 0.8 or more."""
     one, two = sets.select(F.col("node").alias("b"), F.col("grams").alias("gb")), sets.select(F.col("node").alias("a"), F.col("grams").alias("ga"))
-    both = pairs.join(one, "b").join(two, "a")
+    both = join_checked(pairs, one, ["b"], "inner", 16 + 8 * F.size("gb"))
+    both = join_checked(both, two, ["a"], "inner", 16 + 8 * F.size("ga"))
     return scratch_table(both.filter("9 * size(array_intersect(ga, gb)) >= 4 * (size(ga) + size(gb))").select("la", "lb").distinct(), "copies-links")
 
 
-def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
-    """(node, label) after the labels that a link (la, lb) joins have become the smallest of them."""
+def _relabelled(rows: DataFrame, links: DataFrame) -> DataFrame:
+    """``rows`` after the labels that a link (la, lb) joins have become the smallest of them."""
     same = components(links.select(F.col("la").alias("a"), F.col("lb").alias("b"))).withColumnRenamed("node", "label")
-    return scratch_table(labels.join(same, "label", "left").select("node", F.coalesce("component", "label").alias("label")), "copies-labels")
+    others = [c for c in rows.columns if c != "label"]
+    return rows.join(same, "label", "left").select(*others, F.coalesce("component", "label").alias("label"))
+
+
+def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """(node, label), stored, after ``_relabelled``."""
+    return scratch_table(_relabelled(labels, links), "copies-labels")
+
+
+def _mixed(members: DataFrame) -> DataFrame:
+    """(sig, node, words, label, largest) of the signatures whose members still have several labels."""
+    counted = members.groupBy("sig", "label").agg(F.count(F.lit(1)).alias("n"))
+    several = counted.groupBy("sig").agg(F.max_by("label", F.struct("n", "label")).alias("largest"), F.count(F.lit(1)).alias("labels")).filter("labels > 1")
+    return scratch_table(members.join(several.drop("labels"), "sig"), "copies-mixed")
 
 
-def _mixed(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """(sig, node, bits, label) of the signatures whose members still have several labels."""
-    known = members.join(labels, "node")
-    several = known.groupBy("sig").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("sig")
-    return scratch_table(known.join(several, "sig", "left_semi"), "copies-mixed")
+def _apart(x: Column, y: Column) -> Column:
+    """How many of the 384 bits differ."""
+    return sum((F.bit_count(x[i].bitwiseXOR(y[i])) for i in range(6)), F.lit(0))
 
 
 def _to_centres(mixed: DataFrame, turn: int) -> DataFrame:
-    """(a, b, la, lb): each member with the nearest centre of another label over its signatures."""
+    """(a, b, la, lb): each member with the nearest centre of another label over its signatures; in
+    later turns only those outside the largest component of a signature."""
     order = [F.xxhash64(F.lit(turn * CENTRES + i), F.col("node")) for i in range(CENTRES)]
-    centres = mixed.groupBy("sig").agg(*(F.min_by(F.struct("node", "bits", "label"), o).alias(f"c{i}") for i, o in enumerate(order)))
+    centres = mixed.groupBy("sig").agg(*(F.min_by(F.struct("node", "words", "label"), o).alias(f"c{i}") for i, o in enumerate(order)))
     centres = centres.select("sig", F.array(*(f"c{i}" for i in range(CENTRES))).alias("centres"))
-    apart = lambda c: F.bit_count(c["bits"].bitwiseXOR(F.col("bits")))
-    reach = F.filter("centres", lambda c: (c["label"] != F.col("label")) & (apart(c) <= REACH))
-    near = F.array_min(F.transform(reach, lambda c: F.struct(apart(c).alias("far"), c["node"].alias("b"), c["label"].alias("lb"))))
-    met = mixed.join(centres, "sig").select("node", "label", near.alias("near")).filter("near IS NOT NULL")
+    reach = F.filter("centres", lambda c: (c["label"] != F.col("label")) & (_apart(c["words"], F.col("words")) <= REACH_ALL))
+    near = F.array_min(F.transform(reach, lambda c: F.struct(_apart(c["words"], F.col("words")).alias("far"), c["node"].alias("b"), c["label"].alias("lb"))))
+    asking = mixed if turn == 0 else mixed.filter("label <> largest")
+    met = asking.join(centres, "sig").select("node", "label", near.alias("near")).filter("near IS NOT NULL")
     best = met.groupBy("node", "label").agg(F.min("near").alias("near"))
     return best.select(F.col("node").alias("a"), "near.b", F.col("label").alias("la"), "near.lb")
 
 
 def _rest(mixed: DataFrame) -> DataFrame:
     """(a, b, la, lb): per signature, what is outside its largest component with all of other components."""
-    counted = mixed.groupBy("sig", "label").agg(F.count(F.lit(1)).alias("n"))
-    largest = counted.groupBy("sig").agg(F.max_by("label", F.struct("n", "label")).alias("largest"))
-    known = mixed.join(largest, "sig")
-    left = known.filter("label <> largest").select("sig", F.col("node").alias("a"), F.col("bits").alias("x"), F.col("label").alias("la"))
-    right = known.select("sig", F.col("node").alias("b"), F.col("bits").alias("y"), F.col("label").alias("lb"), "largest")
+    left = mixed.filter("label <> largest").select("sig", F.col("node").alias("a"), F.col("words").alias("x"), F.col("label").alias("la"))
+    right = mixed.select("sig", F.col("node").alias("b"), F.col("words").alias("y"), F.col("label").alias("lb"), "largest")
     apart = (F.col("la") != F.col("lb")) & ((F.col("lb") == F.col("largest")) | (F.col("a") < F.col("b")))
-    return left.join(right, "sig").filter(apart & F.expr(f"bit_count(x ^ y) <= {REACH}")).select("a", "b", "la", "lb").distinct()
+    return left.join(right, "sig").filter(apart & (_apart(F.col("x"), F.col("y")) <= REACH_ALL)).select("a", "b", "la", "lb").distinct()
 
 
 def _labels(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     """(node, label): the components of all verified links.
 
     Signatures of one text leave after one count. Those that few share give all their pairs; of
-    the others each text is held against the nearest centre, one pair a text and turn, until a
-    turn links nothing, and what then lies outside a signature's largest component is compared
-    with the other components. A signature within one component has no rows any more.
+    the others each text is held against the nearest centre, one pair a text, then once more what is
+    outside a signature's largest component; what still is, is compared with the other
+    components. A signature within one component has no rows any more.
     """
-    sigs = nodes.select("node", "bits", F.explode("sigs").alias("sig"))
+    sigs = nodes.select("node", F.col("words")[5].alias("bits"), F.explode("sigs").alias("sig"))
     shared = scratch_table(sigs.groupBy("sig").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "copies-shared")
     members = scratch_table(join_checked(sigs, shared, ["sig"], "inner"), "copies-members")
     limit = DENSE + 4 * (nodes.count() >> (WIDTH - 1))
-    few, dense = members.filter(F.col("n") <= limit), members.filter(F.col("n") > limit).select("sig", "node", "bits")
+    few, dense = members.filter(F.col("n") <= limit), members.filter(F.col("n") > limit).select("sig", "node")
     left, right = few.select("sig", F.col("node").alias("a"), F.col("bits").alias("x")), few.select("sig", F.col("node").alias("b"), F.col("bits").alias("y"))
     pairs = left.join(right, "sig").filter(f"a < b AND bit_count(x ^ y) <= {REACH}").select("a", "b").distinct()
     pairs = scratch_table(pairs, "copies-pairs")
@@ -158,16 +168,19 @@ def _labels(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     sets = _sets(docs, nodes, wanted)
     alone = nodes.select("node", F.col("node").alias("label"))
     labels = _merged(alone, _verified(pairs.select("a", "b", F.col("a").alias("la"), F.col("b").alias("lb")), sets))
-    turn = 0
-    while True:
-        mixed = _mixed(dense, labels)
+    if dense.isEmpty():
+        return labels
+    sets = scratch_table(sets.join(dense.select("node").distinct(), "node", "left_semi"), "copies-dense-sets")
+    found, mixed = None, _mixed(dense.join(nodes.select("node", "words").join(labels, "node"), "node"))
+    for turn in range(TURNS + 1):
         if mixed.isEmpty():
-            return labels
-        links = _verified(_to_centres(mixed, turn), sets)
-        if links.isEmpty():
             break
-        labels, turn = _merged(labels, links), turn + 1
-    return _merged(labels, _verified(_rest(mixed), sets))
+        links = _verified(_to_centres(mixed, turn) if turn < TURNS else _rest(mixed), sets)
+        # a joined label is one of those it joins, so the links of all turns speak of the same labels
+        found = links if found is None else found.unionByName(links)
+        if turn < TURNS and not links.isEmpty():
+            mixed = _mixed(_relabelled(mixed.drop("largest"), links))
+    return labels if found is None else _merged(labels, found)
 
 
 def classes(docs: DataFrame) -> DataFrame:
@@ -180,9 +193,9 @@ def classes(docs: DataFrame) -> DataFrame:
     """
     drawn = scratch_table(_sketches(docs), "copies-sketches")
     prints = drawn.select("k1", "k2", "doc_id", "node")
-    one = F.struct("k1", "k2", "bits", "sigs")
+    one = F.struct("k1", "k2", "words", "sigs")
     nodes = drawn.groupBy("node").agg(F.min(F.struct("k1", "k2")).alias("first"), F.min("doc_id").alias("least"), F.min(one).alias("one"))
-    nodes = scratch_table(nodes.select("node", "first", "least", "one.bits", "one.sigs"), "copies-nodes")
+    nodes = scratch_table(nodes.select("node", "first", "least", "one.words", "one.sigs"), "copies-nodes")
     labels = _labels(docs, nodes)
     named = scratch_table(nodes.select("node", "least").join(labels, "node").withColumnRenamed("label", "component"), "copies-components")
     least = named.groupBy("component").agg(F.min("least").alias("component_id"))
