@@ -34,10 +34,11 @@ def _matrix(column: pa.Array, width: int) -> np.ndarray:
 
 def scaled(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
     """(vec_id, v): floor(256 x) of every component as packed doubles, without vectors that are
-    null, empty or hold null, NaN or infinite components, or have no id. Repeated rows count once."""
+    null or hold null, NaN or infinite components, or have no id. An empty vector has the score 0
+    with any other. Repeated rows count once."""
     finite = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
     v = F.transform(F.col(embedding), lambda x: x.cast("double"))
-    good = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), v.alias("v")).filter(F.col("vec_id").isNotNull() & F.col("v").isNotNull() & (F.size("v") > 0) & F.forall("v", finite))
+    good = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), v.alias("v")).filter(F.col("vec_id").isNotNull() & F.col("v").isNotNull() & F.forall("v", finite))
 
     def pack(batches):
         for batch in batches:

@@ -14,12 +14,12 @@ SCHEMA = "vec_id long, embedding array<float>, rank int"
 def brute(rows, k):
     good = {}
     for i, v, _ in rows:
-        if i is not None and v and all(x is not None and np.isfinite(x) for x in v):
+        if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v):
             good[i] = np.floor(np.array(v, np.float32).astype(float) * 256)
     out = []
     for q in sorted(good):
         if q % 50 == 0:
-            s = sorted((-int(good[q] @ v), i) for i, v in good.items() if i != q)[:k]
+            s = sorted((-int(good[q] @ v) if len(good[q]) and len(v) else 0, i) for i, v in good.items() if i != q)[:k]
             out += [(q, n + 1, i, -x) for n, (x, i) in enumerate(s)]
     return out
 
@@ -44,5 +44,7 @@ def test_agrees_with_brute_force(spark, monkeypatch, blocks):
 def test_few_or_no_others(spark):
     assert answer(spark, [(0, [0.5, 0.25], 1), (1, [0.5, -0.3], 1)]) == [(0, 1, 1, 128 * 128 + 64 * -77)]
     assert answer(spark, [(0, [0.5, 0.25], 1)]) == [] and answer(spark, [(1, [0.5, 0.25], 1)]) == []
+    assert answer(spark, [(0, [0.5], 1), (1, [], 1), (2, [0.5], 1), (50, [], 1)]) == [(0, 1, 2, 128 * 128), (0, 2, 1, 0), (0, 3, 50, 0), (50, 1, 0, 0), (50, 2, 1, 0), (50, 3, 2, 0)]
+    assert answer(spark, [(0, [], 1), (1, [], 1)]) == [(0, 1, 1, 0)]
     empty = scratch_table(knn.scaled(spark.createDataFrame([], SCHEMA)), "test-knn")
     assert knn.top_k(empty, empty).count() == 0
