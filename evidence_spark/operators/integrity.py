@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from evidence_spark import policy
 from evidence_spark.functions import crypto
 from evidence_spark.operators.ordered import global_sequence, ordered_lag, running_totals
-from evidence_spark.session import scratch_table, shuffle_partitions
+from evidence_spark.session import scratch_table, shuffle_partitions, sized
 
 GENESIS = policy.GENESIS_HASH
 MERKLE_LEVELS = 10  # tree levels taken per shuffle: blocks of 1024 leaves
@@ -26,11 +26,12 @@ MERKLE_LEVELS = 10  # tree levels taken per shuffle: blocks of 1024 leaves
 
 # --- chains in bounded segments -----------------------------------------------------------
 
-def segment_seed(segment: Column, previous_head: str) -> Column:
+def segment_seed(segment: Column, previous_head: str | Column) -> Column:
     """Predecessor hash of the first row of a segment; the first segment continues the
     previous head itself."""
-    other = F.sha2(F.concat(F.lit(previous_head + ":"), segment.cast("string")), 256)
-    return F.when(segment == 0, F.lit(previous_head)).otherwise(other)
+    head = previous_head if isinstance(previous_head, Column) else F.lit(previous_head)
+    other = F.sha2(F.concat(head, F.lit(":"), segment.cast("string")), 256)
+    return F.when(segment == 0, head).otherwise(other)
 
 
 def fold_chain(
@@ -153,12 +154,14 @@ ROW_CHECKS = [
 
 
 def verify_rows(
-    log: DataFrame, key_id: str, previous_head: str = GENESIS,
-    public_key: tuple[int, int] | None = None, data_key: Column | None = None, aad: Column | None = None,
+    log: DataFrame, key_id: str, previous_head: str | Column = GENESIS,
+    public_key: tuple[int, int] | None = None, data_key: Column | None = None, aad: Column | None = None, logs: list[str] | None = None,
 ) -> DataFrame:
-    """Seven checks per row. Signature and payload checks pass where no key is given."""
+    """Seven checks per row. Signature and payload checks pass where no key is given.
+    ``logs`` names the columns that tell several logs apart; each starts from its own
+    ``previous_head``."""
     log = log if "segment_id" in log.columns else log.withColumn("segment_id", F.lit(0).cast("bigint"))
-    linked = ordered_lag(log, [], ["sequence", "previous_hash", "entry_hash"], ["entry_hash", "segment_id"])
+    linked = ordered_lag(log, logs or [], ["sequence", "previous_hash", "entry_hash"], ["entry_hash", "segment_id"])
     same = F.col("prev_segment_id").eqNullSafe(F.col("segment_id"))
     expected = F.when(same, F.col("prev_entry_hash")).otherwise(segment_seed(F.col("segment_id"), previous_head))
     checked = linked.withColumn("expected_previous_hash", expected).withColumn("_payload_now", crypto.digest(F.col("payload")))
@@ -216,6 +219,28 @@ def verify_chain(log: DataFrame, key_id: str, segments: DataFrame | None = None,
     return rows, summary
 
 
+def verify_logs(log: DataFrame, key_id: str, segments: DataFrame, heads: DataFrame, by: str, **options) -> DataFrame:
+    """``verify_chain`` for many logs in one plan: its summary for each row of ``heads``
+    (``by``, previous_head), also where the log has lost all its rows. Every log needs its
+    stored segments."""
+    started = log.join(sized(heads, "heads"), by)
+    rows = scratch_table(verify_rows(started, key_id, F.col("previous_head"), logs=[by], **options), "verified")
+    first = rows.groupBy(by).agg(F.min(F.when(row_failed(), F.col("sequence"))).alias("first_failure"))
+    first = sized(heads.select(by).join(first, by, "left"), "first-failures")
+    reached = F.col("first_failure").isNull() | (F.col("sequence") <= F.col("first_failure"))
+    counts = rows.join(first, by).groupBy(by).agg(F.count_if(reached).alias("_checked"), F.max_by("entry_hash", "sequence").alias("_head"))
+    keys = [by, "segment_id"]
+    now = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_count"), F.max_by("entry_hash", "sequence").alias("_segment_head"))
+    same = F.col("entry_count").eqNullSafe(F.col("_count")) & F.col("segment_head").eqNullSafe(F.col("_segment_head"))
+    complete = segments.join(heads.select(by), by, "left_semi").join(now, keys, "full_outer").groupBy(by).agg(F.bool_and(same).alias("_complete"))
+    joined = first.join(counts, by, "left").join(complete, by, "left").withColumn("segments_ok", F.coalesce("_complete", F.lit(False)))
+    ok = F.col("first_failure").isNull() & F.col("segments_ok")
+    return joined.select(
+        by, ok.alias("ok"), F.coalesce("_checked", F.lit(0)).cast("bigint").alias("checked_entries"), "first_failure",
+        "segments_ok", F.when(ok, F.col("_head")).alias("head_hash"),
+    )
+
+
 def verify_segments(rows: DataFrame, segments: DataFrame) -> DataFrame:
     now = segment_heads(rows).select(
         "segment_id", F.col("entry_count").alias("_count"), F.col("segment_head").alias("_head")

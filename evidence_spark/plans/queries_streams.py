@@ -11,7 +11,7 @@ from evidence_spark.plans.oracle import with_ev
 from evidence_spark.plans.registry import query
 from evidence_spark.session import scratch_path
 from evidence_spark.sources.sinks import write_batch
-from evidence_spark.streaming import live
+from evidence_spark.streaming import keyed, live
 
 
 def _timed(spark, sf):
@@ -72,3 +72,76 @@ def sql_functions_query(spark, sf):
         "SELECT event_id, ip_domain(src) AS zone, severity_band(anomaly_score) AS band, risk_score(anomaly_score, severity) AS risk, "
         "parity_valid(raw_hex) AS parity, node_slug('target', dst) AS node FROM evidence_events"
     )
+
+
+# --- several deliveries: the same events come in four files, the stream stops after the second ------
+
+def _deliver(spark, sf, path, which):
+    """Append the given quarters of the time span, one file each, in order."""
+    ev = proxy.evidence(spark, sf)
+    first, last = ev.agg(F.min("occurred_us"), F.max("occurred_us")).first()
+    if first is None:
+        ev.coalesce(1).write.mode("append").parquet(path)
+        return
+    quarter = F.floor((F.col("occurred_us") - first) * 4 / F.lit(last - first + 1))
+    for number in which:
+        ev.filter(F.coalesce(quarter, F.lit(0)) == number).coalesce(1).write.mode("append").parquet(path)
+
+
+def _in_deliveries(spark, sf, run):
+    """Call ``run(stream)`` with two quarters there, and once more when the others have come."""
+    path = scratch_path(spark, "deliveries")
+    for which in ((0, 1), (2, 3)):
+        _deliver(spark, sf, path, which)
+        run(spark.readStream.schema(proxy.evidence(spark, sf).schema).option("maxFilesPerTrigger", 1).parquet(path))
+
+
+QUARTER = "(occurred_us - min(occurred_us) OVER ()) * 4 // (max(occurred_us) OVER () - min(occurred_us) OVER () + 1)"
+
+
+@query("stream_keyed_rate", with_ev("""SELECT sequence, domain, round(coalesce(rate, median(rate) OVER (PARTITION BY domain)), 9) AS frequency, false AS late
+    FROM (SELECT sequence, domain, CASE WHEN before IS NOT NULL THEN least(1 / greatest(CAST(occurred_us - before AS DOUBLE) / 1000000, 0.0001), 10000) END AS rate
+      FROM (SELECT *, lag(occurred_us) OVER (PARTITION BY domain ORDER BY occurred_us, sequence) AS before FROM ev))"""))
+def stream_keyed_rate(spark, sf):
+    """Arrival rates of four deliveries with state kept by the stream over a stop and a restart."""
+    out, state = scratch_path(spark, "stream-gaps"), scratch_path(spark, "stream-state")
+
+    def run(stream):
+        gaps = keyed.stream_gaps(stream, "domain", "occurred_us", "sequence", slot_us=24 * 3_600_000_000)
+        keyed.collect_gaps(gaps, out, state)
+
+    _in_deliveries(spark, sf, run)
+    rates = keyed.complete_rates(spark.read.parquet(out), "domain", "occurred_us", "sequence")
+    return rates.select("sequence", "domain", F.round("frequency", 9).alias("frequency"), "late")
+
+
+@query("stream_counts_restarted", with_ev("SELECT domain, CAST(occurred_us // 1000000 * 1000000 AS BIGINT) AS start_us, count(*) AS rows FROM ev GROUP BY ALL"))
+def stream_counts_restarted(spark, sf):
+    """Counts per second of four deliveries, open windows carried over the restart."""
+    out, state = scratch_path(spark, "stream-out"), scratch_path(spark, "stream-state")
+
+    def run(stream):
+        timed = stream.withColumn("at", F.timestamp_micros("occurred_us"))
+        live.run_available(live.stream_rate_counts(timed, "domain", "at"), lambda batch, batch_id: write_batch(batch, out, batch_id), state, "update")
+
+    _in_deliveries(spark, sf, run)
+    return live.latest_by_key(spark.read.parquet(out), ["domain", "start_us"])
+
+
+@query("live_intake_batches", with_ev(f"""SELECT row_number() OVER (ORDER BY quarter, source_file, source_offset) AS sequence, source_file, source_offset, true AS batch_ok
+    FROM (SELECT source_file, source_offset, {QUARTER} AS quarter FROM ev)"""))
+def live_intake_batches(spark, sf):
+    """Four deliveries sealed as four linked batches, verified in two rounds of one plan each."""
+    root, state = scratch_path(spark, "intake"), scratch_path(spark, "stream-state")
+
+    def run(stream):
+        records = stream.select(
+            "source_file", "source_type", "source_offset", proxy.payload(stream).alias("payload"), F.lit(None).cast("string").alias("verdict"),
+            F.lit("normal").alias("scenario"), F.col("occurred_at").alias("recorded_at"),
+        )
+        live.live_intake(records, root, state, "test-key")
+        live.verify_new_batches(spark, root, "test-key")
+
+    _in_deliveries(spark, sf, run)
+    ok = live.read_batches(spark, f"{root}/verified").select("batch_id", F.col("ok").alias("batch_ok"))
+    return spark.read.parquet(f"{root}/log").join(ok, "batch_id").select("sequence", "source_file", "source_offset", "batch_ok")

@@ -150,18 +150,23 @@ def live_intake(stream: DataFrame, root: str, checkpoint: str, key_id: str = "",
 
 
 def verify_new_batches(spark: SparkSession, root: str, key_id: str) -> DataFrame:
-    """Verify the sealed batches that have no result yet and store one row for each;
-    the trust gate then reads this small table instead of the log."""
+    """Verify the sealed batches that have no result yet, all in one plan, and store one row
+    for each; the trust gate then reads this small table instead of the log. A batch starts
+    from the head that the batch before it left."""
     tables = IntakeTables(root)
-    sealed = read_batches(spark, tables.segments).select("batch_id").distinct()
+    segments = read_batches(spark, tables.segments)
     known = read_batches(spark, tables.verified)
-    todo = sealed if known is None else sealed.join(known.select("batch_id"), "batch_id", "left_anti")
-    for row in todo.select("batch_id").orderBy("batch_id").toLocalIterator():
-        batch_id = row["batch_id"]
-        before = _last_head(spark, tables, batch_id)[0]
-        log, segments = read_batch(spark, tables.log, batch_id), read_batch(spark, tables.segments, batch_id)
-        _, summary = integrity.verify_chain(log, key_id, segments, previous_head=before)
-        write_batch(summary, tables.verified, batch_id)
+    todo = segments.select("batch_id").distinct()
+    if known is not None:
+        todo = todo.join(known.select("batch_id"), "batch_id", "left_anti")
+    todo = sized(todo, "unverified")
+    if todo.isEmpty():
+        return known
+    ends = read_batches(spark, tables.heads).select((F.col("batch_id") + 1).alias("batch_id"), F.col("head_hash").alias("previous_head"))
+    heads = todo.join(ends, "batch_id", "left").select("batch_id", F.coalesce("previous_head", F.lit(policy.GENESIS_HASH)).alias("previous_head"))
+    done = integrity.verify_logs(read_batches(spark, tables.log), key_id, segments, heads, "batch_id")
+    # one file for each batch; a run that fails stores nothing and is done again
+    done.repartition("batch_id").write.mode("append").partitionBy("batch_id").parquet(tables.verified)
     return read_batches(spark, tables.verified)
 
 

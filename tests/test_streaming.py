@@ -1,11 +1,12 @@
 import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
 
 from evidence_spark import schemas
 
-from evidence_spark.streaming import live
+from evidence_spark.streaming import keyed, live
 
 
 def records(n, start=0, verdict=True, payload=None):
@@ -105,3 +106,58 @@ def test_score_stream_matches_batch(spark, tmp_path, sf):
     want = forest.score_forest(forest.packet_features(flagged, stats), model, "domain", F.lit("PCAP"))
     got = {r.event_id: round(r.anomaly_score, 9) for r in spark.read.parquet(str(tmp_path / "s")).collect()}
     assert got == {r.event_id: round(r.anomaly_score, 9) for r in want.collect()} and len(got) > 100
+
+
+def gap_stream(spark, path):
+    return spark.readStream.schema("domain string, occurred_us long, sequence long").option("maxFilesPerTrigger", 1).json(str(path))
+
+
+def test_keyed_gaps_are_the_same_with_and_without_a_restart(spark, tmp_path):
+    second = 1_000_000
+    parts = [
+        [("a", 0, 1), ("a", second // 2, 2), ("b", 100, 3), (None, 5, 4), ("a", None, 5)],
+        [("a", second // 2, 6), ("a", second // 4, 7), ("b", 5 * second + 100, 8)],
+        [("a", 3 * second, 9), (None, second + 5, 10), ("a", 3 * second, 11), ("b", 5 * second + 50, 12)],
+    ]
+
+    def rates(name, stops):
+        folder, out, state = tmp_path / name, str(tmp_path / f"{name}-out"), str(tmp_path / f"{name}-state")
+        for i, part in enumerate(parts):
+            write(folder, f"{i}.json", [dict(zip(("domain", "occurred_us", "sequence"), row)) for row in part])
+            os.utime(folder / f"{i}.json", (i, 1_700_000_000 + 10 * i))  # files are taken by age
+            if i in stops:
+                keyed.collect_gaps(keyed.stream_gaps(gap_stream(spark, folder), "domain", "occurred_us", "sequence", second), out, state)
+        done = keyed.complete_rates(spark.read.parquet(out), "domain", "occurred_us", "sequence")
+        return {r.sequence: (r.frequency, r.late) for r in done.collect()}
+
+    got = rates("through", {2})
+    assert got == rates("stopped", {0, 1, 2})
+    assert got == {
+        1: (5001.0, False), 2: (2.0, False), 6: (10000.0, False), 7: (None, True), 9: (0.4, False), 11: (10000.0, False), 5: (5001.0, False),
+        3: (0.2, False), 8: (0.2, False), 12: (None, True), 4: (1.0, False), 10: (1.0, False),
+    }
+
+
+def test_keyed_gaps_of_an_empty_stream(spark, tmp_path):
+    write(tmp_path / "in", "0.json", [])
+    out = str(tmp_path / "out")
+    keyed.collect_gaps(keyed.stream_gaps(gap_stream(spark, tmp_path / "in"), "domain", "occurred_us", "sequence"), out, str(tmp_path / "st"))
+    table = spark.createDataFrame([], "domain string, occurred_us long, sequence long, slot long, gap_us long, late boolean, head boolean")
+    assert keyed.complete_rates(table, "domain", "occurred_us", "sequence").isEmpty()
+
+
+def test_batches_are_verified_together_and_name_the_bad_one(spark, tmp_path):
+    root, state = str(tmp_path / "out"), str(tmp_path / "state")
+    for i in range(3):
+        write(tmp_path / "in", f"{i}.json", records(6, 6 * i))
+        live.live_intake(stream(spark, tmp_path / "in"), root, state, "k", 4)
+    one = tmp_path / "out/log/batch_id=1"
+    changed = spark.read.parquet(str(one)).withColumn("payload", F.when(F.col("sequence") == 9, F.encode(F.lit("x"), "UTF-8")).otherwise(F.col("payload")))
+    rows = changed.collect()
+    spark.createDataFrame(rows, changed.schema).write.mode("overwrite").parquet(str(one))
+    two = spark.read.parquet(str(tmp_path / "out/log/batch_id=2"))
+    kept = two.filter("sequence != 18").collect()
+    spark.createDataFrame(kept, two.schema).write.mode("overwrite").parquet(str(tmp_path / "out/log/batch_id=2"))
+    got = {r.batch_id: (r.ok, r.checked_entries, r.first_failure, r.segments_ok) for r in live.verify_new_batches(spark, root, "k").collect()}
+    assert got == {0: (True, 6, None, True), 1: (False, 3, 9, True), 2: (False, 5, None, False)}
+    assert live.verify_new_batches(spark, root, "k").count() == 3
