@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from evidence_spark.operators import events, feeds, filters, graph, joins
+from evidence_spark.operators import events, feeds, filters, graph, joins, timeline
 from evidence_spark.plans import oracle as o
 from evidence_spark.plans import proxy
 from evidence_spark.plans.oracle import with_ev
@@ -240,9 +240,16 @@ def related_subgraph(spark, sf):
     return joins.related_subgraph(g.nodes, g.edges, ["Blocked"])[1].select("source", "target", "relation")
 
 
+def _flagged(spark, sf):
+    return events.normalize_events(filters.flagged(proxy.evidence(spark, sf)))
+
+
 def _timeline(spark, sf, limit):
-    rows = events.normalize_events(filters.flagged(proxy.evidence(spark, sf)))
-    return graph.timeline_graph(rows, limit)
+    return graph.timeline_graph(_flagged(spark, sf), limit)
+
+
+def _ranked(spark, sf):
+    return timeline.ranked_events(_flagged(spark, sf), ["event_us", "event_id"])
 
 
 TL = """tl AS (SELECT *, row_number() OVER (ORDER BY event_us, event_id) AS rank FROM norm WHERE event_type = 'anomaly' AND sequence IN (SELECT sequence FROM ev WHERE predicted_anomaly = 1)
@@ -272,6 +279,25 @@ def temporal_paths(spark, sf):
     return graph.temporal_paths(*_timeline(spark, sf, 8), 10)
 
 
+@query("temporal_paths_all", with_ev("""SELECT p.source, p.target, string_agg('event-' || m.sequence, ' > ' ORDER BY m.rank) AS path, p.length, true AS temporal, p.risk FROM (
+    SELECT 'event-' || a.sequence AS source, 'event-' || b.sequence AS target, a.rank AS first, b.rank AS last, b.rank - a.rank AS length, max(b.risk) OVER (PARTITION BY a.rank ORDER BY b.rank) AS risk
+    FROM tl a JOIN tl b ON a.rank <= b.rank QUALIFY a.rank < b.rank ORDER BY risk DESC, length, source, target LIMIT 10) p
+    JOIN tl m ON m.rank BETWEEN p.first AND p.last GROUP BY ALL""", NORMALIZED, TL.format(limit="")))
+def temporal_paths_all(spark, sf):
+    """The ten best of all paths between all flagged events."""
+    return timeline.best_paths(_ranked(spark, sf), 10)
+
+
+@query("temporal_paths_from_roots", with_ev("""SELECT 'event-' || a.sequence AS source, 'event-' || b.sequence AS target, b.rank - a.rank AS length, max(b.risk) OVER (PARTITION BY a.rank ORDER BY b.rank) AS risk
+    FROM (SELECT * FROM tl QUALIFY row_number() OVER (PARTITION BY domain ORDER BY risk DESC, rank) = 1) a JOIN tl b ON a.rank <= b.rank QUALIFY a.rank < b.rank""", NORMALIZED, TL.format(limit="")))
+def temporal_paths_from_roots(spark, sf):
+    """Paths from the riskiest flagged event of each domain to every later flagged event."""
+    ranked = _ranked(spark, sf)
+    rows = _flagged(spark, sf).select("domain", F.concat(F.lit("event-"), F.col("sequence").cast("string")).alias("id"))
+    best = ranked.join(rows, "id").groupBy("domain").agg(F.min(F.struct(-F.col("risk"), "rank", "id")).alias("_m"))
+    return timeline.paths_from(best.select("_m.rank", "_m.id"), timeline.risk_index(ranked))
+
+
 # --- the whole graph ------------------------------------------------------------------------------
 
 @query("correlated_pairs_all", _every("SELECT source, target, relation, label FROM pairs"))
