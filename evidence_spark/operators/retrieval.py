@@ -10,7 +10,7 @@ from evidence_spark import policy
 from evidence_spark.functions import text as tx
 from evidence_spark.functions.scalars import contains_any
 from evidence_spark.operators import feeds
-from evidence_spark.session import scratch_table
+from evidence_spark.session import scratch_table, sized
 
 PARAGRAPH_BREAK = r"\n\s*\n|(?<=\.)\s{2,}"
 
@@ -79,19 +79,47 @@ def rank_snippets(docs: DataFrame, question: str, n: int = 3) -> DataFrame:
     return rows.select("doc_id", (F.col("_r") + 1).alias("rank"), "s.score", "s.position", "s.snippet")
 
 
-def document_context(docs: DataFrame, questions: DataFrame, n: int | None = None, snippets: int = 3, excerpt_chars: int | None = None) -> DataFrame:
+WORD = r"([a-z][a-z0-9_-]{2,})"
+
+
+def words_with(vocabulary: DataFrame, keywords: DataFrame) -> DataFrame:
+    """(keyword, word) for each keyword that a word of the vocabulary holds at any place.
+
+    Both tables have one column ``word`` of distinct texts of three characters or more. A
+    keyword meets the words under its rarest character trigram only; they are then compared
+    whole. Trigrams grow with the vocabulary, not with the texts.
+    """
+    grams = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - 2), lambda i: F.substring(c, i, F.lit(3))))
+    index = scratch_table(vocabulary.filter(F.length("word") >= 3).select("word", F.explode(grams(F.col("word"))).alias("gram")), "trigrams")
+    asked = keywords.filter(F.length("word") >= 3).select(F.col("word").alias("keyword"), F.explode(grams(F.col("word"))).alias("gram"))
+    sizes = index.join(asked.select("gram").distinct(), "gram", "left_semi").groupBy("gram").agg(F.count(F.lit(1)).alias("_n"))
+    rarest = asked.join(sized(sizes, "trigram-sizes"), "gram", "left").groupBy("keyword").agg(
+        F.min_by("gram", F.struct(F.coalesce("_n", F.lit(0)), "gram")).alias("gram")  # a trigram no word has finds nothing
+    )
+    return index.join(sized(rarest, "rarest"), "gram").filter(F.col("word").contains(F.col("keyword"))).select("keyword", "word")
+
+
+def document_context(
+    docs: DataFrame, questions: DataFrame, n: int | None = None, snippets: int = 3, excerpt_chars: int | None = None, inside: bool = False
+) -> DataFrame:
     """Documents that hold a keyword of a question, with their snippets; for each question
     all of them, or the ``n`` newest.
 
     Keywords find documents through an inverted list of the searchable texts' words, so a
     question meets only documents it shares a word with, never all of them. A keyword is
-    found as a whole word here, while a snippet also scores inside longer words.
+    found as a whole word, with ``inside`` also within a longer one, as snippets score it.
     """
     ready = scratch_table(indexable(docs).filter("text_available").select("doc_id", "uploaded_at", "text"), "searchable")
-    words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"([a-z][a-z0-9_-]{2,})"), F.lit(1)))
+    words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(1)))
     asked = scratch_table(questions.select("question_id", tx.question_keywords(F.col("question")).alias("_keys")), "asked")
     wanted = asked.select("question_id", F.explode("_keys").alias("word"))
-    listed = ready.select("doc_id", "uploaded_at", F.explode(words).alias("word")).join(wanted.select("word").distinct(), "word", "left_semi")
+    listed = ready.select("doc_id", "uploaded_at", F.explode(words).alias("word"))
+    if inside:
+        listed = scratch_table(listed, "listed")
+        held = words_with(listed.select("word").distinct(), wanted.select("word").distinct())
+        listed = listed.join(sized(held, "held"), "word").select("doc_id", "uploaded_at", F.col("keyword").alias("word")).distinct()
+    else:
+        listed = listed.join(wanted.select("word").distinct(), "word", "left_semi")
     if n is not None:
         # the newest n of each word hold the newest n of any question, so a common word meets no more
         of_word = Window.partitionBy("word").orderBy(F.desc("uploaded_at"), "doc_id")

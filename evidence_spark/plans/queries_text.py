@@ -78,20 +78,34 @@ def ranked_snippets(spark, sf):
     return retrieval.rank_snippets(documents(spark, sf), QUESTION)
 
 
-@query("document_context", "WITH " + _indexable("documents") + """,
+def _document_context(words: str) -> str:
+    """SQL of the document context, given that of ``wd``, the words by which a document is found."""
+    return "WITH " + _indexable("documents") + """,
     good AS (SELECT doc_id, text FROM idx WHERE text_available), ask AS (SELECT item_id AS question_id, """ + _keywords("text") + """ AS keys FROM benchmark),
-    wd AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(text), '[a-z][a-z0-9_-]{2,}')) AS w FROM good), wk AS (SELECT question_id, unnest(keys) AS w FROM ask),
+    wk AS (SELECT question_id, unnest(keys) AS w FROM ask), wd AS (""" + words + """),
     met AS (SELECT question_id, doc_id FROM (SELECT DISTINCT question_id, doc_id FROM wk JOIN wd USING (w)) QUALIFY row_number() OVER (PARTITION BY question_id ORDER BY doc_id DESC) <= 12),
     src AS (SELECT question_id, doc_id, text, keys FROM met JOIN ask USING (question_id) JOIN good USING (doc_id)), """ + _snippets("src") + """,
     top AS (SELECT question_id, doc_id, count(*) AS n, arg_min(p, rn) AS best FROM (
       SELECT *, row_number() OVER (PARTITION BY question_id, doc_id ORDER BY score DESC, position) AS rn FROM ps WHERE score > 0) WHERE rn <= 3 GROUP BY ALL)
     SELECT question_id, doc_id, coalesce(t.n, 0) AS snippets, coalesce(t.best, s.text) AS shown, CASE WHEN t.n > 0 THEN 'relevant text found' ELSE 'no text matched' END AS note
-    FROM src s LEFT JOIN top t USING (question_id, doc_id)""")
+    FROM src s LEFT JOIN top t USING (question_id, doc_id)"""
+
+
+def _asked_documents(spark, sf):
+    docs = documents(spark, sf).withColumn("uploaded_at", F.lit(1704067200) + F.col("doc_id"))
+    return docs, proxy.table(spark, sf, "benchmark").select(F.col("item_id").alias("question_id"), F.col("text").alias("question"))
+
+
+@query("document_context", _document_context("SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(text), '[a-z][a-z0-9_-]{2,}')) AS w FROM good"))
 def document_context(spark, sf):
     """Every question with the twelve newest documents that share a keyword with it."""
-    docs = documents(spark, sf).withColumn("uploaded_at", F.lit(1704067200) + F.col("doc_id"))
-    questions = proxy.table(spark, sf, "benchmark").select(F.col("item_id").alias("question_id"), F.col("text").alias("question"))
-    return retrieval.document_context(docs, questions, 12)
+    return retrieval.document_context(*_asked_documents(spark, sf), 12)
+
+
+@query("document_context_inside", _document_context("SELECT doc_id, w FROM good JOIN (SELECT DISTINCT w FROM wk) ON contains(lower(text), w)"))
+def document_context_inside(spark, sf):
+    """The same with keywords also found inside longer words."""
+    return retrieval.document_context(*_asked_documents(spark, sf), 12, inside=True)
 
 
 @query("question_context", with_ev("""SELECT r.question_id, e.sequence, e.evidence_id, e.severity

@@ -29,3 +29,22 @@ def test_document_context_has_all_documents_by_default(spark):
     questions = spark.createDataFrame([(1, "Which kappa findings")], "question_id long, question string")
     assert retrieval.document_context(docs, questions).count() == 20
     assert {r["doc_id"] for r in retrieval.document_context(docs, questions, 3).collect()} == {17, 18, 19}
+
+
+def test_keywords_inside_words_equal_a_plain_search(spark):
+    vocabulary = ["network", "networking", "report", "port", "ports", "airport", "part-is", "aaaa", "aaa", "bus"]
+    keywords = ["port", "net", "aaa", "work", "part-is", "zebra", "bus", "rep"]
+    tables = [spark.createDataFrame([(w,) for w in words], "word string") for words in (vocabulary, keywords)]
+    found = retrieval.words_with(*tables).collect()
+    assert {tuple(r) for r in found} == {(k, w) for k in keywords for w in vocabulary if k in w}
+    assert len(found) == len({tuple(r) for r in found})
+    assert retrieval.words_with(tables[0].limit(0), tables[1]).isEmpty() and retrieval.words_with(tables[0], tables[1].limit(0)).isEmpty()
+
+
+def test_document_context_inside_longer_words(spark):
+    prose = "The network reports list alpha beta gamma delta epsilon zeta theta kappas lambda sigma omega risk controls and further findings about words, buses and frames."
+    docs = spark.createDataFrame([(1, 1, prose), (2, 2, prose.replace("kappas", "other")), (3, 3, None), (4, 4, "")], "doc_id long, uploaded_at long, text string")
+    questions = spark.createDataFrame([(1, "kappa"), (2, "kap"), (3, None), (4, "")], "question_id long, question string")
+    assert retrieval.document_context(docs, questions).isEmpty()
+    got = retrieval.document_context(docs, questions, 1, inside=True).collect()
+    assert {(r["question_id"], r["doc_id"], r["note"]) for r in got} == {(1, 1, "relevant text found"), (2, 1, "relevant text found")}
