@@ -138,6 +138,13 @@ def document_context(
     )
 
 
+def unreadable_documents(docs: DataFrame) -> DataFrame:
+    """(doc_id, uploaded_at, note) of the documents that ``document_context`` cannot search:
+    one row for each, whatever the questions, as any of them could have used it."""
+    note = F.when(F.coalesce(F.trim("text"), F.lit("")) == "", "no text").otherwise("text is not readable")
+    return indexable(docs).filter(~F.col("text_available")).select("doc_id", "uploaded_at", note.alias("note"))
+
+
 def question_context(questions: DataFrame, pool: DataFrame, per_question: int | None = None, top: int = 10) -> DataFrame:
     """Records per question, with ``requested``: the pool's records of the sequences named in
     the text; a question for which none is found, or that names none, gets the ``top`` records

@@ -108,6 +108,13 @@ def document_context_inside(spark, sf):
     return retrieval.document_context(*_asked_documents(spark, sf), 12, inside=True)
 
 
+@query("unreadable_documents", "WITH " + _indexable("documents") + """ SELECT doc_id, CAST(1704067200 + doc_id AS BIGINT) AS uploaded_at,
+    CASE WHEN coalesce(trim(text), '') = '' THEN 'no text' ELSE 'text is not readable' END AS note FROM idx WHERE NOT coalesce(text_available, false)""")
+def unreadable_documents(spark, sf):
+    """Documents left out of every document context, with the reason."""
+    return retrieval.unreadable_documents(_asked_documents(spark, sf)[0])
+
+
 @query("question_context", with_ev("""SELECT r.question_id, e.sequence, e.evidence_id, e.severity
       FROM ev e JOIN (SELECT event_id AS question_id, unnest(list_distinct([event_id + 1, k + 10, user_id + 10])) AS s FROM ev) r ON e.sequence = r.s"""))
 def question_context(spark, sf):

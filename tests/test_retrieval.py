@@ -48,3 +48,5 @@ def test_document_context_inside_longer_words(spark):
     assert retrieval.document_context(docs, questions).isEmpty()
     got = retrieval.document_context(docs, questions, 1, inside=True).collect()
     assert {(r["question_id"], r["doc_id"], r["note"]) for r in got} == {(1, 1, "relevant text found"), (2, 1, "relevant text found")}
+    notes = retrieval.unreadable_documents(docs.unionByName(spark.createDataFrame([(5, 5, "short")], docs.schema))).collect()
+    assert {(r["doc_id"], r["note"]) for r in notes} == {(3, "no text"), (4, "no text"), (5, "text is not readable")}
