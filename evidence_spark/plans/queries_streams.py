@@ -74,26 +74,17 @@ def sql_functions_query(spark, sf):
     )
 
 
-# --- several deliveries: the same events come in four files, the stream stops after the second ------
-
-def _deliver(spark, sf, path, which):
-    """Append the given quarters of the time span, one file each, in order."""
-    ev = proxy.evidence(spark, sf)
-    first, last = ev.agg(F.min("occurred_us"), F.max("occurred_us")).first()
-    if first is None:
-        ev.coalesce(1).write.mode("append").parquet(path)
-        return
-    quarter = F.floor((F.col("occurred_us") - first) * 4 / F.lit(last - first + 1))
-    for number in which:
-        ev.filter(F.coalesce(quarter, F.lit(0)) == number).coalesce(1).write.mode("append").parquet(path)
-
+# --- several deliveries: the same events come in four quarters of their time, the stream stops after each
 
 def _in_deliveries(spark, sf, run):
-    """Call ``run(stream)`` with two quarters there, and once more when the others have come."""
-    path = scratch_path(spark, "deliveries")
-    for which in ((0, 1), (2, 3)):
-        _deliver(spark, sf, path, which)
-        run(spark.readStream.schema(proxy.evidence(spark, sf).schema).option("maxFilesPerTrigger", 1).parquet(path))
+    """Call ``run(stream)`` after each delivery; a delivery has as many files as its scan has partitions."""
+    path, ev = scratch_path(spark, "deliveries"), proxy.evidence(spark, sf)
+    first, last = ev.agg(F.min("occurred_us"), F.max("occurred_us")).first()
+    span = (0 if first is None else last - first) + 1
+    quarter = F.coalesce(F.floor((F.col("occurred_us") - F.lit(first or 0)) * 4 / F.lit(span)), F.lit(0))
+    for number in range(4):
+        ev.filter(quarter == number).write.mode("append").parquet(path)
+        run(spark.readStream.schema(ev.schema).parquet(path))
 
 
 QUARTER = "(occurred_us - min(occurred_us) OVER ()) * 4 // (max(occurred_us) OVER () - min(occurred_us) OVER () + 1)"
@@ -103,7 +94,7 @@ QUARTER = "(occurred_us - min(occurred_us) OVER ()) * 4 // (max(occurred_us) OVE
     FROM (SELECT sequence, domain, CASE WHEN before IS NOT NULL THEN least(1 / greatest(CAST(occurred_us - before AS DOUBLE) / 1000000, 0.0001), 10000) END AS rate
       FROM (SELECT *, lag(occurred_us) OVER (PARTITION BY domain ORDER BY occurred_us, sequence) AS before FROM ev))"""))
 def stream_keyed_rate(spark, sf):
-    """Arrival rates of four deliveries with state kept by the stream over a stop and a restart."""
+    """Arrival rates of four deliveries with state kept by the stream from one run to the next."""
     out, state = scratch_path(spark, "stream-gaps"), scratch_path(spark, "stream-state")
 
     def run(stream):
@@ -117,7 +108,7 @@ def stream_keyed_rate(spark, sf):
 
 @query("stream_counts_restarted", with_ev("SELECT domain, CAST(occurred_us // 1000000 * 1000000 AS BIGINT) AS start_us, count(*) AS rows FROM ev GROUP BY ALL"))
 def stream_counts_restarted(spark, sf):
-    """Counts per second of four deliveries, open windows carried over the restart."""
+    """Counts per second of four deliveries, open windows carried from run to run."""
     out, state = scratch_path(spark, "stream-out"), scratch_path(spark, "stream-state")
 
     def run(stream):
@@ -131,7 +122,7 @@ def stream_counts_restarted(spark, sf):
 @query("live_intake_batches", with_ev(f"""SELECT row_number() OVER (ORDER BY quarter, source_file, source_offset) AS sequence, source_file, source_offset, true AS batch_ok
     FROM (SELECT source_file, source_offset, {QUARTER} AS quarter FROM ev)"""))
 def live_intake_batches(spark, sf):
-    """Four deliveries sealed as four linked batches, verified in two rounds of one plan each."""
+    """Four deliveries sealed as four linked batches, each verified as it comes."""
     root, state = scratch_path(spark, "intake"), scratch_path(spark, "stream-state")
 
     def run(stream):
