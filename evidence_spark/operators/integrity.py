@@ -8,16 +8,19 @@ is a plain linear chain. Verification reads only stored hashes and is parallel f
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import cached_property
 from hashlib import sha256
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from evidence_spark import policy
 from evidence_spark.functions import crypto
-from evidence_spark.operators.ordered import global_sequence, ordered_lag, running_totals
+from evidence_spark.operators.ordered import Ranges, ordered_lag, running_totals, whole_ranges
 from evidence_spark.session import scratch_table, shuffle_partitions, sized
 
 GENESIS = policy.GENESIS_HASH
@@ -41,26 +44,74 @@ def fold_chain(
     """Chain rows numbered without gaps from ``start``.
 
     The text hashed for a row is ``before``, then the hash of the row before it, then
-    ``after``. A group is one segment, hence never larger than ``segment_rows``.
+    ``after``. A segment is never larger than ``segment_rows``; its rows stream through one
+    task, which keeps the last hash only.
     """
     segmented = df.withColumn("segment_id", F.floor((F.col(sequence) - start) / F.lit(segment_rows)).cast("bigint"))
-    out = segmented.drop(before, after).withColumn(previous_name, F.lit("")).withColumn(hash_name, F.lit(""))
-    columns = out.columns
+    spread_out = segmented.repartition(shuffle_partitions(df.sparkSession), "segment_id").sortWithinPartitions("segment_id", sequence)
+    return _folded(spread_out, sequence, before, after, previous_name, hash_name, previous_head, segment_rows, start)
 
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(sequence)
-        segment = int(rows["segment_id"].iloc[0])
-        previous = previous_head if segment == 0 else sha256(f"{previous_head}:{segment}".encode()).hexdigest()
-        befores, hashes = [], []
-        for head, tail in zip(rows[before], rows[after]):
-            befores.append(previous)
-            previous = sha256((head + previous + tail).encode()).hexdigest()
-            hashes.append(previous)
-        rows[previous_name], rows[hash_name] = befores, hashes
-        return rows[columns]
 
-    spread_out = segmented.repartition(shuffle_partitions(df.sparkSession), "segment_id")
-    return spread_out.groupBy("segment_id").applyInPandas(fold, out.schema)
+def number_and_chain(
+    df: DataFrame, order: list[str], sequence: str, prepare: Callable[[DataFrame], DataFrame], previous_name: str, hash_name: str,
+    previous_head: str = GENESIS, segment_rows: int = 4096, start: int = 1,
+) -> DataFrame:
+    """Number rows over ``order`` without gaps from ``start`` and chain them.
+
+    Ranges of whole segments are found by the order columns alone, so the rows are moved
+    once. ``prepare`` works on them after that, so the long texts are never moved: it adds
+    ``_before`` and ``_after`` of ``fold_chain`` and keeps ``_range``.
+    """
+    ranges = whole_ranges(df, order, segment_rows)
+    placed = df.withColumn("_range", ranges.column).repartitionById(len(ranges.sizes), "_range").sortWithinPartitions("_range", *order)
+    ready = prepare(placed)
+    return _folded(ready, sequence, "_before", "_after", previous_name, hash_name, previous_head, segment_rows, start, ranges)
+
+
+def _folded(
+    df: DataFrame, sequence: str, before: str, after: str, previous_name: str, hash_name: str,
+    previous_head: str, segment_rows: int, start: int, ranges: Ranges | None = None,
+) -> DataFrame:
+    """Chain rows that stand in order, segment after segment, in their partitions."""
+    texts = df.withColumns({c: F.col(c).cast("binary") for c in (before, after)})
+    added = [StructField("segment_id", LongType()), StructField(previous_name, StringType()), StructField(hash_name, StringType())]
+    if ranges:
+        added.insert(0, StructField(sequence, LongType()))
+    added_names = [f.name for f in added]
+    kept = [c for c in df.columns if c not in (before, after, "_range", *added_names)]
+    schema = StructType([*(texts.schema[c] for c in kept), *added])
+    unnumbered, starts, sizes = ranges is not None, *((ranges.starts, ranges.sizes) if ranges else ([], []))
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, previous, met = None, previous_head, {}
+        for batch in batches:
+            if unnumbered:
+                numbers = []
+                for r in batch.column("_range").to_pylist():
+                    at = met.get(r, 0)
+                    numbers.append(start + starts[r] + at)
+                    met[r] = at + 1
+            else:
+                numbers = batch.column(sequence).to_pylist()
+            segments, befores, hashes = [], [], []
+            for number, head, tail in zip(numbers, batch.column(before).to_pylist(), batch.column(after).to_pylist()):
+                segment = (number - start) // segment_rows
+                if segment != current:
+                    current = segment
+                    previous = previous_head if segment == 0 else sha256(f"{previous_head}:{segment}".encode()).hexdigest()
+                segments.append(segment)
+                befores.append(previous)
+                previous = sha256(head + previous.encode() + tail).hexdigest()
+                hashes.append(previous)
+            new = [pa.array(segments, pa.int64()), pa.array(befores, pa.string()), pa.array(hashes, pa.string())]
+            if unnumbered:
+                new.insert(0, pa.array(numbers, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *new], [*kept, *added_names])
+        short = [r for r, n in met.items() if n != sizes[r]]
+        if short:  # the same input must give the same order columns twice
+            raise ValueError(f"ranges {short} changed while they were numbered")
+
+    return texts.mapInArrow(fold, schema)
 
 
 def segment_heads(rows: DataFrame, sequence: str = "sequence", entry_hash: str = "entry_hash") -> DataFrame:
@@ -85,11 +136,25 @@ def combined_head(heads: DataFrame, fan_in: int) -> DataFrame:
     return level.select(F.col("_h").alias("head_hash"))
 
 
-@dataclass
 class Sealed:
-    rows: DataFrame
-    segments: DataFrame
-    head: DataFrame
+    """A chained log. Rows are stored when they are first asked for; without that, one pass
+    gives the segment table."""
+
+    def __init__(self, chained: DataFrame, fan_in: int, label: str):
+        self._chained, self._fan_in, self._label = chained, fan_in, label
+
+    @cached_property
+    def rows(self) -> DataFrame:
+        return scratch_table(self._chained, self._label)
+
+    @cached_property
+    def segments(self) -> DataFrame:
+        stored = "rows" in self.__dict__
+        return sized(segment_heads(self.rows if stored else self._chained), "segments")
+
+    @cached_property
+    def head(self) -> DataFrame:
+        return combined_head(self.segments, self._fan_in)
 
 
 def _json_body(**fields: Column) -> Column:
@@ -122,19 +187,14 @@ def seal(
 ) -> Sealed:
     """Number, hash and chain raw events (created_at, source_file, source_type,
     source_offset, metadata_json, payload)."""
-    numbered = global_sequence(df, order, "sequence", start).withColumn("rsa_key_id", F.lit(key_id))
-    numbered = numbered.withColumn("payload_sha256", crypto.digest(F.col("payload")))
-    before, after = entry_material_parts(F.col("payload_sha256"))
-    chained = fold_chain(
-        numbered.withColumn("_before", before).withColumn("_after", after),
-        "sequence", "_before", "_after", "previous_hash", "entry_hash", previous_head, segment_rows, start,
-    )
+    def prepare(rows: DataFrame) -> DataFrame:
+        keyed = rows.withColumn("rsa_key_id", F.lit(key_id)).withColumn("payload_sha256", crypto.digest(F.col("payload")))
+        before, after = entry_material_parts(F.col("payload_sha256"))
+        return keyed.withColumns({"_before": before, "_after": after})
+
+    chained = number_and_chain(df, order, "sequence", prepare, "previous_hash", "entry_hash", previous_head, segment_rows, start)
     before, after = entry_material_parts(F.col("payload_sha256"))
-    rows = scratch_table(
-        chained.withColumn("entry_material_json", F.concat(before, F.col("previous_hash"), after)), label
-    )
-    heads = segment_heads(rows)
-    return Sealed(rows, heads, combined_head(heads, segment_rows))
+    return Sealed(chained.withColumn("entry_material_json", F.concat(before, F.col("previous_hash"), after)), segment_rows, label)
 
 
 # --- verification of the log ------------------------------------------------------------------
@@ -156,15 +216,15 @@ ROW_CHECKS = [
 def verify_rows(
     log: DataFrame, key_id: str, previous_head: str | Column = GENESIS,
     public_key: tuple[int, int] | None = None, data_key: Column | None = None, aad: Column | None = None, logs: list[str] | None = None,
+    keep: list[str] | None = None,
 ) -> DataFrame:
     """Seven checks per row. Signature and payload checks pass where no key is given.
     ``logs`` names the columns that tell several logs apart; each starts from its own
-    ``previous_head``."""
+    ``previous_head``. ``keep`` names the log's columns to return beside its hashes (default:
+    all). What a row tells by itself is checked first, so only these are put in order."""
     log = log if "segment_id" in log.columns else log.withColumn("segment_id", F.lit(0).cast("bigint"))
-    linked = ordered_lag(log, logs or [], ["sequence", "previous_hash", "entry_hash"], ["entry_hash", "segment_id"])
-    same = F.col("prev_segment_id").eqNullSafe(F.col("segment_id"))
-    expected = F.when(same, F.col("prev_entry_hash")).otherwise(segment_seed(F.col("segment_id"), previous_head))
-    checked = linked.withColumn("expected_previous_hash", expected).withColumn("_payload_now", crypto.digest(F.col("payload")))
+    order = ["sequence", "previous_hash", "entry_hash"]
+    now = log.withColumn("_payload_now", crypto.digest(F.col("payload")))
     before, after = entry_material_parts(F.col("_payload_now"))
     material = F.concat(before, F.col("previous_hash"), after)
     has_material = F.col("entry_material_json").isNotNull()
@@ -179,17 +239,24 @@ def verify_rows(
     else:
         authentic = F.lit(True)
     false = F.lit(False)
-    return checked.withColumns(
-        {
-            "previous_hash_matches": F.coalesce(F.col("previous_hash") == F.col("expected_previous_hash"), false),
-            "payload_hash_matches": F.coalesce(F.col("payload_sha256") == F.col("_payload_now"), false),
-            "entry_material_matches": F.when(has_material, F.col("entry_material_json") == material).otherwise(True),
-            "entry_hash_matches": F.coalesce(F.col("entry_hash") == recomputed, false),
-            "key_id_matches": F.coalesce(F.col("rsa_key_id") == F.lit(key_id), false),
-            "signature_valid": signature,
-            "payload_auth_valid": authentic,
-        }
-    ).drop("_payload_now", "prev_entry_hash", "prev_segment_id")
+    own = {
+        "payload_hash_matches": F.coalesce(F.col("payload_sha256") == F.col("_payload_now"), false),
+        "entry_material_matches": F.when(has_material, F.col("entry_material_json") == material).otherwise(True),
+        "entry_hash_matches": F.coalesce(F.col("entry_hash") == recomputed, false),
+        "key_id_matches": F.coalesce(F.col("rsa_key_id") == F.lit(key_id), false),
+        "signature_valid": signature,
+        "payload_auth_valid": authentic,
+    }
+    head = ["previous_head"] if isinstance(previous_head, Column) and "previous_head" in log.columns else []
+    names = log.columns if keep is None else list(dict.fromkeys([*(logs or []), *order, "segment_id", *head, *keep]))
+    checked = now.withColumns(own).select(*names, *own)
+    linked = ordered_lag(checked, logs or [], order, ["entry_hash", "segment_id"])
+    same = F.col("prev_segment_id").eqNullSafe(F.col("segment_id"))
+    expected = F.when(same, F.col("prev_entry_hash")).otherwise(segment_seed(F.col("segment_id"), previous_head))
+    matches = F.coalesce(F.col("previous_hash") == F.col("expected_previous_hash"), false)
+    return linked.withColumn("expected_previous_hash", expected).select(
+        *names, "expected_previous_hash", matches.alias("previous_hash_matches"), *own
+    )
 
 
 def row_failed() -> Column:
@@ -201,8 +268,9 @@ def row_failed() -> Column:
 
 def verify_chain(log: DataFrame, key_id: str, segments: DataFrame | None = None, **options) -> tuple[DataFrame, DataFrame]:
     """Per-row checks and a one-row summary. With the stored segment table a cut at the
-    end of a segment, which leaves all links intact, is found as well."""
-    rows = scratch_table(verify_rows(log, key_id, **options), "verified")
+    end of a segment, which leaves all links intact, is found as well. The rows stand in a
+    stored table, so reading them again costs a scan."""
+    rows = verify_rows(log, key_id, **options)
     first = rows.filter(row_failed()).agg(F.min("sequence")).first()[0]
     ok_segments = True
     if segments is not None:
@@ -224,7 +292,7 @@ def verify_logs(log: DataFrame, key_id: str, segments: DataFrame, heads: DataFra
     (``by``, previous_head), also where the log has lost all its rows. Every log needs its
     stored segments."""
     started = log.join(sized(heads, "heads"), by)
-    rows = scratch_table(verify_rows(started, key_id, F.col("previous_head"), logs=[by], **options), "verified")
+    rows = verify_rows(started, key_id, F.col("previous_head"), logs=[by], keep=[], **options)
     first = rows.groupBy(by).agg(F.min(F.when(row_failed(), F.col("sequence"))).alias("first_failure"))
     first = sized(heads.select(by).join(first, by, "left"), "first-failures")
     reached = F.col("first_failure").isNull() | (F.col("sequence") <= F.col("first_failure"))
@@ -285,20 +353,19 @@ def link_ledger(df: DataFrame, kind: LedgerKind, position: str, previous_head: s
     return fold_chain(texts, position, "_before", "_after", kind.previous_name, kind.hash_name, previous_head, segment_rows, start)
 
 
-def verify_ledger(df: DataFrame, kind: LedgerKind, position: str, previous_head: str = GENESIS, public_key: tuple[int, int] | None = None) -> DataFrame:
-    """Ledger rows with ``failure``: the first check that fails, null when none does."""
+def verify_ledger(
+    df: DataFrame, kind: LedgerKind, position: str, previous_head: str = GENESIS, public_key: tuple[int, int] | None = None,
+    keep: list[str] | None = None,
+) -> DataFrame:
+    """Ledger rows with ``failure``: the first check that fails, null when none does.
+    ``keep`` names the columns to return beside position, segment and hashes (default: all);
+    as in ``verify_rows`` only these are put in order."""
     df = df if "segment_id" in df.columns else df.withColumn("segment_id", F.lit(0).cast("bigint"))
-    linked = ordered_lag(df, [], [position], [kind.hash_name, "segment_id"])
-    same = F.col("prev_segment_id").eqNullSafe(F.col("segment_id"))
-    expected = F.when(same, F.col(f"prev_{kind.hash_name}")).otherwise(segment_seed(F.col("segment_id"), previous_head))
     before, after = ledger_parts(df, kind, (position, "segment_id"))
     recomputed = crypto.digest(F.concat(before, F.col(kind.previous_name), after))
-    failure = (
-        F.when(~F.col(kind.hash_name).eqNullSafe(recomputed), "record hash mismatch")
-        .when(~F.col(kind.previous_name).eqNullSafe(expected), "predecessor mismatch")
-    )
+    wrong = F.when(F.lit(False), F.lit(""))
     if public_key:
-        failure = failure.when(
+        wrong = wrong.when(
             ~F.coalesce(crypto.signature_valid(F.col(kind.hash_name), F.col("rsa_signature"), *public_key), F.lit(False)),
             "signature invalid",
         )
@@ -308,12 +375,22 @@ def verify_ledger(df: DataFrame, kind: LedgerKind, position: str, previous_head:
             F.lit('{"metadata":'), F.col("row.metadata_json"), F.lit(',"payload_sha256":"'), F.col("row.payload_sha256"),
             F.lit('","previous_hash":"'), F.col("row.previous_hash"), F.lit('"}'),
         )
-        failure = failure.when(
+        wrong = wrong.when(
             ~F.col("row.payload_sha256").eqNullSafe(crypto.digest(F.unbase64("row.payload_b64"))), "payload hash mismatch"
         ).when(
             ~F.col("row.entry_hash").eqNullSafe(crypto.digest(F.coalesce(row_material, legacy))), "entry hash mismatch"
         )
-    return linked.withColumn("failure", failure).drop(f"prev_{kind.hash_name}", "prev_segment_id")
+    names = df.columns if keep is None else list(dict.fromkeys([position, "segment_id", kind.previous_name, kind.hash_name, *keep]))
+    own = {"_record": F.col(kind.hash_name).eqNullSafe(recomputed), "_wrong": wrong}
+    linked = ordered_lag(df.withColumns(own).select(*names, *own), [], [position], [kind.hash_name, "segment_id"])
+    same = F.col("prev_segment_id").eqNullSafe(F.col("segment_id"))
+    expected = F.when(same, F.col(f"prev_{kind.hash_name}")).otherwise(segment_seed(F.col("segment_id"), previous_head))
+    failure = (
+        F.when(~F.col("_record"), "record hash mismatch")
+        .when(~F.col(kind.previous_name).eqNullSafe(expected), "predecessor mismatch")
+        .otherwise(F.col("_wrong"))
+    )
+    return linked.select(*names, failure.alias("failure"))
 
 
 def ledger_summary(verified: DataFrame, position: str) -> DataFrame:
@@ -498,14 +575,29 @@ MIRROR_FIELDS = [
 def mirror(log: DataFrame, recorded_at: str, previous_head: str = GENESIS, start: int = 1, segment_rows: int = 4096) -> DataFrame:
     """Recovery ledger: a full copy of every log row, linked on its own."""
     log = log if "segment_id" in log.columns else log.withColumn("segment_id", F.lit(0).cast("bigint"))
-    row = F.struct(*MIRROR_FIELDS, crypto.b64(F.col("payload")).alias("payload_b64"))
-    numbered = global_sequence(log.select("sequence", row.alias("row")), ["sequence"], "position", start)
-    records = numbered.select("position", "row", F.lit(recorded_at).alias("recorded_at"), F.lit(1).alias("version"))
-    return link_ledger(records, RECOVERY, "position", previous_head, segment_rows, start)
+    def prepare(rows: DataFrame) -> DataFrame:
+        row = F.struct(*MIRROR_FIELDS, crypto.b64(F.col("payload")).alias("payload_b64"))
+        records = rows.select("_range", row.alias("row"), F.lit(recorded_at).alias("recorded_at"), F.lit(1).alias("version"))
+        before, after = ledger_parts(records, RECOVERY, ("_range",))
+        return records.withColumns({"_before": before, "_after": after})
+
+    kept = log.select(*MIRROR_FIELDS, "payload")
+    return number_and_chain(kept, ["sequence"], "position", prepare, RECOVERY.previous_name, RECOVERY.hash_name, previous_head, segment_rows, start)
+
+
+FEW_SPANS = 64
 
 
 def reachable_chain(ledger: DataFrame, previous_head: str = GENESIS) -> DataFrame:
-    """Mirror records on the way from the last record back to the start.
+    """Mirror records on the way from the last record back to the start."""
+    runs, spans = reachable_spans(ledger, previous_head)
+    kept = runs.join(spans.select("run", "upto"), "run").filter(F.col("position") <= F.col("upto"))
+    return kept.select("position", "sequence", "entry_hash", "previous_hash")
+
+
+def reachable_spans(ledger: DataFrame, previous_head: str = GENESIS) -> tuple[DataFrame, DataFrame]:
+    """The records with their runs, and the part of each run (``first`` to ``upto``) that
+    lies on the way from the last record back to the start.
 
     Neighbouring records that link to each other form a run. Runs are few unless the
     ledger is full of breaks, and the walk from run to run is done by doubling, so the
@@ -521,15 +613,16 @@ def reachable_chain(ledger: DataFrame, previous_head: str = GENESIS) -> DataFram
         F.col("_seeded"), (F.col("prev_segment_id") == F.col("segment_id") - 1) & (F.col("prev_sequence") == F.col("sequence") - 1)
     ).otherwise(F.col("previous_hash") == F.col("prev_entry_hash"))
     linked = F.coalesce(follows, F.lit(False))
-    runs = scratch_table(
-        running_totals(lagged.withColumn("_break", (~linked).cast("int")), ["position"], {"run": F.col("_break")}).drop("_break"), "runs"
+    # both stand in stored tables; the rows that break the chain are the starts of runs
+    runs = running_totals(lagged.withColumn("_break", (~linked).cast("int")), ["position"], {"run": F.col("_break")})
+    starts = sized(
+        runs.filter("_break = 1").select(F.col("run").alias("child"), "previous_hash", "segment_id", "_seeded", F.col("position").alias("first")), "starts"
     )
     here = F.max(F.struct("position", "run")).alias("_at")
-    latest = runs.groupBy("entry_hash").agg(here)
-    closing = runs.groupBy("segment_id").agg(F.max_by(F.struct("position", "run"), F.struct("sequence", "position")).alias("_at"))
-    starts = runs.groupBy("run").agg(F.min_by(F.struct("previous_hash", "segment_id", "_seeded"), "position").alias("_f")).select(
-        F.col("run").alias("child"), "_f.*"
-    )
+    hashes = starts.filter(~F.col("_seeded")).select(F.col("previous_hash").alias("entry_hash"))
+    latest = runs.join(hashes, "entry_hash", "left_semi").groupBy("entry_hash").agg(here)
+    before = starts.filter("_seeded").select((F.col("segment_id") - 1).alias("segment_id"))
+    closing = runs.join(before, "segment_id", "left_semi").groupBy("segment_id").agg(F.max_by(F.struct("position", "run"), F.struct("sequence", "position")).alias("_at"))
     by_hash = starts.filter(~F.col("_seeded")).join(latest, starts.previous_hash == latest.entry_hash).select("child", "_at")
     by_segment = starts.filter("_seeded").withColumn("segment_id", F.col("segment_id") - 1).join(closing, "segment_id").select("child", "_at")
     jumps = scratch_table(
@@ -541,23 +634,33 @@ def reachable_chain(ledger: DataFrame, previous_head: str = GENESIS) -> DataFram
     hop = jumps.filter(F.col("parent") < F.col("child")).select("child", "parent", "upto")
     rounds = max(1, (tail[2] or 1).bit_length())
     for _ in range(rounds):
+        if hop.isEmpty():
+            break
         further = reached.join(hop, reached.run == hop.child).select(hop.parent.alias("run"), hop.upto)
         reached = scratch_table(reached.unionByName(further).groupBy("run").agg(F.max("upto").alias("upto")), "reached")
         ahead = hop.select(F.col("child").alias("parent"), F.col("parent").alias("_next"), F.col("upto").alias("_upto"))
         hop = scratch_table(hop.join(ahead, "parent").select("child", F.col("_next").alias("parent"), F.col("_upto").alias("upto")), "hop")
-    return runs.join(reached, "run").filter(F.col("position") <= F.col("upto")).select("position", "sequence", "entry_hash", "previous_hash")
+    return runs, starts.select(F.col("child").alias("run"), "first").join(reached, "run")
 
 
 def restore(ledger: DataFrame, public_key=None) -> DataFrame:
     """Log rows rebuilt from a mirror; refused when the mirror itself is not intact."""
-    failures = verify_ledger(ledger, RECOVERY, "position", GENESIS, public_key).filter(F.col("failure").isNotNull())
+    ledger = scratch_table(ledger, "ledger")
+    failures = verify_ledger(ledger, RECOVERY, "position", GENESIS, public_key, keep=[]).filter(F.col("failure").isNotNull())
     if not failures.isEmpty():
         raise ValueError("the mirror does not verify; nothing restored")
-    chain = reachable_chain(ledger).select("position")
-    rows = ledger.join(chain, "position", "left_semi").select(
+    spans = reachable_spans(ledger)[1]
+    few = spans.limit(FEW_SPANS + 1).collect()
+    if len(few) <= FEW_SPANS:  # the usual mirror is one run: no wide row has to move
+        inside = F.lit(False)
+        for span in few:
+            inside = inside | F.col("position").between(span["first"], span["upto"])
+        rows = ledger.filter(inside)
+    else:
+        rows = ledger.join(reachable_chain(ledger).select("position"), "position", "left_semi")
+    return rows.select(
         *(F.col(f"row.{name}").alias(name) for name in MIRROR_FIELDS), F.unbase64("row.payload_b64").alias("payload")
     )
-    return rows
 
 
 def restoration(ledger: DataFrame, reason: str, actor: str, restored_at: str, public_key=None) -> dict[str, DataFrame]:

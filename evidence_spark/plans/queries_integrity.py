@@ -73,7 +73,7 @@ checked AS (SELECT sequence, previous_hash = expected AS previous_hash_matches,
                                SEALED, EDITED, CHECKS, recursive=True))
 def verify_chain(spark, sf):
     """Rows that fail after the planted edits, with every check."""
-    checked = integrity.verify_rows(edited(proxy.sealed_log(spark, sf).rows), KEY)
+    checked = integrity.verify_rows(edited(proxy.sealed_log(spark, sf).rows), KEY, keep=[])
     return checked.filter(integrity.row_failed()).select(
         "sequence", "previous_hash_matches", "payload_hash_matches", "entry_material_matches", "entry_hash_matches", "key_id_matches"
     )
@@ -84,14 +84,14 @@ def verify_chain(spark, sf):
                                  SEALED, EDITED, CHECKS, recursive=True))
 def verify_summary(spark, sf):
     sealed = proxy.sealed_log(spark, sf)
-    _, summary = integrity.verify_chain(edited(sealed.rows), KEY, sealed.segments)
+    _, summary = integrity.verify_chain(edited(sealed.rows), KEY, sealed.segments, keep=[])
     return summary.drop("head_hash")
 
 
 @query("verify_intact", with_ev("SELECT true AS ok, count(*) AS checked_entries, CAST(NULL AS BIGINT) AS first_failure, true AS segments_ok, arg_max(entry_hash, sequence) AS head_hash FROM sealed", SEALED, recursive=True))
 def verify_intact(spark, sf):
     sealed = proxy.sealed_log(spark, sf)
-    return integrity.verify_chain(sealed.rows, KEY, sealed.segments)[1]
+    return integrity.verify_chain(sealed.rows, KEY, sealed.segments, keep=[])[1]
 
 
 @query("seal_lineitem", "SELECT CAST((n - 1) // 1000 AS BIGINT) AS segment_id, count(*) AS entry_count, min(n) AS first_sequence, max(n) AS last_sequence FROM (SELECT row_number() OVER () AS n FROM lineitem) GROUP BY 1")
@@ -128,7 +128,7 @@ def verify_ledger(spark, sf):
     bad = ledger.filter(at != 20).withColumn("recorded_at", F.when(at == 10, "later").otherwise(F.col("recorded_at"))).withColumn(
         "row", F.when(at == 30, F.col("row").withField("payload_b64", F.lit("eA=="))).otherwise(F.col("row"))
     )
-    return integrity.verify_ledger(bad, integrity.RECOVERY, "position").filter(F.col("failure").isNotNull()).select("position", "failure")
+    return integrity.verify_ledger(bad, integrity.RECOVERY, "position", keep=[]).filter(F.col("failure").isNotNull()).select("position", "failure")
 
 
 def _with_dead_branches(rows):
@@ -267,12 +267,12 @@ def restoration(spark, sf):
 def _readiness(spark, sf, broken):
     sealed = proxy.sealed_log(spark, sf)
     rows = edited(sealed.rows) if broken else sealed.rows
-    _, chain = integrity.verify_chain(rows, KEY, sealed.segments)
-    ledger = integrity.verify_ledger(integrity.mirror(sealed.rows, "2024-02-01T00:00:00", segment_rows=64), integrity.RECOVERY, "position")
+    _, chain = integrity.verify_chain(rows, KEY, sealed.segments, keep=[])
+    ledger = integrity.verify_ledger(integrity.mirror(sealed.rows, "2024-02-01T00:00:00", segment_rows=64), integrity.RECOVERY, "position", keep=[])
     records = evidence_records(spark, sf)
     cps = integrity.checkpoint(records.withColumn("batch", _batch()), "batch", "2024-02-01T00:00:00")
     checks = integrity.verify_checkpoints(cps, records)
-    book = integrity.ledger_summary(integrity.verify_ledger(cps.records, integrity.EVIDENCE, "checkpoint_id"), "checkpoint_id")
+    book = integrity.ledger_summary(integrity.verify_ledger(cps.records, integrity.EVIDENCE, "checkpoint_id", keep=[]), "checkpoint_id")
     return integrity.readiness(chain, integrity.ledger_summary(ledger, "position"), book, checks, records.count(), cps.records.count())
 
 
@@ -307,9 +307,9 @@ def integrity_status_broken(spark, sf):
 def _panel(spark, sf, broken):
     sealed = proxy.sealed_log(spark, sf)
     rows = sealed.rows.filter(F.col("sequence") != 17) if broken else sealed.rows
-    _, summary = integrity.verify_chain(rows, KEY, sealed.segments)
+    _, summary = integrity.verify_chain(rows, KEY, sealed.segments, keep=[])
     anchored = integrity.anchor(sealed.rows, 1, "2024-02-01T00:00:00", KEY)
-    ledger = integrity.verify_ledger(integrity.mirror(sealed.rows, "2024-02-01T00:00:00", segment_rows=64), integrity.RECOVERY, "position")
+    ledger = integrity.verify_ledger(integrity.mirror(sealed.rows, "2024-02-01T00:00:00", segment_rows=64), integrity.RECOVERY, "position", keep=[])
     kept = integrity.ledger_summary(ledger, "position")
     none = spark.createDataFrame([], "batch_size_matches boolean, leaf_hashes_match boolean, merkle_root_matches boolean, ledger_matches boolean")
     book = summary.select(F.lit(True).alias("ok"))

@@ -127,3 +127,36 @@ def test_gate(spark):
     assert integrity.gated(data, good).count() == 5 and integrity.gated(data, bad).count() == 0
     with pytest.raises(PermissionError):
         integrity.gated(data, bad, require=True)
+
+
+def plan(df):
+    return df._jdf.queryExecution().toString()
+
+
+def test_rows_are_moved_once_and_without_hashed_texts(spark):
+    whole = integrity.seal(raw(spark, 40_000).withColumn("id", F.col("id") % 39_000), ["id"], segment_rows=50, key_id=KEY)
+    shown = plan(whole._chained)
+    assert "FlatMapGroups" not in shown and shown.split("== Physical Plan ==")[1].count("Exchange ") == 1
+    rows = whole.rows
+    assert rows.agg(F.count("*"), F.countDistinct("sequence"), F.max("sequence")).first()[0:3] == (40_000, 40_000, 40_000)
+    assert integrity.verify_chain(rows, KEY, whole.segments, keep=[])[1].first()["ok"]
+    assert whole.segments.filter("entry_count <> 50").count() == 0
+
+
+def test_segment_table_without_stored_rows(spark):
+    one, two = (integrity.seal(raw(spark, 1000), ["id"], segment_rows=64, key_id=KEY) for _ in range(2))
+    assert two.rows.count() == 1000
+    assert sorted(one.segments.collect()) == sorted(two.segments.collect()) and "rows" not in one.__dict__
+    assert one.head.first() == two.head.first()
+
+
+def test_kept_columns_only_are_put_in_order(sealed):
+    checked = integrity.verify_rows(sealed.rows, KEY, keep=["source_offset"])
+    assert "payload" not in checked.columns and "source_offset" in checked.columns and checked.filter(integrity.row_failed()).isEmpty()
+    ledger = integrity.mirror(sealed.rows, "now", segment_rows=64)
+    assert integrity.verify_ledger(ledger, integrity.RECOVERY, "position", keep=[]).columns == ["position", "segment_id", "previous_ledger_hash", "ledger_hash", "failure"]
+
+
+def test_restore_of_many_runs(sealed, monkeypatch):
+    monkeypatch.setattr(integrity, "FEW_SPANS", 0)
+    assert integrity.restore(integrity.mirror(sealed.rows, "now", segment_rows=64)).count() == 200

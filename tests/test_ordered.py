@@ -81,3 +81,18 @@ def test_plans_have_no_single_task_stage_over_data(spark):
     for out in (ordered.ordered_lag(df, ["key"], ["t", "id"], ["t"]), ordered.global_sequence(df, ["id"], "n"), ordered.rolling_count(df, ["key"], "t", "id", 1)):
         plan = out._jdf.queryExecution().executedPlan().toString()
         assert "SinglePartition" not in plan and "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+
+def test_whole_ranges_keep_ties_together(spark):
+    # 12 rows of each number, so most cuts at multiples of 50 would part equal rows
+    df = spark.range(3000).select((F.col("id") % 250).alias("k"), F.when(F.col("id") % 250 > 3, F.col("id") % 250).alias("t")).repartition(5)
+    cut = ordered.whole_ranges(df, ["t", "k"], 50, least_rows=100)
+    sizes = {r._range: r["count"] for r in df.withColumn("_range", cut.column).groupBy("_range").count().collect()}
+    assert [sizes[i] for i in range(len(cut.sizes))] == cut.sizes and len(cut.sizes) > 1
+    assert all(s % 50 == 0 and s % 12 == 0 for s in cut.starts)
+
+
+def test_running_totals_start_behind_nulls(spark):
+    df = spark.createDataFrame([(i, None if i < 3 else 1) for i in range(100)], "id int, m int")
+    got = {r.id: r.s for r in ordered.running_totals(df, ["id"], {"s": F.col("m")}).collect()}
+    assert got[99] == 97 and got[3] == 1
