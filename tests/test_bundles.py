@@ -63,3 +63,11 @@ def test_table_sinks(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "t")).filter("domain = 'a'").count() == 1
     sinks.write_explanations(df, str(tmp_path / "e"))
     assert [r.sequence for r in spark.read.json(str(tmp_path / "e")).orderBy("timestamp").collect()] == [2, 1]
+
+
+def test_events_are_spread_before_they_grow(spark, tmp_path):
+    from evidence_spark.plans import proxy
+
+    spark.sql("select id as event_id, timestamp_ntz'2024-01-01 00:00:00' as ts, id as user_id, 'click' as event_type, 1.5D as value, '{\"k\": 3}' as props from range(50)").coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    rows = proxy.evidence(spark, str(tmp_path))
+    assert rows.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism and rows.count() == 50
