@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import hashlib
 import os
+import struct
 
 import numpy as np
 import pyarrow as pa
@@ -33,14 +34,15 @@ def cuts(body: bytes) -> list[int]:
     """Where chunks begin, 0 included: after 8-byte grams whose hash has its low bits zero, at
     least ``LEAST`` bytes after the cut before, at the start of a character."""
     found = [0]
-    data = np.frombuffer(body, np.uint8)
     for at in range(0, len(body) - GRAM, _SEGMENT):
         n = min(_SEGMENT, len(body) - GRAM - at)
-        x = np.zeros(n, np.uint64)
-        for i in range(GRAM):
-            x = (x << np.uint64(8)) | data[at + i : at + i + n]
-        x = (x ^ (x >> np.uint64(31))) * _MULTIPLY
-        for c in (np.flatnonzero((x >> np.uint64(40)) & np.uint64(MEAN - 1) == 0) + at + GRAM).tolist():
+        # a gram is eight bytes read as one number, at every place of the text
+        x = np.ndarray((n,), ">u8", body, at, (1,)).astype(np.uint64)
+        x ^= x >> np.uint64(31)
+        x *= _MULTIPLY
+        x >>= np.uint64(40)
+        x &= np.uint64(MEAN - 1)
+        for c in (np.flatnonzero(x == 0) + at + GRAM).tolist():
             while c < len(body) and body[c] & 0xC0 == 0x80:
                 c += 1
             if c - found[-1] >= LEAST and c < len(body):
@@ -74,7 +76,8 @@ class Encoder:
             self.known.clear()
         new = [w for w in dict.fromkeys(words) if w not in self.known]
         for word, e in zip(new, self.model.encode_batch_fast([w.decode() for w in new], add_special_tokens=False) if new else []):
-            self.known[word] = np.array(e.ids, "<u4").tobytes()
+            found = e.ids
+            self.known[word] = struct.pack(f"<{len(found)}I", *found)
         return b"".join(map(self.known.__getitem__, words))
 
     def decode(self, ids: bytes) -> str:
