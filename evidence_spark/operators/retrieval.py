@@ -87,12 +87,13 @@ def words_with(vocabulary: DataFrame, keywords: DataFrame) -> DataFrame:
 
     Both tables have one column ``word`` of distinct texts of three characters or more. A
     keyword meets the words under its rarest character trigram only; they are then compared
-    whole. Trigrams grow with the vocabulary, not with the texts.
+    whole. The vocabulary's trigrams are counted and then only those asked for are joined; they are
+    never stored.
     """
     grams = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - 2), lambda i: F.substring(c, i, F.lit(3))))
-    index = scratch_table(vocabulary.filter(F.length("word") >= 3).select("word", F.explode(grams(F.col("word"))).alias("gram")), "trigrams")
+    index = vocabulary.filter(F.length("word") >= 3).select("word", F.explode(grams(F.col("word"))).alias("gram"))
     asked = keywords.filter(F.length("word") >= 3).select(F.col("word").alias("keyword"), F.explode(grams(F.col("word"))).alias("gram"))
-    sizes = index.join(asked.select("gram").distinct(), "gram", "left_semi").groupBy("gram").agg(F.count(F.lit(1)).alias("_n"))
+    sizes = index.join(sized(asked.select("gram").distinct(), "grams"), "gram", "left_semi").groupBy("gram").agg(F.count(F.lit(1)).alias("_n"))
     rarest = asked.join(sized(sizes, "trigram-sizes"), "gram", "left").groupBy("keyword").agg(
         F.min_by("gram", F.struct(F.coalesce("_n", F.lit(0)), "gram")).alias("gram")  # a trigram no word has finds nothing
     )
@@ -109,15 +110,21 @@ def document_context(
     question meets only documents it shares a word with, never all of them. A keyword is
     found as a whole word, with ``inside`` also within a longer one, as snippets score it.
     """
-    ready = scratch_table(indexable(docs).filter("text_available").select("doc_id", "uploaded_at", "text"), "searchable")
     words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(1)))
+    ready = scratch_table(indexable(docs).filter("text_available").select("doc_id", "uploaded_at", "text", words.alias("_words")), "searchable")
     asked = scratch_table(questions.select("question_id", tx.question_keywords(F.col("question")).alias("_keys")), "asked")
     wanted = asked.select("question_id", F.explode("_keys").alias("word"))
-    listed = ready.select("doc_id", "uploaded_at", F.explode(words).alias("word"))
+    listed = ready.select("doc_id", "uploaded_at", F.explode("_words").alias("word"))
     if inside:
-        listed = scratch_table(listed, "listed")
-        held = words_with(listed.select("word").distinct(), wanted.select("word").distinct())
-        listed = listed.join(sized(held, "held"), "word").select("doc_id", "uploaded_at", F.col("keyword").alias("word")).distinct()
+        vocabulary = scratch_table(listed.select("word").distinct(), "vocabulary")
+        held = words_with(vocabulary, wanted.select("word").distinct())
+        listed = listed.join(sized(held, "held"), "word").select("doc_id", "uploaded_at", F.col("keyword").alias("word"))
+        if n is not None:
+            # a document counts once however many of its words hold the keyword; ranked before they
+            # are made distinct, as each task then sends on the newest of its own only
+            of_word = Window.partitionBy("word").orderBy(F.desc("uploaded_at"), "doc_id")
+            listed = listed.withColumn("_r", F.dense_rank().over(of_word)).filter(F.col("_r") <= n).drop("_r")
+        listed = listed.distinct()
     else:
         listed = listed.join(wanted.select("word").distinct(), "word", "left_semi")
     if n is not None:
@@ -128,7 +135,7 @@ def document_context(
     if n is not None:
         newest = Window.partitionBy("question_id").orderBy(F.desc("uploaded_at"), "doc_id")
         met = met.withColumn("_r", F.row_number().over(newest)).filter(F.col("_r") <= n)
-    rows = met.select("question_id", "doc_id").join(asked, "question_id").join(ready.select("doc_id", "text"), "doc_id")
+    rows = sized(met.select("question_id", "doc_id"), "met").join(asked, "question_id").join(ready.select("doc_id", "text"), "doc_id")
     found = best_snippets(F.col("text"), F.col("_keys"), snippets)
     some = rows.withColumn("_found", F.coalesce(found, F.array().cast("array<struct<score:int,position:int,snippet:string>>")))
     excerpt = F.col("text") if excerpt_chars is None else F.substring("text", 1, excerpt_chars)

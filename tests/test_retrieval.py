@@ -50,3 +50,15 @@ def test_document_context_inside_longer_words(spark):
     assert {(r["question_id"], r["doc_id"], r["note"]) for r in got} == {(1, 1, "relevant text found"), (2, 1, "relevant text found")}
     notes = retrieval.unreadable_documents(docs.unionByName(spark.createDataFrame([(5, 5, "short")], docs.schema))).collect()
     assert {(r["doc_id"], r["note"]) for r in notes} == {(3, "no text"), (4, "no text"), (5, "text is not readable")}
+
+
+def test_the_vocabulary_meets_keywords_without_stored_trigrams_or_word_lists(spark, monkeypatch):
+    prose = "The network reports list alpha beta gamma delta epsilon zeta theta kappas kappa subkappa lambda sigma omega risk controls and further findings about words and frames."
+    docs = spark.createDataFrame([(i, i % 4, prose) for i in range(9)] + [(8, 8 % 4, prose)], "doc_id long, uploaded_at long, text string")
+    questions = spark.createDataFrame([(1, "kappa"), (2, "lambd")], "question_id long, question string")
+    stored, plain = {}, retrieval.scratch_table
+    monkeypatch.setattr(retrieval, "scratch_table", lambda df, label: stored.setdefault(label, plain(df, label)))
+    got = retrieval.document_context(docs, questions, 3, inside=True).select("question_id", "doc_id").distinct().collect()
+    # newest first, then the smaller number; three words of a document hold the first keyword
+    assert {tuple(r) for r in got} == {(q, d) for q in (1, 2) for d in (3, 7, 2)}
+    assert set(stored) == {"searchable", "asked", "vocabulary"}
