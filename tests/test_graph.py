@@ -1,5 +1,6 @@
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -104,3 +105,28 @@ def test_betweenness_of_a_long_path(spark):
     nodes, rows = tables(spark, [(a, b, 1) for a, b in zip(names, names[1:])])
     got = {r.id: r.centrality for r in graph.betweenness(nodes, rows).collect()}
     assert [got[n] for n in names] == [0.0, 0.2, 0.3, 0.3, 0.2, 0.0]
+
+
+def test_betweenness_stores_as_few_tables_for_long_paths(spark, monkeypatch):
+    stored, plain = [], graph.scratch_table
+    monkeypatch.setattr(graph, "scratch_table", lambda df, label: stored.append(label) or plain(df, label))
+    rng = random.Random(7)
+    names = [f"n{i:02d}" for i in range(40)]
+    edges = [(a, b, 1) for a, b in zip(names, names[1:])] + [(a, b, rng.randrange(1, 4)) for a in names for b in names if a < b and rng.random() < 0.05]
+    edges += [("n05", "n02", 3), ("n30", "n28", 1)]
+    nodes, rows = tables(spark, edges, ["lone"])
+    got = {r.id: r.centrality for r in graph.betweenness(nodes, rows).collect()}
+    want = brandes([*names, "lone"], edges, True)
+    assert got.keys() == want.keys() and all(abs(got[v] - want[v]) < 1e-4 for v in want)
+    assert len(stored) < 10
+
+
+def test_shares_of_a_group_do_not_depend_on_how_many_sources_go_at_a_time(monkeypatch):
+    rng = random.Random(9)
+    arcs = sorted({(a, b) for a in range(30) for b in range(30) if a != b and rng.random() < 0.1})
+    arcs = pa.table({"a": [1 << 40 | a for a, _ in arcs], "b": [1 << 40 | b for _, b in arcs], "w": [1 + (a + b) % 3 for a, b in arcs]})
+    roots = pa.table({"k": arcs["a"].unique()})
+    whole = graph._shares(roots, arcs)
+    monkeypatch.setattr(graph, "CELLS", 1)
+    single = graph._shares(roots, arcs)
+    assert whole["k"].equals(single["k"]) and whole["x"].to_pylist() == pytest.approx(single["x"].to_pylist())
