@@ -92,7 +92,7 @@ def without_frequent_lines(docs: DataFrame, least_documents: int = 10, least_poi
     hit = join_checked(hashes.select("k1", "k2", "h1", "h2"), runs.found_often(), ["h1", "h2"], "inner")
     per_document = scratch_table(hit.groupBy("k1", "k2").agg(F.collect_set(F.struct("h1", "h2")).alias("often")), "line-hits")
     # the text travels once, within its row, and by the same kind of join at any size
-    joined = keyed(docs).select("row", "k1", "k2").join(per_document, ["k1", "k2"], "left")
+    joined = keyed(docs).select("row", "k1", "k2").join(per_document.hint("merge"), ["k1", "k2"], "left")
     lines = F.split(F.coalesce("row.text", F.lit("")), "\n", -1)
     stay = F.when(F.col("often").isNull(), lines).otherwise(F.filter(lines, lambda x: ~F.array_contains("often", _hash(line_key(x)))))
     split = joined.select("k1", "k2", "row", F.size(lines).cast("long").alias("n_lines"), stay.alias("stay"))

@@ -10,6 +10,8 @@ Of pairs at 0.8 the segments meet about 0.9, of pairs at 0.9 nearly all.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -74,11 +76,12 @@ def sketch(found: np.ndarray) -> tuple[int, list[int], list[int]]:
 def _sketches(docs: DataFrame) -> DataFrame:
     def rows(c):
         for k1, k2, doc, body in zip(c["k1"], c["k2"], c["doc_id"], c["body"]):
-            yield k1, k2, doc, *sketch(shingles(body))
+            found = shingles(body)
+            yield k1, k2, doc, len(found), *sketch(found)
 
     plain = keyed(docs).select("k1", "k2", F.col("doc_id").cast("long").alias("doc_id"), "body")
-    types = [pa.int64()] * 4 + [pa.list_(pa.int64())] * 2
-    return map_rows(plain, "k1 long, k2 long, doc_id long, node long, words array<long>, sigs array<long>", rows, ["k1", "k2", "doc_id", "node", "words", "sigs"], types, 5000)
+    types = [pa.int64()] * 5 + [pa.list_(pa.int64())] * 2
+    return map_rows(plain, "k1 long, k2 long, doc_id long, size long, node long, words array<long>, sigs array<long>", rows, ["k1", "k2", "doc_id", "size", "node", "words", "sigs"], types, 5000)
 
 
 def _sets(docs: DataFrame, nodes: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -148,26 +151,59 @@ def _rest(mixed: DataFrame) -> DataFrame:
     return left.join(right, "sig").filter(apart & (_apart(F.col("x"), F.col("y")) <= REACH_ALL)).select("a", "b", "la", "lb").distinct()
 
 
+def _close(x: str, y: str) -> Column:
+    return F.expr(f"bit_count({x} ^ {y}) <= {REACH}")
+
+
+def _with_first(few: DataFrame) -> DataFrame:
+    """(a, b): each member of a signature with its first one, so there are no more rows than members."""
+    first = few.select(F.col("first.node").alias("a"), F.col("first.bits").alias("x"), F.col("node").alias("b"), F.col("bits").alias("y"))
+    return scratch_table(first.filter((F.col("a") < F.col("b")) & _close("x", "y")).select("a", "b").distinct(), "copies-pairs")
+
+
+def _between(few: DataFrame, labels: DataFrame) -> DataFrame:
+    """(a, b, la, lb): all pairs of members of a signature that have different labels. A signature
+    within one component has no row. Sets at 0.8 or more differ in size by a quarter at most, so
+    only those of the same or a neighbouring step of size meet: texts that share a signature by
+    chance, whose number grows with the square of the texts, mostly do not."""
+    known = few.select("sig", "node", "bits", F.floor(F.log("size") / F.lit(math.log(1.26))).alias("step"))
+    known = scratch_table(known.join(labels, "node"), "copies-known")
+    several = known.groupBy("sig").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("sig")
+    known = scratch_table(known.join(several, "sig", "left_semi"), "copies-several")
+    left, right = (known.select("sig", "step", F.col("node").alias(n), F.col("bits").alias(x), F.col("label").alias(f"l{n}")) for n, x in (("a", "x"), ("b", "y")))
+    left = left.withColumn("step", F.explode(F.array(F.col("step") - 1, F.col("step"), F.col("step") + 1)))
+    pairs = left.join(right, ["sig", "step"]).filter((F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & _close("x", "y"))
+    return scratch_table(pairs.select("a", "b", "la", "lb").distinct(), "copies-pairs")
+
+
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node")))
+
+
 def _labels(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     """(node, label): the components of all verified links.
 
-    Signatures of one text leave after one count. Those that few share give all their pairs; of
+    Signatures of one text leave after one count. In those that few share, each text is first held
+    against the first one; then all pairs of texts that this left in different components are.
+    Pairs within a component could join nothing more. Of
     the others each text is held against the nearest centre, one pair a text, then once more what is
     outside a signature's largest component; what still is, is compared with the other
     components. A signature within one component has no rows any more.
     """
-    sigs = nodes.select("node", F.col("words")[5].alias("bits"), F.explode("sigs").alias("sig"))
-    shared = scratch_table(sigs.groupBy("sig").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "copies-shared")
+    sigs = nodes.select("node", "size", F.col("words")[5].alias("bits"), F.explode("sigs").alias("sig"))
+    counted = sigs.groupBy("sig").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("node", "bits")).alias("first"))
+    shared = scratch_table(counted.filter("n > 1"), "copies-shared")
     members = scratch_table(join_checked(sigs, shared, ["sig"], "inner"), "copies-members")
     limit = DENSE + 4 * (nodes.count() >> (WIDTH - 1))
     few, dense = members.filter(F.col("n") <= limit), members.filter(F.col("n") > limit).select("sig", "node")
-    left, right = few.select("sig", F.col("node").alias("a"), F.col("bits").alias("x")), few.select("sig", F.col("node").alias("b"), F.col("bits").alias("y"))
-    pairs = left.join(right, "sig").filter(f"a < b AND bit_count(x ^ y) <= {REACH}").select("a", "b").distinct()
-    pairs = scratch_table(pairs, "copies-pairs")
-    wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).unionByName(dense.select("node")).distinct()
-    sets = _sets(docs, nodes, wanted)
+    pairs = _with_first(few)
+    sets = _sets(docs, nodes, _ends(pairs).unionByName(dense.select("node")).distinct())
     alone = nodes.select("node", F.col("node").alias("label"))
     labels = _merged(alone, _verified(pairs.select("a", "b", F.col("a").alias("la"), F.col("b").alias("lb")), sets))
+    pairs = _between(few, labels)
+    if not pairs.isEmpty():
+        more = _sets(docs, nodes, _ends(pairs).distinct().join(sets.select("node"), "node", "left_anti"))
+        labels = _merged(labels, _verified(pairs, sets.unionByName(more)))
     if dense.isEmpty():
         return labels
     sets = scratch_table(sets.join(dense.select("node").distinct(), "node", "left_semi"), "copies-dense-sets")
@@ -193,9 +229,9 @@ def classes(docs: DataFrame) -> DataFrame:
     """
     drawn = scratch_table(_sketches(docs), "copies-sketches")
     prints = drawn.select("k1", "k2", "doc_id", "node")
-    one = F.struct("k1", "k2", "words", "sigs")
+    one = F.struct("k1", "k2", "words", "sigs", "size")
     nodes = drawn.groupBy("node").agg(F.min(F.struct("k1", "k2")).alias("first"), F.min("doc_id").alias("least"), F.min(one).alias("one"))
-    nodes = scratch_table(nodes.select("node", "first", "least", "one.words", "one.sigs"), "copies-nodes")
+    nodes = scratch_table(nodes.select("node", "first", "least", "one.words", "one.sigs", "one.size"), "copies-nodes")
     labels = _labels(docs, nodes)
     named = scratch_table(nodes.select("node", "least").join(labels, "node").withColumnRenamed("label", "component"), "copies-components")
     least = named.groupBy("component").agg(F.min("least").alias("component_id"))

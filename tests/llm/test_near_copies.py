@@ -106,3 +106,18 @@ def test_awkward_rows(spark):
     kept = near_copies.one_of_each(docs)
     assert kept.columns == docs.columns and kept.count() == len(set(truth.values()))
     assert near_copies.one_of_each(docs.limit(0)).count() == 0
+
+
+def test_pairs_within_a_component_and_of_other_sizes_are_not_compared(spark, monkeypatch):
+    stored, plain = {}, near_copies.scratch_table
+    monkeypatch.setattr(near_copies, "scratch_table", lambda df, label: stored.setdefault(label, []).append(plain(df, label)) or stored[label][-1])
+    r = random.Random(3)
+    base = [f"w{r.randrange(5000)}" for _ in range(400)]
+    texts = [" ".join([*base[:k], f"x{k}", *base[k + 1 :]]) for k in range(0, 400, 33)]  # all of one component
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert near_copies.classes(docs).select("component_id").distinct().count() == 1
+    assert sum(t.count() for t in stored["copies-pairs"]) < len(texts) * (len(texts) - 1) // 2
+    rows = [(1, 10, 0, 100), (1, 11, 0, 79), (1, 12, 0, 126), (1, 13, 0, 40)]
+    few = spark.createDataFrame(rows, "sig long, node long, bits long, size long")
+    met = near_copies._between(few, few.select("node", few.node.alias("label")))
+    assert {(x.a, x.b) for x in met.collect()} == {(10, 11), (10, 12)}
