@@ -7,12 +7,14 @@ near-dedup, where they are copies of each other.
 
 from __future__ import annotations
 
+from functools import partial
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evidence_spark.llm import line_dedup, near_copies, packing, quality, suffix_dedup
-from evidence_spark.session import scratch_table
+from evidence_spark.session import scratch_result, scratch_table
 
 
 def _counted(docs: DataFrame) -> DataFrame:
@@ -58,10 +60,11 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; each result is stored and read again by the next stage."""
+    """All stages over ``documents``; each result is stored and read again by the next stage, and
+    what else a stage stored is removed then."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = scratch_table(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        docs = scratch_result(spark, partial(stage, spark, docs, sf_dir), name.replace(" ", "-"))
     return STAGES[-1][1](spark, docs, sf_dir)
 
 

@@ -5,7 +5,9 @@ fingerprint. So a text has 15 segments of 21 bits, and a pair is a candidate whe
 differs by at most one bit: it then agrees in a segment with that bit left out. Left out are only the
 six bits of a segment whose votes were closest, as these are the ones that flip. Candidates are
 compared on 64 further bits, in large groups on all bits, and then verified by their whole shingle sets, so each link is true.
-Of pairs at 0.8 the segments meet about 0.9, of pairs at 0.9 nearly all.
+Of pairs at 0.8 the segments meet about 0.9, of pairs at 0.9 nearly all. Beyond a million texts the
+segments grow longer with the number of texts, and more, so that as few texts share one by chance
+and as many near copies do.
 """
 
 from __future__ import annotations
@@ -15,7 +17,7 @@ import math
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evidence_spark.llm.common import join_checked, keyed, map_rows
@@ -25,16 +27,17 @@ from evidence_spark.session import scratch_table
 
 WORDS, SEED = 5, 42
 SEGMENTS, WIDTH, SOFT = 15, 21, 6
+#: For up to so many texts; a segment has a bit more for each doubling. Share of bits that differ at 0.8.
+PLENTY, FLIPS = 1 << 20, 0.15
 #: At similarity 0.8 about 10 of 64 bits differ, with a deviation of 3, and 58 of 384, with one of 7.
 REACH, REACH_ALL = 20, 76
-#: Signatures shared by so many texts more than chance has it are searched through centres first.
+#: Signatures shared by more texts, which chance alone does not bring about, are searched through centres first.
 DENSE, CENTRES, TURNS = 16, 8, 2
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.float32)
 #: 64 more bits of a shingle for each: five for the segments, the last to compare candidates.
 _LANES = np.array([xxhash.xxh64_intdigest(b"lane", seed) | 1 for seed in range(6)], np.uint64)
 _PLACE = np.arange(48, dtype=np.int64) * 256
-_POWERS = 1 << np.arange(WIDTH, dtype=np.int64)
 
 
 def shingles(body: bytes) -> np.ndarray:
@@ -50,9 +53,21 @@ def shingles(body: bytes) -> np.ndarray:
     return np.unique(np.fromiter((digest(joined[s:e], SEED) for s, e in zip(starts, stops)), np.uint64, last))
 
 
-def sketch(found: np.ndarray) -> tuple[int, list[int], list[int]]:
-    """(node, words, sigs) of a shingle set: its identity, its 384 bits, 90 signatures. A set
-    without shingles is node 0 and has no signature."""
+def segments(texts: int) -> np.ndarray:
+    """The places of the bits of each segment among the first 320, for so many texts. Segments
+    too many or too long to lie side by side each have their own choice of bits."""
+    width = WIDTH + max(0, math.ceil(math.log2(max(1, texts) / PLENTY)))
+    meet = lambda w: (1 - FLIPS) ** w + w * FLIPS * (1 - FLIPS) ** (w - 1)
+    many = math.ceil(SEGMENTS * meet(WIDTH) / meet(width))
+    if many * width <= 320:
+        return np.arange(many * width).reshape(many, width)
+    order = [sorted(range(320), key=lambda bit: xxhash.xxh64_intdigest(bit.to_bytes(2, "little"), s)) for s in range(many)]
+    return np.array(order)[:, :width]
+
+
+def sketch(found: np.ndarray, places: np.ndarray) -> tuple[int, list[int], list[int]]:
+    """(node, words, sigs) of a shingle set: its identity, its 384 bits, six signatures for each
+    of the ``segments``. A set without shingles is node 0 and has no signature."""
     if not len(found):
         return 0, [0] * 6, []
     counts = np.zeros(48 * 256, np.int64)
@@ -63,21 +78,24 @@ def sketch(found: np.ndarray) -> tuple[int, list[int], list[int]]:
         counts += np.bincount((mixed.astype(">u8").view(np.uint8).reshape(-1, 48) + _PLACE).ravel(), minlength=48 * 256)
     votes = 2 * (counts.reshape(48, 256).astype(np.float32) @ _BITS).ravel().astype(np.int64) - len(found)
     ones = votes > 0
-    cut = slice(0, SEGMENTS * WIDTH)
-    value = ones[cut].reshape(SEGMENTS, WIDTH) @ _POWERS
-    soft = np.argsort(np.abs(votes[cut]).reshape(SEGMENTS, WIDTH), axis=1, kind="stable")[:, :SOFT]
-    number = np.arange(SEGMENTS)[:, None] * WIDTH + soft
-    sigs = (number << WIDTH) | (value[:, None] & ~_POWERS[soft])
+    many, width = places.shape
+    powers = 1 << np.arange(width, dtype=np.int64)
+    value = ones[places] @ powers
+    soft = np.argsort(np.abs(votes[places]), axis=1, kind="stable")[:, :SOFT]
+    number = np.arange(many)[:, None] * width + soft
+    sigs = (number << width) | (value[:, None] & ~powers[soft])
     words = np.packbits(ones).view(">i8").tolist()
     node = xxhash.xxh64_intdigest(found.tobytes(), SEED)
     return node - (1 << 64) if node >> 63 else node, words, sigs.ravel().tolist()
 
 
 def _sketches(docs: DataFrame) -> DataFrame:
+    places = segments(docs.count())
+
     def rows(c):
         for k1, k2, doc, body in zip(c["k1"], c["k2"], c["doc_id"], c["body"]):
             found = shingles(body)
-            yield k1, k2, doc, len(found), *sketch(found)
+            yield k1, k2, doc, len(found), *sketch(found, places)
 
     plain = keyed(docs).select("k1", "k2", F.col("doc_id").cast("long").alias("doc_id"), "body")
     types = [pa.int64()] * 5 + [pa.list_(pa.int64())] * 2
@@ -157,8 +175,18 @@ def _close(x: str, y: str) -> Column:
 
 def _with_first(few: DataFrame) -> DataFrame:
     """(a, b): each member of a signature with its first one, so there are no more rows than members."""
-    first = few.select(F.col("first.node").alias("a"), F.col("first.bits").alias("x"), F.col("node").alias("b"), F.col("bits").alias("y"))
-    return scratch_table(first.filter((F.col("a") < F.col("b")) & _close("x", "y")).select("a", "b").distinct(), "copies-pairs")
+    first = F.min(F.struct("node", "bits")).over(Window.partitionBy("sig"))
+    first = few.select(first.alias("first"), F.col("node").alias("b"), F.col("bits").alias("y"))
+    first = first.select(F.col("first.node").alias("a"), F.col("first.bits").alias("x"), "b", "y")
+    return first.filter((F.col("a") < F.col("b")) & _close("x", "y")).select("a", "b")
+
+
+def _shared(sigs: DataFrame) -> DataFrame:
+    """(sig, n, a, b), stored: signatures of several texts with the first and the last one. Of two
+    texts this is the pair, and ``apart`` is what differs between them, so those that are
+    not near copies, which most that meet by chance are, leave without a join."""
+    counted = sigs.groupBy("sig").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("a"), F.max("node").alias("b"), F.bit_xor("bits").alias("apart"))
+    return scratch_table(counted.filter(f"n > 2 OR n = 2 AND bit_count(apart) <= {REACH}").drop("apart"), "copies-shared")
 
 
 def _between(few: DataFrame, labels: DataFrame) -> DataFrame:
@@ -183,7 +211,8 @@ def _ends(pairs: DataFrame) -> DataFrame:
 def _labels(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     """(node, label): the components of all verified links.
 
-    Signatures of one text leave after one count. In those that few share, each text is first held
+    Signatures of one text leave after one count, and those of two are pairs by then. In those that
+    few share, each text is first held
     against the first one; then all pairs of texts that this left in different components are.
     Pairs within a component could join nothing more. Of
     the others each text is held against the nearest centre, one pair a text, then once more what is
@@ -191,12 +220,10 @@ def _labels(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     components. A signature within one component has no rows any more.
     """
     sigs = nodes.select("node", "size", F.col("words")[5].alias("bits"), F.explode("sigs").alias("sig"))
-    counted = sigs.groupBy("sig").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("node", "bits")).alias("first"))
-    shared = scratch_table(counted.filter("n > 1"), "copies-shared")
-    members = scratch_table(join_checked(sigs, shared, ["sig"], "inner"), "copies-members")
-    limit = DENSE + 4 * (nodes.count() >> (WIDTH - 1))
-    few, dense = members.filter(F.col("n") <= limit), members.filter(F.col("n") > limit).select("sig", "node")
-    pairs = _with_first(few)
+    shared = _shared(sigs)
+    members = scratch_table(join_checked(sigs, shared.filter("n > 2").select("sig", "n"), ["sig"], "inner"), "copies-members")
+    few, dense = members.filter(F.col("n") <= DENSE), members.filter(F.col("n") > DENSE).select("sig", "node")
+    pairs = scratch_table(_with_first(few).unionByName(shared.filter("n = 2").select("a", "b")).distinct(), "copies-pairs")
     sets = _sets(docs, nodes, _ends(pairs).unionByName(dense.select("node")).distinct())
     alone = nodes.select("node", F.col("node").alias("label"))
     labels = _merged(alone, _verified(pairs.select("a", "b", F.col("a").alias("la"), F.col("b").alias("lb")), sets))

@@ -121,3 +121,37 @@ def test_pairs_within_a_component_and_of_other_sizes_are_not_compared(spark, mon
     few = spark.createDataFrame(rows, "sig long, node long, bits long, size long")
     met = near_copies._between(few, few.select("node", few.node.alias("label")))
     assert {(x.a, x.b) for x in met.collect()} == {(10, 11), (10, 12)}
+
+
+def test_signatures_of_two_texts_need_no_join(spark, monkeypatch):
+    stored, plain = {}, near_copies.scratch_table
+    monkeypatch.setattr(near_copies, "scratch_table", lambda df, label: stored.setdefault(label, []).append(plain(df, label)) or stored[label][-1])
+    r = random.Random(11)
+    bases = [[f"w{r.randrange(10**6)}" for _ in range(300)] for _ in range(20)]
+    texts = [" ".join(t) for b in bases for t in (b, edited(r, b, 3))]
+    got = {x["doc_id"]: x["component_id"] for x in found(spark, [(i, t, "en", i, "s", 1) for i, t in enumerate(texts)])}
+    assert got == {i: i - i % 2 for i in range(40)}
+    assert stored["copies-shared"][0].count() > 20 and stored["copies-members"][0].count() == 0
+    rows = [(1, 10, 0), (1, 11, -1), (2, 12, 0), (2, 10, 3), (3, 10, 0), (3, 11, -1), (3, 12, 5), (4, 10, 0)]
+    shared = near_copies._shared(spark.createDataFrame(rows, "sig long, node long, bits long"))
+    assert {tuple(x) for x in shared.collect()} == {(2, 2, 10, 12), (3, 3, 10, 12)}
+
+
+def test_longer_segments_for_more_texts_meet_as_many_copies(spark, monkeypatch):
+    for texts in (0, 1, 1 << 20):
+        assert near_copies.segments(texts).tolist() == [[21 * i + j for j in range(21)] for i in range(15)]
+    for doublings in (1, 4, 10):
+        places = near_copies.segments(near_copies.PLENTY << doublings)
+        assert places.shape[1] == 21 + doublings and all(len(set(p)) == len(p) and max(p) < 320 for p in places.tolist())
+    texts = planted(5)
+    monkeypatch.setattr(near_copies, "PLENTY", len(texts) >> 5)
+    got = {x["doc_id"]: x["component_id"] for x in found(spark, [(i, t, "en", i, "s", 1) for i, t in enumerate(texts)])}
+    place = {}
+    for i, t in enumerate(texts):
+        place.setdefault(grams(t), i)
+    links = plain_links(texts)
+    met = [(got[place[a]] == got[place[b]], s) for a, b, s in links]
+    low, high = [m for m, s in met if s < 0.85], [m for m, s in met if s >= 0.85]
+    assert len(low) > 20 and sum(low) >= 0.85 * len(low) and sum(high) >= 0.97 * len(high)
+    truth = plain_classes(texts, links)
+    assert all(truth[grams(t)] == truth[grams(texts[got[i]])] for i, t in enumerate(texts))

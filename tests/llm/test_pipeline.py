@@ -8,6 +8,7 @@ import public_tokenizers
 from tokenizers import Tokenizer
 
 import corpus_pipeline
+from evidence_spark import session
 from evidence_spark.llm import quality
 from evidence_spark.session import scratch_table
 from test_line_dedup import key
@@ -85,3 +86,11 @@ def test_planted_passages_of_fifty_words_go(spark):
 
 def test_run_gives_the_last_stage(spark):
     assert corpus_pipeline.run(spark, SF).columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
+
+
+def test_tables_of_a_stage_are_removed_after_it(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(session, "scratch_root", lambda spark: str(tmp_path))
+    packed = corpus_pipeline.run(spark, SF)
+    left = sorted(p.name[:-33] for p in (tmp_path / "evidence_spark").iterdir())
+    assert left == sorted([*(name.replace(" ", "-") for name, _ in corpus_pipeline.STAGES[:-1]), "packing-lengths", "packing-pieces"])
+    assert packed.agg({"length": "sum"}).first()[0] > 0
